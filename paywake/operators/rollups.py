@@ -5,12 +5,15 @@ hash aggregation and combines before the shuffle; a merchant with a large part o
 costs each reduce task no more than one row per map task.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paywake.functions.columns import (AMOUNT_BUCKETS, amount_bucket, amount_bucket_no,
                                        contains_ignoring_case, has_text, rate, weekday)
+from paywake.plans.materialize import materialize
 
 
 def _volume(flag: str, column: str = "amount") -> Column:
@@ -38,32 +41,86 @@ def _measures(*names: str) -> list[Column]:
     return [known[name].alias(name) for name in names]
 
 
-def _success_rate(whole: str = "attempted_sessions") -> Column:
-    return rate(F.col("successful_sessions"), F.col(whole)).alias("success_rate")
-
-
 COUNTS = ("sessions", "attempted_sessions", "no_attempt_sessions", "successful_sessions",
           "first_success_sessions", "recovered_sessions", "unrecovered_sessions", "retried_sessions")
 VOLUMES = ("successful_volume", "successful_fee", "unrecovered_volume", "recovered_volume")
 
 
-def merchant_metrics(sessions: DataFrame) -> DataFrame:
-    """Totals, volumes, rates and period of each merchant.
+@dataclass(frozen=True)
+class Rollup:
+    """What a roll-up groups by besides the merchant, and what it reports."""
+
+    keys: tuple[str, ...]
+    measures: tuple[str, ...]
+    whole: str = "attempted_sessions"  # denominator of success_rate
+    hidden: tuple[str, ...] = ()  # measures needed for the rate only
+
+
+DAILY = Rollup(("metric_date",), ("sessions", "attempted_sessions", "successful_sessions",
+                                  "recovered_sessions", "unrecovered_sessions", "successful_volume",
+                                  "lost_volume", "aov"))
+HOURLY = Rollup(("hour_of_day",), ("sessions", "attempted_sessions", "successful_sessions",
+                                   "unrecovered_sessions", "successful_volume", "lost_volume"))
+AMOUNT = Rollup(("amount_bucket", "bucket_no"), ("sessions", "attempted_sessions", "successful_sessions",
+                                                 "recovered_sessions", "unrecovered_sessions",
+                                                 "successful_volume", "lost_volume"))
+PSP = Rollup(("psp_code",), ("sessions", "successful_sessions", "unrecovered_sessions",
+                             "successful_volume", "lost_volume"), whole="sessions")
+CALENDAR = Rollup(("weekday", "month"), ("sessions", "attempted_sessions", "successful_sessions",
+                                         "successful_volume", "lost_volume", "aov"),
+                  hidden=("attempted_sessions",))
+MONTHLY = Rollup(("month",), ("sessions", "attempted_sessions", "successful_sessions",
+                              "successful_volume", "lost_volume"), hidden=("attempted_sessions",))
+WEEKDAY = Rollup(("weekday",), ("sessions", "attempted_sessions", "successful_sessions",
+                                "successful_volume"), hidden=("attempted_sessions",))
+
+
+def _dimensions(edges=AMOUNT_BUCKETS) -> dict[str, Column]:
+    """Grouping keys over sessions; NULL where a session takes no part in the roll-up."""
+    created, amount = F.col("created_at"), F.col("amount")
+    return {
+        "metric_date": F.to_date(created),
+        "hour_of_day": F.hour(created),
+        "weekday": weekday(created),
+        "month": F.month(created),
+        "amount_bucket": amount_bucket(amount, edges),
+        "bucket_no": amount_bucket_no(amount, edges),
+        "psp_code": F.when((F.col("attempt_count") > 0) & has_text("last_psp_code"), F.col("last_psp_code")),
+    }
 
-    MAX over the category texts would force a sort of all sessions, so the category is a grouping
-    key first and the few (merchant, category) rows are folded to one per merchant afterwards.
-    """
+
+def _report(groups: DataFrame, rollup: Rollup) -> DataFrame:
+    """The roll-up's columns from its aggregated groups."""
+    success = rate(F.col("successful_sessions"), F.col(rollup.whole)).alias("success_rate")
+    shown = [m for m in rollup.measures if m not in rollup.hidden]
+    return groups.select("merchant_key", *rollup.keys, *shown, success)
+
+
+def _roll_up(sessions: DataFrame, rollup: Rollup, edges=AMOUNT_BUCKETS) -> DataFrame:
+    dimensions = _dimensions(edges)
+    keyed = sessions.withColumns({key: dimensions[key] for key in rollup.keys})
+    groups = keyed.dropna(subset=rollup.keys).groupBy("merchant_key", *rollup.keys)
+    return _report(groups.agg(*_measures(*rollup.measures)), rollup)
+
+
+CATEGORY = ("category_id", "category_title")
+
+
+def _merchant_measures() -> list[Column]:
     paid = F.when(F.col("final_success"), F.col("amount"))
-    by_category = sessions.groupBy("merchant_key", "category_id", "category_title").agg(
+    return [
         *_measures(*COUNTS, *VOLUMES),
         F.sum(paid).alias("paid_amount"),
         F.count(paid).alias("paid_sessions"),
         F.min("created_at").alias("first_seen_at"),
         F.max("created_at").alias("last_seen_at"),
-    )
+    ]
+
+
+def _fold_categories(by_category: DataFrame) -> DataFrame:
+    """merchant_metrics from rows per merchant and category."""
     totals = by_category.groupBy("merchant_key").agg(
-        F.max("category_id").alias("category_id"),
-        F.max("category_title").alias("category_title"),
+        *(F.max(name).alias(name) for name in CATEGORY),
         *(F.sum(name).alias(name) for name in (*COUNTS, *VOLUMES, "paid_amount", "paid_sessions")),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"),
@@ -72,7 +129,7 @@ def merchant_metrics(sessions: DataFrame) -> DataFrame:
     # a successful first try implies an attempt, so the difference counts the failed first tries
     failed_first = attempted - F.col("first_success_sessions")
     return totals.select(
-        "merchant_key", "category_id", "category_title", *COUNTS, *VOLUMES,
+        "merchant_key", *CATEGORY, *COUNTS, *VOLUMES,
         rate(F.col("paid_amount"), F.col("paid_sessions")).alias("aov"),
         rate(F.col("successful_sessions"), attempted).alias("final_success_rate"),
         rate(F.col("first_success_sessions"), attempted).alias("first_attempt_success_rate"),
@@ -83,82 +140,84 @@ def merchant_metrics(sessions: DataFrame) -> DataFrame:
     )
 
 
+def merchant_metrics(sessions: DataFrame) -> DataFrame:
+    """Totals, volumes, rates and period of each merchant.
+
+    MAX over the category texts would force a sort of all sessions, so the category is a grouping
+    key first and the few (merchant, category) rows are folded to one per merchant afterwards.
+    """
+    return _fold_categories(sessions.groupBy("merchant_key", *CATEGORY).agg(*_merchant_measures()))
+
+
 def daily_metrics(sessions: DataFrame) -> DataFrame:
-    return (
-        sessions.where(F.col("created_at").isNotNull())
-        .groupBy("merchant_key", F.to_date("created_at").alias("metric_date"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions", "recovered_sessions",
-                        "unrecovered_sessions", "successful_volume", "lost_volume", "aov"))
-        .select("*", _success_rate())
-    )
+    return _roll_up(sessions, DAILY)
 
 
 def hourly_metrics(sessions: DataFrame) -> DataFrame:
-    return (
-        sessions.where(F.col("created_at").isNotNull())
-        .groupBy("merchant_key", F.hour("created_at").alias("hour_of_day"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions",
-                        "unrecovered_sessions", "successful_volume", "lost_volume"))
-        .select("*", _success_rate())
-    )
+    return _roll_up(sessions, HOURLY)
 
 
 def amount_metrics(sessions: DataFrame, edges=AMOUNT_BUCKETS) -> DataFrame:
     """Per amount bucket. A session without amount is in the last bucket; bucket_no orders by size."""
-    amount = F.col("amount")
-    return (
-        sessions.groupBy("merchant_key", amount_bucket(amount, edges).alias("amount_bucket"),
-                         amount_bucket_no(amount, edges).alias("bucket_no"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions", "recovered_sessions",
-                        "unrecovered_sessions", "successful_volume", "lost_volume"))
-        .select("*", _success_rate())
-    )
+    return _roll_up(sessions, AMOUNT, edges)
 
 
 def psp_metrics(sessions: DataFrame, min_sessions: int = 0) -> DataFrame:
     """Per payment provider, over attempted sessions; providers with fewer sessions can be left out."""
-    metrics = (
-        sessions.where((F.col("attempt_count") > 0) & has_text("last_psp_code"))
-        .groupBy("merchant_key", F.col("last_psp_code").alias("psp_code"))
-        .agg(*_measures("sessions", "successful_sessions", "unrecovered_sessions",
-                        "successful_volume", "lost_volume"))
-        .select("*", _success_rate("sessions"))
-    )
+    metrics = _roll_up(sessions, PSP)
     return metrics.where(F.col("sessions") >= min_sessions) if min_sessions else metrics
 
 
+# the stored roll-ups
+STORED = {
+    "merchant_daily_metrics": DAILY,
+    "merchant_hourly_metrics": HOURLY,
+    "merchant_amount_metrics": AMOUNT,
+    "merchant_psp_metrics": PSP,
+}
+
+
+def roll_up_all(sessions: DataFrame) -> dict[str, DataFrame]:
+    """The five stored roll-ups from one scan of the sessions.
+
+    All groupings are aggregated together as grouping sets. The groups are written, being far fewer
+    than the sessions, and each table is then a filter over them.
+    """
+    dimensions = _dimensions()
+    sets = {"merchant_metrics": CATEGORY, **{name: rollup.keys for name, rollup in STORED.items()}}
+    keys = [key for group in sets.values() for key in group]
+    new_keys = {key: dimensions[key] for key in keys if key not in CATEGORY}
+    groups = materialize(
+        sessions.withColumns(new_keys)
+        .groupingSets([["merchant_key", *group] for group in sets.values()], "merchant_key", *keys)
+        .agg(F.grouping_id().alias("grouping"), *_merchant_measures(), *_measures("lost_volume", "aov")),
+        "rollup_groups",
+    )
+
+    def part(name: str) -> DataFrame:
+        # bit i from the right stands for the i-th key from the end, set where the key is left out
+        left_out = sum(1 << i for i, key in enumerate(reversed(keys)) if key not in sets[name])
+        return groups.where(F.col("grouping") == left_out)
+
+    tables = {"merchant_metrics": _fold_categories(part("merchant_metrics").drop("lost_volume", "aov"))}
+    for name, rollup in STORED.items():
+        tables[name] = _report(part(name).dropna(subset=rollup.keys), rollup)
+    return tables
+
+
 def calendar_metrics(sessions: DataFrame) -> DataFrame:
     """Weekday (Sunday 0) by month."""
-    created = F.col("created_at")
-    return (
-        sessions.where(created.isNotNull())
-        .groupBy("merchant_key", weekday(created).alias("weekday"), F.month(created).alias("month"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions", "successful_volume",
-                        "lost_volume", "aov"))
-        .select("*", _success_rate()).drop("attempted_sessions")
-    )
+    return _roll_up(sessions, CALENDAR)
 
 
 def monthly_metrics(sessions: DataFrame, lost: bool = False) -> DataFrame:
     """Month of year; ``lost`` adds the lost volume."""
-    metrics = (
-        sessions.where(F.col("created_at").isNotNull())
-        .groupBy("merchant_key", F.month("created_at").alias("month"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions", "successful_volume",
-                        "lost_volume"))
-        .select("*", _success_rate()).drop("attempted_sessions")
-    )
+    metrics = _roll_up(sessions, MONTHLY)
     return metrics if lost else metrics.drop("lost_volume")
 
 
 def weekday_metrics(sessions: DataFrame) -> DataFrame:
-    created = F.col("created_at")
-    return (
-        sessions.where(created.isNotNull())
-        .groupBy("merchant_key", weekday(created).alias("weekday"))
-        .agg(*_measures("sessions", "attempted_sessions", "successful_sessions", "successful_volume"))
-        .select("*", _success_rate()).drop("attempted_sessions")
-    )
+    return _roll_up(sessions, WEEKDAY)
 
 
 def seasonality(sessions: DataFrame) -> dict[str, DataFrame]:

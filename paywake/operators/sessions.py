@@ -84,6 +84,9 @@ def build_sessions(attempts: DataFrame, terminal: str = "max_text",
     """
     if hot_rows is None:
         return _collapse(attempts, terminal)
+    # a table this small holds no larger session; the count comes from the file footers
+    if attempts.count() <= hot_rows:
+        return _collapse(attempts.repartition("session_key"), terminal)
     hot = materialize(
         attempts.groupBy("session_key").agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > hot_rows).select(F.col("session_key").alias("hot_key")),

@@ -28,4 +28,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back, so that later jobs neither recompute it nor lose it with an executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,19 +24,11 @@ def build_all(spark: SparkSession, source: str | DataFrame, out: str,
 
     def store(**tables: DataFrame) -> None:
         write_tables(tables, out)
-        stored.update({name: read_table(spark, out, name) for name in tables})
+        stored.update({name: read_table(spark, out, name, df.schema) for name, df in tables.items()})
 
     store(attempts=source if isinstance(source, DataFrame) else read_attempts(spark, source))
     store(sessions=build_sessions(stored["attempts"], hot_rows=hot_rows))
-    sessions = stored["sessions"]
-    store(
-        merchant_metrics=rollups.merchant_metrics(sessions),
-        merchant_daily_metrics=rollups.daily_metrics(sessions),
-        merchant_hourly_metrics=rollups.hourly_metrics(sessions),
-        merchant_amount_metrics=rollups.amount_metrics(sessions),
-        merchant_psp_metrics=rollups.psp_metrics(sessions),
-        insight_methodology=ins.methodology(spark),
-    )
+    store(**rollups.roll_up_all(stored["sessions"]), insight_methodology=ins.methodology(spark))
     merchants = stored["merchant_metrics"]
     store(peer_metrics=peer_metrics(merchants, split=large_groups(merchants, ["category_id"])))
     store(insights=ins.build_insights(stored["peer_metrics"]))

@@ -5,8 +5,6 @@ Text columns without a declared cast still become strings, because the rules com
 with '' and with status words.
 """
 
-from pyspark.sql import types as T
-
 # Column name and type, in table order.
 ATTEMPT_COLUMNS = [
     ("session_key", "string"),
@@ -36,4 +34,4 @@ ATTEMPT_COLUMNS = [
 # Timestamps are the lenient columns.
 LENIENT_TYPES = {"timestamp_ntz"}
 
-ATTEMPT_SCHEMA = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in ATTEMPT_COLUMNS))
+ATTEMPT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in ATTEMPT_COLUMNS)

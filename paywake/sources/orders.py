@@ -42,7 +42,8 @@ def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         .join(table("customer"), cust == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == nation)
         .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(numbered_lines(table("lineitem")), order_key == F.col("l_orderkey"), "left")
+        # lines are already hashed and sorted by order, so only the orders need to move
+        .join(numbered_lines(table("lineitem")).hint("merge"), order_key == F.col("l_orderkey"), "left")
         .withColumn("try_status", status)
         .withColumn("created_at", F.col("o_orderdate") + hours)
     )

@@ -1,10 +1,12 @@
 """The stored tables: writing, finding and counting them."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Tables that are stored sorted, so that a merchant's rows are read from few files and row groups.
 # Ranges over all three columns also split a merchant with very many sessions.
@@ -12,16 +14,21 @@ LAYOUT = {"sessions": ["merchant_key", "created_at", "session_key"]}
 
 
 def write_tables(tables: dict[str, DataFrame], out: str, layout: dict[str, list[str]] = LAYOUT) -> None:
-    """Replace each table under ``out`` by new Parquet files."""
-    for name, df in tables.items():
-        order = layout.get(name)
+    """Replace each table under ``out`` by new Parquet files. The tables are written side by side."""
+    def write(name: str) -> None:
+        df, order = tables[name], layout.get(name)
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
+    with ThreadPoolExecutor(max_workers=len(tables)) as threads:
+        list(threads.map(write, tables))
 
-def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}")
+
+def read_table(spark: SparkSession, out: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """A stored table; a known schema saves looking into its files."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{out}/{name}")
 
 
 def has_table(spark: SparkSession, out: str, name: str) -> bool:
