@@ -1,0 +1,169 @@
+import gzip
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from paywake.functions.text import to_json_rows
+from paywake.operators import context as ctx
+from paywake.operators import customers as cust
+from paywake.operators import rollups as roll
+from paywake.plans.pipeline import build_all
+from paywake.schema import ATTEMPT_COLUMNS
+from paywake.sources import files, tables
+from paywake.sources.orders import attempts_from_orders
+from tests import samples
+
+NAMES = [n for n, _ in ATTEMPT_COLUMNS]
+LINE = {"session_key": "17", "try_seq": "1", "merchant_key": "5", "category_id": "12", "category_title": "Books, old",
+        "amount": "1000000", "try_status": "Paid", "psp_code": "", "switch_response_code": "051",
+        "created_at": "2024-01-07 23:00:00", "verified_at": "2024-01-08 00:01:02.5"}
+
+
+def csv_text(rows, names=NAMES):
+    quote = lambda v: f'"{v}"' if "," in v else v
+    return "\n".join([",".join(names)] + [",".join(quote(r.get(n, "")) for n in names) for r in rows]) + "\n"
+
+
+def test_csv_gzip_and_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(csv_text([LINE]))
+    (tmp_path / "b.csv").write_text(csv_text([LINE], NAMES[::-1]))
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as out:
+        out.write(csv_text([LINE]))
+    plain = files.read_attempts(spark, str(tmp_path / "a.csv"))
+    assert [(f.name, f.dataType.simpleString()) for f in plain.schema] == ATTEMPT_COLUMNS
+    row = plain.first()
+    assert (row["session_key"], row["try_seq"], row["amount"]) == ("17", 1, 1e6)
+    assert row["switch_response_code"] == "051" and row["psp_code"] is None
+    assert row["category_title"] == "Books, old"
+    assert row["verified_at"] == datetime(2024, 1, 8, 0, 1, 2, 500000)
+    assert files.read_attempts(spark, str(tmp_path / "b.csv")).first() == row
+    spread = files.read_attempts(spark, str(tmp_path / "c.csv.gz"), spread_gzip=3)
+    assert spread.first() == row and spread.rdd.getNumPartitions() == 3
+    plain.write.parquet(str(tmp_path / "d.parquet"))
+    assert files.read_attempts(spark, str(tmp_path / "d.parquet")).first() == row
+
+
+def test_bad_values(spark, tmp_path):
+    (tmp_path / "time.csv").write_text(csv_text([{**LINE, "verified_at": "soon", "expire_in": "x"}]))
+    row = files.read_attempts(spark, str(tmp_path / "time.csv")).first()
+    assert row["verified_at"] is None and row["created_at"] is not None
+    (tmp_path / "amount.csv").write_text(csv_text([{**LINE, "amount": "ten"}]))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_attempts(spark, str(tmp_path / "amount.csv")).collect()
+    (tmp_path / "short.csv").write_text(csv_text([LINE]) + "1,2\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_attempts(spark, str(tmp_path / "short.csv")).collect()
+
+
+def test_numeric_keys_become_text(spark, tmp_path):
+    raw = spark.range(1).select(*(F.lit(7 if n in ("session_key", "merchant_key") else None).alias(n) for n in NAMES))
+    assert files.type_attempts(raw).first()["session_key"] == "7"
+
+
+def test_choice_of_source(spark, tmp_path):
+    for name in ("b.csv", "a.parquet", "z.txt"):
+        (tmp_path / name).write_text("x")
+    assert files.resolve_source(spark, str(tmp_path)).endswith("/a.parquet")
+    (tmp_path / "challenge_data.csv").write_text("x")
+    assert files.resolve_source(spark, str(tmp_path)).endswith("/challenge_data.csv")
+    (tmp_path / "challenge_data.csv.gz").write_text("x")
+    assert files.resolve_source(spark, str(tmp_path)).endswith("/challenge_data.csv.gz")
+    assert files.resolve_source(spark, str(tmp_path), str(tmp_path / "b.csv")) == str(tmp_path / "b.csv")
+    with pytest.raises(Exception):
+        files.resolve_source(spark, str(tmp_path), str(tmp_path / "missing.csv"))
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.resolve_source(spark, str(tmp_path / "empty"))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("out"))
+    return out, build_all(spark, attempts_from_orders(spark, "/root/testdata/sf0.01"), out)
+
+
+def test_counts_of_the_derived_data(stored):
+    _, built = stored
+    counts = {r["table_name"]: r["row_count"] for r in tables.table_counts(built).collect()}
+    assert counts["attempts"] == 28323 and counts["sessions"] == 15000
+    assert counts["insights"] == counts["insight_evidence"] == 98
+    assert counts["merchant_metrics"] == counts["peer_metrics"] == 25
+    row = roll.session_totals(built["sessions"]).first()
+    assert [row[c] for c in roll.COUNTS] == [15000, 12339, 2661, 7592, 5444, 2148, 4747, 7655]
+
+
+def test_tables_can_be_found_and_rebuilt(spark, stored):
+    out, built = stored
+    assert tables.has_table(spark, out, "sessions") and not tables.has_table(spark, out, "session")
+    assert tables.table_columns(spark, out, "insights")[0] == "merchant_key"
+    assert tables.table_columns(spark, out, "nothing") == []
+    before = sorted(map(str, built["insight_evidence"].collect()))
+    again = build_all(spark, built["attempts"].where("merchant_key <> 'NATION_3'"), out + "/again", hot_rows=3)
+    assert again["merchant_metrics"].count() == 24
+    again = build_all(spark, attempts_from_orders(spark, "/root/testdata/sf0.01"), out + "/again")
+    assert sorted(map(str, again["insight_evidence"].collect())) == before
+
+
+def test_sessions_are_stored_by_merchant(spark, stored, tmp_path):
+    _, built = stored
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_tables({"sessions": built["sessions"]}, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = (
+        tables.read_table(spark, str(tmp_path), "sessions").groupBy(F.input_file_name().alias("file"))
+        .agg(F.min("merchant_key").alias("low"), F.max("merchant_key").alias("high")).orderBy("low").collect()
+    )
+    assert len(ranges) > 1 and all(a["high"] <= b["low"] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_invariants(stored):
+    _, built = stored
+    sessions = built["sessions"]
+    assert sessions.where("recovered AND unrecovered").isEmpty()
+    assert sessions.where("no_attempt = (attempt_count > 0)").isEmpty()
+    assert sessions.where("recovered AND NOT final_success OR unrecovered AND final_success").isEmpty()
+    outside = " OR ".join(f"{c} NOT BETWEEN 0 AND 1" for c in (
+        "success_rate_percentile", "recovery_rate_percentile", "aov_percentile", "volume_percentile"))
+    assert built["peer_metrics"].where(outside).isEmpty()
+    wrong = built["insight_evidence"].where(
+        "insight_type = 'RECOVERY_OPPORTUNITY' AND metric_value <> unrecovered_volume")
+    assert wrong.isEmpty()
+
+
+def test_context_document(spark, stored):
+    _, built = stored
+    contexts = ctx.merchant_context(
+        built["merchant_metrics"], built["peer_metrics"], built["merchant_daily_metrics"],
+        built["merchant_hourly_metrics"], built["merchant_psp_metrics"],
+        cust.customer_summary_all(cust.customer_profile(built["attempts"])).where("merchant_key <> 'NATION_3'"),
+        built["insight_evidence"].where("merchant_key <> 'NATION_3'"),
+        roll.monthly_metrics(built["sessions"], lost=True))
+    assert contexts.count() == 25
+    documents = {r["merchant_key"]: json.loads(r["context_json"]) for r in ctx.context_json(contexts).collect()}
+    without, other = documents["NATION_3"], documents["NATION_7"]
+    assert list(other) == ["merchant", "health", "peer", "daily_last_30_days", "hourly", "psps", "customers",
+                           "insights", "seasonality_monthly"]
+    assert len(other["daily_last_30_days"]) == 30 and len(other["seasonality_monthly"]) == 12
+    dates = [d["metric_date"] for d in other["daily_last_30_days"]]
+    assert dates == sorted(dates, reverse=True)
+    assert [h["hour_of_day"] for h in other["hourly"]] == list(range(24))
+    assert [p["sessions"] for p in other["psps"]] == sorted((p["sessions"] for p in other["psps"]), reverse=True)
+    assert other["insights"][0]["severity"] == "critical"
+    assert "T" in other["merchant"]["first_seen_at"]
+    assert without["insights"] == [] and without["customers"]["customers"] == 0
+    assert without["customers"]["avg_orders"] is None
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([("a", None, datetime(2024, 1, 7, 23, 0), datetime(2024, 1, 1, 0, 0, 0, 250000))],
+                               "k string, n long, t timestamp_ntz, u timestamp_ntz")
+    assert to_json_rows(df).first()["json"] == (
+        '{"k":"a","n":null,"t":"2024-01-07T23:00:00","u":"2024-01-01T00:00:00.25"}')
+
+
+def test_sample_schema_matches(spark):
+    assert samples.frame(spark, samples.SESSION_ROWS).columns == NAMES
