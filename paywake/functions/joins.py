@@ -1,14 +1,24 @@
-"""Equi join in which NULL keys match each other."""
+"""Equi joins in which NULL keys match each other."""
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _renamed(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """The right side under key names of its own, and the condition."""
+    kept = [c for c in right.columns if c not in keys]
+    named = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *kept)
+    return named, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+
+
+def match_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Left rows with (left_semi) or without (left_anti) a partner."""
+    return left.join(*_renamed(right.select(*keys), keys), how)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Left columns, then the right columns without its keys. Other column names must not repeat."""
     kept = [c for c in right.columns if c not in keys]
-    named = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *kept)
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
-    return left.join(named, same, how).select(*left.columns, *kept)
+    return left.join(*_renamed(right, keys), how).select(*left.columns, *kept)

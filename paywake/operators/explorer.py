@@ -109,6 +109,16 @@ def insight_sessions(insights: DataFrame, sessions: DataFrame, limit: int = 100,
     )
 
 
+def session_detail(sessions: DataFrame, attempts: DataFrame, session_key: str) -> dict[str, DataFrame]:
+    """One session and its attempts in order; the key is pushed into both scans."""
+    chosen = F.col("session_key") == session_key
+    return {
+        "session": sessions.where(chosen),
+        "attempts": attempts.where(chosen).orderBy(
+            F.col("try_seq").asc_nulls_last(), F.col("try_created_at").asc_nulls_last()),
+    }
+
+
 def session_timeline(sessions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Every attempt of every session as a row, beside the session's outcome; order by try_seq.
 

@@ -1,11 +1,11 @@
 """Attempts to sessions: one row per payment intent."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paywake.functions.columns import has_text, succeeded
-from paywake.plans.materialize import materialize
+from paywake.plans.hot import split_hot
+from paywake.plans.positions import number_rows
 
 
 def _real() -> Column:
@@ -13,16 +13,19 @@ def _real() -> Column:
     return F.col("try_seq") > 0
 
 
-def rank_attempts(attempts: DataFrame) -> DataFrame:
-    """Number every attempt of a session, tries without a time last."""
-    order = W.partitionBy("session_key").orderBy(
+def rank_attempts(attempts: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Number every attempt of a session, tries without a time last.
+
+    With ``hot_rows`` the sessions with more attempts than that are numbered across tasks.
+    """
+    order = [
         F.col("try_seq").asc_nulls_last(),
         F.col("try_created_at").asc_nulls_last(),
         F.col("created_at").asc_nulls_last(),
         F.col("psp_code").asc_nulls_first(),
         F.col("try_status").asc_nulls_first(),
-    )
-    return attempts.withColumn("attempt_rank", F.row_number().over(order))
+    ]
+    return number_rows(attempts, ["session_key"], order, "attempt_rank", hot_rows)
 
 
 def _first_try() -> Column:
@@ -84,20 +87,9 @@ def build_sessions(attempts: DataFrame, terminal: str = "max_text",
     """
     if hot_rows is None:
         return _collapse(attempts, terminal)
-    # a table this small holds no larger session; the count comes from the file footers
-    if attempts.count() <= hot_rows:
-        return _collapse(attempts.repartition("session_key"), terminal)
-    hot = materialize(
-        attempts.groupBy("session_key").agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > hot_rows).select(F.col("session_key").alias("hot_key")),
-        "hot_sessions",
-    )
-    if hot.isEmpty():
-        return _collapse(attempts.repartition("session_key"), terminal)
-    same = F.col("session_key").eqNullSafe(F.col("hot_key"))
-    cold_part = attempts.join(hot, same, "left_anti").repartition("session_key")
-    hot_part = attempts.join(hot, same, "left_semi")
-    return _collapse(cold_part, terminal).unionByName(_collapse(hot_part, terminal))
+    cold, hot = split_hot(attempts, ["session_key"], hot_rows)
+    sessions = _collapse(cold.repartition("session_key"), terminal)
+    return sessions if hot is None else sessions.unionByName(_collapse(hot, terminal))
 
 
 def _collapse(attempts: DataFrame, terminal: str) -> DataFrame:

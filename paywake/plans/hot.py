@@ -1,0 +1,23 @@
+"""Groups too large for one task, set apart from the others."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from paywake.functions.joins import match_on
+from paywake.plans.materialize import materialize
+
+
+def split_hot(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose group has at most ``rows`` rows, and the others, or None if there are none.
+
+    Runs a count over the key columns when called, so pass a table that is cheap to read. At most
+    one group per ``rows`` rows of the table can be larger, which bounds the list of hot keys.
+    """
+    # a table this small holds no larger group; its count comes from the file footers
+    if df.count() <= rows:
+        return df, None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    hot = materialize(sizes.where(F.col("rows") > rows).select(*keys), "hot_keys")
+    if hot.isEmpty():
+        return df, None
+    return match_on(df, hot, keys, "left_anti"), match_on(df, hot, keys, "left_semi")

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paywake.functions.joins import join_on
+from paywake.plans.hot import split_hot
 from paywake.plans.materialize import materialize
 
 # Up to this many rows per group Spark prunes a row_number filter before its shuffle
@@ -55,6 +56,16 @@ def positions(df: DataFrame, group: list[str], order: list[Column], number: str
     return df.withColumn(size, F.count(F.lit(1)).over(in_group)) if size else df
 
 
+def number_rows(df: DataFrame, group: list[str], order: list[Column], number: str,
+                hot_rows: int | None = None) -> DataFrame:
+    """Row numbers in every group; groups of more than ``hot_rows`` rows by split_positions."""
+    if hot_rows is None:
+        return positions(df, group, order, number)
+    cold, hot = split_hot(df, group, hot_rows)
+    numbered = positions(cold, group, order, number)
+    return numbered if hot is None else numbered.unionByName(split_positions(hot, group, order, number))
+
+
 def page_of_group(df: DataFrame, group: list[str], order: list[Column], limit: int, offset: int = 0,
                   number: str = "row_no") -> DataFrame:
     """Rows offset+1 … offset+limit of every group.

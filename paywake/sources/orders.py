@@ -5,19 +5,24 @@ nation and its first three line numbers become tries. FIXTURES.md section 3 stat
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paywake.plans.hot import split_hot
+from paywake.plans.positions import positions, split_positions
+
+# Orders with more lines than this are numbered across tasks.
+HOT_ORDER_LINES = 1_000_000
+
 
 def numbered_lines(lineitem: DataFrame) -> DataFrame:
     """Lines numbered 1 to 3, renumbered per order by ship date."""
-    order = W.partitionBy("l_orderkey").orderBy(
-        "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return (
-        lineitem.where(F.col("l_linenumber") <= 3)
-        .withColumn("seq", F.row_number().over(order))
-        .withColumn("has_line", F.lit(True))
-    )
+    order = [F.col(c).asc() for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    cold, hot = split_hot(lineitem, ["l_orderkey"], HOT_ORDER_LINES)
+    first = F.col("l_linenumber") <= 3
+    numbered = positions(cold.where(first), ["l_orderkey"], order, "seq")
+    if hot is not None:
+        numbered = numbered.unionByName(split_positions(hot.where(first), ["l_orderkey"], order, "seq"))
+    return numbered.withColumn("has_line", F.lit(True))
 
 
 def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:

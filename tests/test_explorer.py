@@ -74,6 +74,12 @@ def test_sessions_behind_insights(spark):
     assert got["PEER_SUCCESS_GAP"] == got["FIRST_ATTEMPT_GAP"] == ["open", "f0", "f1", "f2"]
 
 
+def test_detail_of_one_session(sessions, attempts):
+    detail = explorer.session_detail(sessions, attempts, "s8")
+    assert detail["session"].first()["first_try_status"] == "Paid"
+    assert [r["try_status"] for r in detail["attempts"].collect()] == ["Paid", "Failed"]
+
+
 def test_timeline(sessions, attempts):
     lines = explorer.session_timeline(sessions, attempts)
     assert lines.count() == len(samples.SESSION_ROWS)
