@@ -234,7 +234,7 @@ def amount_share(amounts: DataFrame) -> DataFrame:
 def psp_ranking(psps: DataFrame, k: int | None = None) -> DataFrame:
     """Providers of a merchant by success rate, best first; ``k`` keeps the first k."""
     order = W.partitionBy("merchant_key").orderBy(F.col("success_rate").desc_nulls_last(), "psp_code")
-    ranked = psps.withColumn("psp_rank", F.row_number().over(order))
+    ranked = psps.withColumn("psp_rank", F.row_number().over(order).cast("long"))
     return ranked if k is None else ranked.where(F.col("psp_rank") <= k)
 
 
@@ -242,7 +242,8 @@ def daily_series(daily: DataFrame, limit_days: int = 180, latest: bool = False)
     """The oldest days of each merchant, or the newest with ``latest``."""
     day = F.col("metric_date")
     order = W.partitionBy("merchant_key").orderBy(day.desc() if latest else day.asc())
-    return daily.withColumn("day_no", F.row_number().over(order)).where(F.col("day_no") <= limit_days)
+    numbered = daily.withColumn("day_no", F.row_number().over(order).cast("long"))
+    return numbered.where(F.col("day_no") <= limit_days)
 
 
 def global_stats(merchants: DataFrame) -> DataFrame:

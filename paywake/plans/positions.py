@@ -52,7 +52,7 @@ def positions(df: DataFrame, group: list[str], order: list[Column], number: str
     if split:
         return split_positions(df, group, order, number, size)
     in_group = W.partitionBy(*group)
-    df = df.withColumn(number, F.row_number().over(in_group.orderBy(*order)))
+    df = df.withColumn(number, F.row_number().over(in_group.orderBy(*order)).cast("long"))
     return df.withColumn(size, F.count(F.lit(1)).over(in_group)) if size else df
 
 

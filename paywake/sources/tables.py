@@ -21,7 +21,7 @@ def write_tables(tables: dict[str, DataFrame], out: str, layout: dict[str, list[
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
-    with ThreadPoolExecutor(max_workers=len(tables)) as threads:
+    with ThreadPoolExecutor() as threads:
         list(threads.map(write, tables))
 
 
