@@ -31,7 +31,7 @@ def spark_steps():
     from pyspark.sql import SparkSession
 
     from paywake.operators import context, customers, explorer, insights, peers, rollups, scores, sessions
-    from paywake.plans.pipeline import HOT_SESSION_ROWS, build_all
+    from paywake.plans.batch import HOT_SESSION_ROWS, build_all
     from paywake.sources.orders import attempts_from_orders
     from paywake.sources.tables import read_table
 
@@ -85,7 +85,7 @@ def spark_steps():
         "insight_sessions": lambda: run(explorer.insight_sessions(table("insights"), table("sessions"))),
         "session_timeline": lambda: run(explorer.session_timeline(table("sessions"), table("attempts"))),
         "merchant_context": context_step,
-        "full_pipeline": lambda: build_all(spark, table("attempts"), tempfile.mkdtemp(prefix="run-")),
+        "batch_build": lambda: build_all(spark, table("attempts"), tempfile.mkdtemp(prefix="run-")),
         "merchants_from_raw": lambda: run(rollups.merchant_metrics(
             sessions.build_sessions(attempts_from_orders(spark, FOLDER)))),
     }
@@ -161,7 +161,7 @@ def duckdb_steps():
         "session_page": timed(lambda: final("session_page")),
         "insight_sessions": timed(lambda: final("insight_sessions")),
         "session_timeline": timed(lambda: final("session_timeline")),
-        "full_pipeline": timed(everything),
+        "batch_build": timed(everything),
     }
 
 

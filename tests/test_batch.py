@@ -9,7 +9,7 @@ from paywake.functions.text import to_json_rows
 from paywake.operators import context as ctx
 from paywake.operators import customers as cust
 from paywake.operators import rollups as roll
-from paywake.plans.pipeline import build_all
+from paywake.plans.batch import build_all
 from paywake.schema import ATTEMPT_COLUMNS
 from paywake.sources import files, tables
 from paywake.sources.orders import attempts_from_orders
