@@ -123,7 +123,9 @@ def session_timeline(sessions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Every attempt of every session as a row, beside the session's outcome; order by try_seq.
 
     One row per attempt rather than an array per session, so that a session with very many
-    attempts is never collected in one place. A missing status, code or time gets its stand-in.
+    attempts is never collected in one place. Sessions are made of attempts, so none is lost by the
+    inner join, which Spark can split for a large session where an outer join could not be. A
+    missing status, code or time gets its stand-in.
     """
     outcome = sessions.select("session_key", "session_status", "amount", "attempt_count",
                               session_state().alias("state"))
@@ -133,4 +135,4 @@ def session_timeline(sessions: DataFrame, attempts: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("switch_response_code", F.lit("")), F.lit("no response code")).alias("response"),
         F.coalesce("try_created_at", "created_at").alias("happened_at"),
     )
-    return join_on(outcome, tries, ["session_key"], "left")
+    return join_on(outcome, tries, ["session_key"])

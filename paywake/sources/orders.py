@@ -14,15 +14,33 @@ from paywake.plans.positions import positions, split_positions
 HOT_ORDER_LINES = 1_000_000
 
 
-def numbered_lines(lineitem: DataFrame) -> DataFrame:
-    """Lines numbered 1 to 3, renumbered per order by ship date."""
+def numbered_lines(lineitem: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Lines numbered 1 to 3, renumbered per order by ship date; those of very large orders apart."""
     order = [F.col(c).asc() for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
     cold, hot = split_hot(lineitem, ["l_orderkey"], HOT_ORDER_LINES)
     first = F.col("l_linenumber") <= 3
-    numbered = positions(cold.where(first), ["l_orderkey"], order, "seq")
-    if hot is not None:
-        numbered = numbered.unionByName(split_positions(hot.where(first), ["l_orderkey"], order, "seq"))
-    return numbered.withColumn("has_line", F.lit(True))
+    lines = positions(cold.where(first), ["l_orderkey"], order, "seq").withColumn("has_line", F.lit(True))
+    if hot is None:
+        return lines, None
+    many = split_positions(hot.where(first), ["l_orderkey"], order, "seq").withColumn("has_line", F.lit(True))
+    return lines, many
+
+
+def with_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Orders with each of their numbered lines, or none.
+
+    An outer join cannot split the lines of one order over tasks, so very large orders take an inner
+    join, which can.
+    """
+    lines, many = numbered_lines(lineitem)
+    own = F.col("o_orderkey") == F.col("l_orderkey")
+    # lines are already hashed and sorted by order, so only the orders need to move
+    paired = orders.join(lines.hint("merge"), own, "left")
+    if many is None:
+        return paired
+    large = many.select(F.col("l_orderkey").alias("large_order")).distinct()
+    others = paired.join(large, F.col("o_orderkey") == F.col("large_order"), "left_anti")
+    return others.unionByName(orders.join(many, own))
 
 
 def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,13 +60,14 @@ def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
     cust, order_key, seq = F.col("o_custkey"), F.col("o_orderkey"), F.col("seq")
     hours = F.make_dt_interval(hours=(order_key % 24).cast("int"))
-    joined = (
+    orders = (
         table("orders")
         .join(table("customer"), cust == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == nation)
         .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        # lines are already hashed and sorted by order, so only the orders need to move
-        .join(numbered_lines(table("lineitem")).hint("merge"), order_key == F.col("l_orderkey"), "left")
+    )
+    joined = (
+        with_lines(orders, table("lineitem"))
         .withColumn("try_status", status)
         .withColumn("created_at", F.col("o_orderdate") + hours)
     )

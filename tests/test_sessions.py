@@ -133,8 +133,10 @@ def test_hot_session_is_exact(spark):
 def test_orders_with_very_many_lines(spark, monkeypatch):
     from paywake.sources import orders
 
-    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    whole = sorted(map(str, orders.numbered_lines(lines).collect()))
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    whole = sorted(map(str, orders.attempts_from_orders(spark, folder).collect()))
+    assert orders.numbered_lines(lines)[1] is None
     monkeypatch.setattr(orders, "HOT_ORDER_LINES", 5)
-    assert orders.split_hot(lines, ["l_orderkey"], 5)[1].count() > 0
-    assert sorted(map(str, orders.numbered_lines(lines).collect())) == whole
+    assert orders.numbered_lines(lines)[1].count() > 0
+    assert sorted(map(str, orders.attempts_from_orders(spark, folder).collect())) == whole
