@@ -160,6 +160,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str
     row is returned as often as given, judged on its own; a null doc_id stays null; an item whose item_id is null is
     matched, but not listed. Without documents no rows, without items nothing is hit. Other columns are ignored.
     """
+    index, listed, found = _searched(docs, benchmark, slop, doc, item, text)
+    items = (found.select("row", F.explode("windows").alias("window")).join(listed.select("window", "item_id"), "window")
+             .groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+    hits = found.select("row", "n_hit").join(items, "row", "left")
+    none = F.array().cast(T.ArrayType(T.StringType()))
+    return index.select("row", "doc_id", "n_words").join(hits, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("items", none).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id",
+                      text: str = "text") -> DataFrame:
+    """The rows, with all columns, that hold no window of the benchmark; every row of a doc_id that does goes.
+
+    A row without doc_id cannot be named and stays.
+    """
+    index, _, found = _searched(docs, benchmark, 0, doc, item, text)
+    dirty = Scratch(docs.sparkSession, "decontaminate").keep(
+        index.select("row", "doc_id").join(found.select("row"), "row", "left_semi").select(F.col("doc_id").alias(doc)).distinct(), "dirty")
+    return docs.join(dirty, doc, "left_anti")
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, slop: int, doc: str, item: str, text: str):
+    """The index, the items' windows and the matches, all written."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     listed = scratch.keep(item_windows(benchmark, item, text), "items")
@@ -169,11 +193,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str
     terms = vocabulary.toPandas()["id"].to_numpy(np.int64) if small else None
     plain = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     index = scratch.keep(postings(plain, terms), "postings")
-    found = scratch.keep(matches(index, windows, scratch, slop, small), "matches")
-    items = (found.select("row", F.explode("windows").alias("window")).join(listed.select("window", "item_id"), "window")
-             .groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    hits = found.select("row", "n_hit").join(items, "row", "left")
-    none = F.array().cast(T.ArrayType(T.StringType()))
-    return index.select("row", "doc_id", "n_words").join(hits, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-        F.coalesce("items", none).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return index, listed, scratch.keep(matches(index, windows, scratch, slop, small), "matches")
