@@ -101,7 +101,8 @@ def _occurrence(at: int, terms: list[int], place: dict[int, int], ids: np.ndarra
     return end + 1 if end - at < len(terms) + slop else None
 
 
-def matches(index: DataFrame, windows: DataFrame, scratch: Scratch, slop: int = 0, small: bool = True) -> DataFrame:
+def matches(index: DataFrame, windows: DataFrame, counts: DataFrame, scratch: Scratch, slop: int = 0,
+            small: bool = True) -> DataFrame:
     """(row, n_hit, windows): per document with occurrences, its words inside them and the windows that occur.
 
     Posting lists of each window's ANCHORS rarest terms, moved back by the term's place in the window, are
@@ -111,7 +112,6 @@ def matches(index: DataFrame, windows: DataFrame, scratch: Scratch, slop: int =
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     listed = index.select("row", F.explode(F.arrays_zip("ids", "positions")).alias("p")).select(
         "row", F.col("p.ids").alias("id"), F.col("p.positions").alias("position"))
-    counts = scratch.keep(listed.groupBy("id").agg(F.count("*").alias("postings")), "counts")
     placed = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "id"))
     rare = Window.partitionBy("window").orderBy("postings", "place")
     ranked = (placed.join(counts, "id", "left")
@@ -150,6 +150,70 @@ def matches(index: DataFrame, windows: DataFrame, scratch: Scratch, slop: int =
         "row", "ids", "positions", "candidates").mapInArrow(confirm, "row bigint, n_hit bigint, windows array<bigint>")
 
 
+def shard_matches(index: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """As matches() for exact phrases, with few windows: the index stays sharded by document.
+
+    Every batch of documents is inverted by sorting its postings by term. The list of each window's rarest term,
+    moved back by its place, gives the starts, and the lists of the other terms, from the next rarest on, are
+    intersected with it until all terms of the window stand in their places.
+    """
+    placed = windows.select("window", F.posexplode("terms").alias("place", "id")).join(counts, "id", "left")
+    terms = (placed.groupBy("window").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "place", "id"))).alias("terms"))
+        .where("terms[0].postings > 0"))
+    rows = terms.select("window", F.transform("terms", lambda t: t["place"]).alias("places"),
+                        F.transform("terms", lambda t: t["id"]).alias("ids")).collect()   # at most BROADCAST_TERMS windows
+    by_length: dict[int, list] = {}
+    for r in rows:
+        by_length.setdefault(len(r["ids"]), []).append(r)
+    sent = index.sparkSession.sparkContext.broadcast([(
+        length, np.array([r["window"] for r in group], np.int64), np.array([r["places"] for r in group], np.int64),
+        np.array([r["ids"] for r in group], np.int64)) for length, group in sorted(by_length.items())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"row": [], "n_hit": [], "windows": []}
+            n_words = batch.column(1).to_numpy()
+            begins = np.concatenate([[0], np.cumsum(n_words + WINDOW)])     # a gap that no phrase crosses
+            lists = batch.column(3)
+            owner = np.repeat(np.arange(len(n_words)), np.diff(lists.offsets.to_numpy()))
+            at = begins[owner] + lists.flatten().to_numpy().astype(np.int64)
+            ids = batch.column(2).flatten().to_numpy()
+            there, standing = np.zeros(begins[-1] + WINDOW, bool), np.zeros(begins[-1] + WINDOW, np.int64)
+            there[at], standing[at] = True, ids
+            order = np.argsort(ids, kind="stable")
+            sorted_ids = ids[order]
+            hits: list[tuple[np.ndarray, np.ndarray, int]] = []
+            for length, names, places, wanted in sent.value:
+                first, last = (np.searchsorted(sorted_ids, wanted[:, 0], side) for side in ("left", "right"))
+                number = last - first
+                window = np.repeat(np.arange(len(names)), number)
+                nth = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                start = at[order[np.repeat(first, number) + nth]] - places[window, 0]
+                for k in range(length):
+                    place = start + places[window, k]
+                    held = place >= 0
+                    held[held] = there[place[held]] & (standing[place[held]] == wanted[window[held], k])
+                    start, window = start[held], window[held]
+                hits.append((start, names[window], length))
+            found: dict[int, tuple[list, set]] = {}
+            for start, name, length in hits:
+                for a, doc, w in zip(start.tolist(), (np.searchsorted(begins, start, "right") - 1).tolist(), name.tolist()):
+                    spans, seen = found.setdefault(doc, ([], set()))
+                    spans.append((a, a + length))
+                    seen.add(w)
+            numbers = batch.column(0).to_pylist()
+            for doc, (spans, seen) in sorted(found.items()):
+                out["row"].append(numbers[doc])
+                out["n_hit"].append(_covered(spans))
+                out["windows"].append(sorted(seen))
+            yield pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "n_hit": pa.array(out["n_hit"], pa.int64()),
+                                              "windows": pa.array(out["windows"], pa.list_(pa.int64()))})
+
+    return index.select("row", "n_words", "ids", "positions").mapInArrow(
+        search, "row bigint, n_hit bigint, windows array<bigint>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str = "doc_id", item: str = "item_id",
                   text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted item ids as strings), contaminated.
@@ -193,4 +257,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, slop: int, doc: str, item:
     terms = vocabulary.toPandas()["id"].to_numpy(np.int64) if small else None
     plain = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     index = scratch.keep(postings(plain, terms), "postings")
-    return index, listed, scratch.keep(matches(index, windows, scratch, slop, small), "matches")
+    counts = scratch.keep(index.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("postings")), "counts")
+    few = small and not slop
+    found = shard_matches(index, windows, counts) if few else matches(index, windows, counts, scratch, slop, small)
+    return index, listed, scratch.keep(found, "matches")
