@@ -27,24 +27,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .unionByName(_pairs(least, F.col("u"), F.col("m"))).distinct())
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _done(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node hangs on one centre, and no centre hangs on another."""
+    hung = edges.groupBy("u").agg(F.count("*").alias("times"))
+    return hung.join(edges.select(F.col("v").alias("u"), F.lit(1).alias("centre")).distinct(), "u", "left").where(
+        "times > 1 or centre is not null").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for all nodes of the edges (u, v); component is the least node that is reachable.
+    """Stars (u, v) for all nodes of the edges (u, v) but the centres: v is the least node that u can reach.
 
     Loops and repeated edges are harmless; without edges the result is empty. Both steps are a minimum per
     node, combined before the shuffle, and a join that adaptive execution can split at a hot node.
     """
     edges = _pairs(edges.where("u <> v"), F.greatest("u", "v"), F.least("u", "v")).distinct()
     now = scratch.keep(edges, "edges")
-    state = _state(now)
-    while state[0]:
+    while not _done(now):
         after = scratch.keep(_small_star(_large_star(now)), "edges")
         scratch.drop(now)
-        now, before, state = after, state, _state(after)
-        if before == state:
-            break
-    least = _pairs(now, F.col("u"), F.col("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return least.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        now = after
+    return now
+
+
+def labels(stars: DataFrame) -> DataFrame:
+    """(node, component) of every node of the stars, centres included."""
+    centres = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

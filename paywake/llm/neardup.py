@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paywake.llm.components import components
+from paywake.llm.components import components, labels
 from paywake.llm.store import Scratch
 from paywake.llm.words import binary, mixed, shingle_set, slices
 
 BINS = 128          # of the one permutation
 ROWS = 4            # bins in a band: 32 bands find a pair of similarity 0.75 but for 5 in a million
-PAIRED = 64         # buckets of at most so many documents pair them all, larger ones are split by a further band
-DEPTH = 3           # bands that documents of a bucket share at most before the last comparison
+PAIRED = 16         # buckets of at most so many documents pair them all, larger ones are split by a further band
+DEPTH = 2           # bands that documents of a bucket share at most before the last comparison
 MEMBERS = 64        # documents that one task compares with a centre before the centre is sent to another task
 
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -41,14 +41,15 @@ def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One key per set and band."""
+    """One key per set and band; the band stands in the lowest bits."""
     values, filled = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), bool)
     for row, hashes in enumerate(sets):
         bins = (hashes >> _SHIFT).astype(np.int64)      # the hashes are sorted: the first of a bin is its least
         first = np.flatnonzero(np.diff(bins, prepend=-1))
         values[row, bins[first]], filled[row, bins[first]] = hashes[first], True
     parts = densified(values, filled).reshape(len(sets), BINS // ROWS, ROWS)
-    return mixed((parts * _WEIGHTS).sum(axis=2, dtype=np.uint64) + np.arange(BINS // ROWS, dtype=np.uint64))
+    bands = np.arange(BINS // ROWS, dtype=np.uint64)
+    return mixed((parts * _WEIGHTS).sum(axis=2, dtype=np.uint64) + bands) & ~np.uint64(BINS // ROWS - 1) | bands
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def _comparable(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """(centre, member): each set of a bucket with the least node of the bucket."""
-    centres = (buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"))
+def star_pairs(buckets: DataFrame, best=F.min) -> DataFrame:
+    """(centre, member): each set of a bucket with the one of least doc_id, or of greatest by F.max."""
+    centres = (buckets.groupBy("key").agg(best(F.struct("doc_id", "node", "n")).alias("c"))
                .select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
     joined = buckets.join(centres, "key").where("node <> centre").where(_comparable("n", "centre_n"))
     return joined.select("centre", F.col("node").alias("member")).distinct()
@@ -89,19 +90,10 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select("centre", F.col("node").alias("member")).distinct()
 
 
-def component_stars(buckets: DataFrame) -> DataFrame:
-    """(centre, member): each set of a bucket with the least node of every other component in it."""
-    centres = (buckets.groupBy("key", "component").agg(F.min(F.struct("node", "n")).alias("c"))
-               .select("key", F.col("component").alias("other"), "c.node", F.col("c.n").alias("centre_n"))
-               .withColumnRenamed("node", "centre"))
-    joined = buckets.join(centres, "key").where("component <> other").where(_comparable("n", "centre_n"))
-    return joined.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("member")).distinct()
-
-
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets whose sets are in more than one component, with component and bucket size."""
     named = buckets.join(labels, "node", "left").select(
-        "key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
+        "key", "node", "doc_id", "n", F.coalesce("component", "node").alias("component"))
     left = named.groupBy("key").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
     return named.join(left.where("a <> b").select("key", "size"), "key")
@@ -147,10 +139,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Equal sets are one class from the
     start, so groups of copies of any size cost one row per copy. Classes that share a band's key meet in a bucket,
-    and each is compared with the bucket's least node (star). Buckets that the links found so far leave in more than
+    and each is compared with the bucket's least doc_id (star). Buckets that the links found so far leave in more than
     one component go on: small ones compare the rest pair by pair across components; larger ones are split by each
     later band, which similar sets share nearly always, and start again, up to DEPTH bands together. What is still
-    large then compares each set with one set of every other component of its bucket.
+    large and open then is compared with the bucket's greatest doc_id, so that pairs never grow with the square of
+    a bucket: a link is missed only where both texts share two bands with over PAIRED others each, and no third text
+    or smaller bucket joins them.
 
     Texts null, empty or without words have an empty set and are linked with nothing. Rows without doc_id are
     returned with n_shingles, no component and kept. Rows that repeat a doc_id are returned as often as given; with
@@ -163,44 +157,48 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = scratch.keep(signatures(docs), "signatures")
     sets = rows.where("doc_id is not null and set_key is not null")
     classes = scratch.keep(
-        sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        .select("set_key", "first.*", F.xxhash64("set_key").alias("node")), "classes")
-    ours = classes.select("doc_id", "text_hash", "node", F.col("set_key").alias("own"))
-    bands = (sets.join(ours, ["doc_id", "text_hash"]).where("set_key = own")
-             .select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).distinct())
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = bands = scratch.keep(bands.join(shared, "key", "left_semi"), "buckets")
-    meeting = ours.join(bands.select("node").distinct(), "node", "left_semi").select("doc_id", "text_hash", "node")
-    texts = scratch.keep(docs.join(meeting, ["doc_id", "text_hash"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-
-    links = labels = None
+        sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"),
+                                    F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+        .select("set_key", "first.*", "n", "bands", F.xxhash64("set_key").alias("node")), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    met = scratch.keep(keyed.join(shared, "key", "left_semi"), "met")
+    classes = classes.drop("bands")
+    buckets = bands = scratch.keep(met.join(classes.select("node", "doc_id", "n"), "node"), "buckets")
+    meeting = classes.join(bands.select("node").distinct(), "node", "left_semi").select("doc_id", "text_hash", "node")
+    # a repeated row may give a node two equal texts, which does no harm
+    texts = scratch.keep(docs.join(meeting, ["doc_id", "text_hash"]).select("node", "text"), "texts")
+
+    stars = None
     tested = docs.sparkSession.createDataFrame([], "centre bigint, member bigint")
 
     def confirm(pairs: DataFrame) -> None:
-        nonlocal links, labels, tested
+        nonlocal stars, tested
         pairs = scratch.keep(pairs.join(tested, ["centre", "member"], "left_anti"), "pairs")
-        if links is not None and pairs.isEmpty():
+        if stars is not None and pairs.isEmpty():
             return
         found = linked(pairs, texts)
-        links = scratch.keep(found if links is None else links.unionByName(found), "links")
-        labels = scratch.keep(components(links, scratch), "labels")
+        stars = components(found if stars is None else stars.unionByName(found), scratch)
         tested = tested.unionByName(pairs)
 
     for depth in range(1, DEPTH + 1):
         confirm(star_pairs(buckets))
-        confirm(cross_pairs(open_buckets(buckets, labels).where(f"size <= {PAIRED}")))
-        large = scratch.keep(open_buckets(buckets, labels).where(f"size > {PAIRED}"), "large")
+        confirm(cross_pairs(open_buckets(buckets, labels(stars)).where(f"size <= {PAIRED}")))
+        large = scratch.keep(open_buckets(buckets, labels(stars)).where(f"size > {PAIRED}"), "large")
         if large.isEmpty():
             break
         if depth == DEPTH:
-            confirm(component_stars(large))
+            confirm(star_pairs(large, F.max))
             break
-        parent = large.select(F.col("key").alias("parent"), F.col("band").alias("at"), "node", "n")
-        finer = parent.join(bands.drop("n"), "node").where("band > at").select(
-            F.xxhash64("parent", "key").alias("key"), "band", "node", "n")
-        buckets = scratch.keep(finer, "buckets")
-
-    named = classes.join(labels, "node", "left").select(
+        last = F.col("key").bitwiseAND(F.lit(BINS // ROWS - 1))
+        parent = large.select(F.col("key").alias("parent"), last.alias("at"), "node", "doc_id", "n")
+        finer = parent.join(bands.select("node", "key", last.alias("band")), "node").where("band > at").select(
+            (F.xxhash64("parent", "key").bitwiseAND(F.lit(-(BINS // ROWS))).bitwiseOR(F.col("band"))).alias("key"),
+            "node", "doc_id", "n")
+        shared = finer.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+        buckets = scratch.keep(finer.join(shared, "key", "left_semi"), "buckets")
+
+    named = classes.join(labels(stars), "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
