@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,10 +25,14 @@ CACHE = 400_000     # chunks that a Python worker remembers
 _TOKENIZERS: dict[str, TokenBytes] = {}
 
 
+_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+
+
 class TokenBytes(dict):
     """Token ids as little-endian unsigned 32-bit bytes, by chunk between ASCII white space.
 
-    The vocabulary drops white space and never joins characters across it, so chunks are independent.
+    The vocabulary drops white space and never joins characters across it, so chunks are independent; so are the
+    runs of letters, the digits and the runs of other characters of an ASCII chunk without an apostrophe or `<|`.
     """
 
     def __init__(self, path: str):
@@ -35,17 +41,25 @@ class TokenBytes(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
         new = [c for c in chunks if c not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
             new = list(chunks)
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            coded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-            for chunk, found in zip(part, coded):
-                self[chunk] = np.array(found.ids, "<u4").tobytes()
+        split = [_PARTS.findall(c.lower()) if c.isascii() and b"'" not in c and b"<|" not in c else [c] for c in new]
+        wanted = {part for parts in split for part in parts}
+        if len(self.parts) + len(wanted) > 2 * CACHE:
+            self.parts.clear()
+        unknown = [part for part in wanted if part not in self.parts]
+        for at in range(0, len(unknown), 10_000):
+            some = unknown[at:at + 10_000]
+            coded = self.tokenizer.encode_batch([part.decode() for part in some], add_special_tokens=False)
+            for part, found in zip(some, coded):
+                self.parts[part] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        for chunk, parts in zip(new, split):
+            self[chunk] = b"".join([self.parts[part] for part in parts])
 
 
 def tokenizer(path: str) -> TokenBytes:
