@@ -33,19 +33,28 @@ def resolve_source(spark: SparkSession, folder: str, explicit: str | None = None
     return first["path"]
 
 
+def _typed(name: str, kind: str):
+    """Strict cast; a whole number may be written with decimals, as exports of columns with gaps do."""
+    column = F.col(name)
+    if kind in LENIENT_TYPES:
+        return column.try_cast(kind)
+    if kind in ("int", "bigint"):
+        return F.coalesce(column.try_cast(kind), F.round(column.cast("double")).cast(kind))
+    return column.cast(kind)
+
+
 def type_attempts(raw: DataFrame) -> DataFrame:
     """Select the attempt columns by name and cast them."""
-    return raw.select(*(
-        (F.col(name).try_cast(kind) if kind in LENIENT_TYPES else F.col(name).cast(kind)).alias(name)
-        for name, kind in ATTEMPT_COLUMNS
-    ))
+    return raw.select(*(_typed(name, kind).alias(name) for name, kind in ATTEMPT_COLUMNS))
 
 
 def read_attempts(spark: SparkSession, path: str, fmt: str | None = None,
-                  spread_gzip: int | None = None) -> DataFrame:
+                  spread_gzip: int | None = None, multiline: bool = False) -> DataFrame:
     """Typed attempts from a CSV, gzip CSV or Parquet file, folder or glob.
 
-    CSV columns are read as text and bound by header name. One gzip file is one read task, so
+    CSV columns are read as text and bound by header name. Quotes inside quotes are doubled, a backslash is an
+    ordinary character, and all columns are parsed in every query, so that a malformed row fails each of them.
+    Line breaks inside quotes need ``multiline``, which reads each file in one task. One gzip file is one read task, so
     ``spread_gzip`` sets a number of partitions to spread its rows over before anything else runs.
     """
     lower = path.lower().rstrip("/")
@@ -53,7 +62,10 @@ def read_attempts(spark: SparkSession, path: str, fmt: str | None = None,
         fmt = "parquet" if lower.endswith(".parquet") else "csv"
     if fmt == "parquet":
         return type_attempts(spark.read.parquet(path))
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = (
+        spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+        .option("columnPruning", False).option("multiLine", multiline).csv(path)
+    )
     if spread_gzip and lower.endswith(".gz"):
         # try_seq in the key keeps one huge session from landing in one partition
         raw = raw.repartition(spread_gzip, "session_key", "try_seq", "try_created_at")

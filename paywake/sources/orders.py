@@ -1,46 +1,23 @@
 """Payment attempts derived from an order / line item star schema.
 
 The supplied tables hold no payments, so every order becomes a payment session of its customer's
-nation and its first three line numbers become tries. FIXTURES.md section 3 states the mapping.
+nation and each of its lines a try. FIXTURES.md section 3 states the mapping.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywake.plans.hot import split_hot
-from paywake.plans.positions import positions, split_positions
-
-# Orders with more lines than this are numbered across tasks.
-HOT_ORDER_LINES = 1_000_000
-
-
-def numbered_lines(lineitem: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Lines numbered 1 to 3, renumbered per order by ship date; those of very large orders apart."""
-    order = [F.col(c).asc() for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    cold, hot = split_hot(lineitem, ["l_orderkey"], HOT_ORDER_LINES)
-    first = F.col("l_linenumber") <= 3
-    lines = positions(cold.where(first), ["l_orderkey"], order, "seq").withColumn("has_line", F.lit(True))
-    if hot is None:
-        return lines, None
-    many = split_positions(hot.where(first), ["l_orderkey"], order, "seq").withColumn("has_line", F.lit(True))
-    return lines, many
-
 
 def with_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Orders with each of their numbered lines, or none.
+    """Orders with each of their lines, or none.
 
-    An outer join cannot split the lines of one order over tasks, so very large orders take an inner
-    join, which can.
+    The inner join can be split at an order with very many lines, which an outer join cannot; orders
+    without lines are added by an anti join.
     """
-    lines, many = numbered_lines(lineitem)
     own = F.col("o_orderkey") == F.col("l_orderkey")
-    # lines are already hashed and sorted by order, so only the orders need to move
-    paired = orders.join(lines.hint("merge"), own, "left")
-    if many is None:
-        return paired
-    large = many.select(F.col("l_orderkey").alias("large_order")).distinct()
-    others = paired.join(large, F.col("o_orderkey") == F.col("large_order"), "left_anti")
-    return others.unionByName(orders.join(many, own))
+    paired = orders.join(lineitem.withColumn("has_line", F.lit(True)), own)
+    alone = orders.join(lineitem.select("l_orderkey"), own, "left_anti")
+    return paired.unionByName(alone, allowMissingColumns=True)
 
 
 def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,16 +26,18 @@ def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
 
     flag, nation = F.col("l_returnflag"), F.col("n_nationkey")
     final_line = F.col("l_linestatus") == "F"
+    cust, order_key = F.col("o_custkey"), F.col("o_orderkey")
     no_line = F.col("has_line").isNull()
+    never = no_line | (order_key % 6 == 0)
+    seq = F.when(~never, F.col("l_linenumber"))
     status = (
-        F.when(no_line, None)
+        F.when(never, None)
         .when((flag == "N") & (nation % 5 != 4), "Verified")
         .when((flag == "A") & (nation % 3 == 0), "Paid")
         .when((flag == "A") & final_line & (nation % 3 == 1), "Paid")
         .when((flag == "R") & final_line & (F.col("l_linenumber") == 1), "Reversed")
         .otherwise("Failed")
     )
-    cust, order_key, seq = F.col("o_custkey"), F.col("o_orderkey"), F.col("seq")
     hours = F.make_dt_interval(hours=(order_key % 24).cast("int"))
     orders = (
         table("orders")
@@ -85,7 +64,7 @@ def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", "InBank").otherwise("Failed").alias("session_status"),
         "try_status",
         flag.alias("switch_response_code"),
-        F.when(no_line, None).when(F.col("l_suppkey") % 17 == 0, "")
+        F.when(never, None).when(F.col("l_suppkey") % 17 == 0, "")
         .otherwise(F.concat(F.lit("PSP"), (F.col("l_suppkey") % 5).cast("string"))).alias("psp_code"),
         F.concat(F.lit("B"), (cust % 7).cast("string")).alias("issuer_bank_code"),
         F.when(cust % 33 == 0, None).when(cust % 20 == 0, "")

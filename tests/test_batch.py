@@ -87,11 +87,11 @@ def stored(spark, tmp_path_factory):
 def test_counts_of_the_derived_data(stored):
     _, built = stored
     counts = {r["table_name"]: r["row_count"] for r in tables.table_counts(built).collect()}
-    assert counts["attempts"] == 28323 and counts["sessions"] == 15000
-    assert counts["insights"] == counts["insight_evidence"] == 98
+    assert counts["attempts"] == 60257 and counts["sessions"] == 15000
+    assert counts["insights"] == counts["insight_evidence"] == 99
     assert counts["merchant_metrics"] == counts["peer_metrics"] == 25
     row = roll.session_totals(built["sessions"]).first()
-    assert [row[c] for c in roll.COUNTS] == [15000, 12339, 2661, 7592, 5444, 2148, 4747, 7655]
+    assert [row[c] for c in roll.COUNTS] == [15000, 12276, 2724, 9694, 5317, 4278, 2582, 11338]
 
 
 def test_tables_can_be_found_and_rebuilt(spark, stored):
@@ -167,3 +167,25 @@ def test_json_rows(spark):
 
 def test_sample_schema_matches(spark):
     assert samples.frame(spark, samples.SESSION_ROWS).columns == NAMES
+
+
+def test_csv_dialect(spark, tmp_path):
+    """Doubled quotes, backslashes, line breaks in quotes, and whole numbers written with decimals."""
+    from paywake.schema import ATTEMPT_COLUMNS
+    from paywake.sources.files import read_attempts
+
+    names = [name for name, _ in ATTEMPT_COLUMNS]
+    given = {"session_key": "s1", "try_seq": "1.0", "amount": "10", "created_at": "2024-01-07 23:00:00"}
+
+    def written(title):
+        path = tmp_path / f"{abs(hash(title))}.csv"
+        path.write_text(",".join(names) + "\n" + ",".join(given.get(n, title if n == "category_title" else "") for n in names) + "\n")
+        return str(path)
+
+    looked_at = ("session_key", "try_seq", "category_title", "amount")
+    for title, value in (('"He said ""hi"", ok"', 'He said "hi", ok'), ('"ends with \\"', "ends with \\")):
+        assert [tuple(r) for r in read_attempts(spark, written(title)).select(*looked_at).collect()] == [("s1", 1, value, 10.0)]
+    broken = written('"two\nlines"')
+    assert [tuple(r) for r in read_attempts(spark, broken, multiline=True).select(*looked_at).collect()] == [("s1", 1, "two\nlines", 10.0)]
+    with pytest.raises(Exception):
+        read_attempts(spark, broken).select(*looked_at).collect()

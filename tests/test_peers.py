@@ -172,7 +172,7 @@ def test_thresholds_of_every_rule(spark):
                found.where("insight_type = 'RECOVERY_OPPORTUNITY'").collect()}
     assert "1234567890.0 million" in summary["huge"]  # no exponent
     peer_text = found.where("insight_type = 'PEER_SUCCESS_GAP' AND merchant_key = 'edge'").first()
-    assert "percentile 25 of" in peer_text["summary"] and peer_text["source_table"] == "peer_metrics"
+    assert "percentile = 25 of 100" in peer_text["summary"] and peer_text["source_table"] == "peer_metrics"
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Union" not in plan
 

@@ -130,13 +130,13 @@ def test_hot_session_is_exact(spark):
     assert sorted(map(str, split.collect())) == sorted(map(str, ses.rank_attempts(attempts).select(*looked_at).collect()))
 
 
-def test_orders_with_very_many_lines(spark, monkeypatch):
+def test_every_line_is_an_attempt(spark):
     from paywake.sources import orders
 
     folder = "/root/testdata/sf0.001"
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    whole = sorted(map(str, orders.attempts_from_orders(spark, folder).collect()))
-    assert orders.numbered_lines(lines)[1] is None
-    monkeypatch.setattr(orders, "HOT_ORDER_LINES", 5)
-    assert orders.numbered_lines(lines)[1].count() > 0
-    assert sorted(map(str, orders.attempts_from_orders(spark, folder).collect())) == whole
+    lines, heads = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("lineitem", "orders"))
+    alone = heads.join(lines, heads.o_orderkey == lines.l_orderkey, "left_anti").count()
+    attempts = orders.attempts_from_orders(spark, folder)
+    assert attempts.count() == lines.join(heads, heads.o_orderkey == lines.l_orderkey).count() + alone
+    plan = attempts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "l_linenumber" in plan
