@@ -143,6 +143,11 @@ def base_digest(found: F.Column) -> F.Column:
     return F.array_join(F.transform(base, _written), ",")
 
 
+def number(found: F.Column, kind: str) -> F.Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def all_spans(found: F.Column) -> F.Column:
     return F.array_join(F.transform(found, _written), ",")
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from paywake.llm import decontaminate, imatch, langid, neardup, packing, perspectives, pii, quality, url_filter, warc
+from paywake.llm import decontaminate, imatch, langid, neardup, packing, perspectives, pii, quality, registry, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, `row` string, node string"
@@ -175,6 +175,20 @@ def test_pii_spans():
     assert pii.spans("a" * 200_000 + " " + "1" * 200_000 + "." + "é@" * 1000) == []
 
 
+def test_pii_query_counts_what_the_base_patterns_find(spark, tmp_path):
+    text = "a@b.cd e.f@g.hi 10.0.0.1, 4111 1111 1111 1111, +49 30 1234567 DE89370400440532013000"
+    spark.createDataFrame([(1, text), (2, None), (3, "\U0001f600 x@y.zz")], "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in registry.op3(spark, str(tmp_path)).collect()}
+    base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"10\.0\.0\.1", "card": r"4111[ 1]+1", "phone": r"\+49 30 1234567"}
+    spans = [f"{kind}:{m.start()}:{m.end()}" for kind, pattern in base.items() for m in re.finditer(pattern, text)]
+    assert [found[1][f"n_{kind}"] for kind in base] == [2, 1, 1, 1]
+    assert found[1]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    assert found[1]["spans"] == ",".join([*spans, f"iban:{len(text) - 22}:{len(text)}"])
+    assert found[2][1:] == (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    assert found[3]["spans"] == "email:2:8"
+
+
 def test_redaction_keeps_rows(docs, empty):
     assert pii.redact(docs).count() == docs.count() and pii.redact(docs).schema == docs.schema
     assert pii.find_pii(empty).count() == pii.redact(empty).count() == 0
