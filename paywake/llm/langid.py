@@ -6,20 +6,21 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywake.llm.store import Scratch
 from paywake.llm.words import slices
 
-SAMPLE = 12_000         # labelled texts that the tables are counted in, at most
-SAMPLE_CHARS = 4_000    # characters of each that are counted
+SAMPLE = 12_000         # labelled rows whose whole texts the tables are counted in; rows of equal text count as one
 WORDS = 60_000          # most frequent words of the sample that are known
 GRAMS = 20_000          # most frequent n-grams of each length
 LONGEST = 4             # characters of the longest n-gram
-CACHE = 200_000         # words that a Python worker remembers
+CACHE = 200_000         # chunks that a Python worker remembers, but for a text with more
 FLOOR = 0.5             # count of what a language lacks
 UNKNOWN = "und"
 
@@ -36,36 +37,17 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of known words and of n-grams of each length."""
+    """Log frequencies per language of known words and of n-grams of each length.
+
+    A text is scored through its chunks between white space: the evidence and the number of words of each chunk
+    are remembered, so that a chunk costs one look-up and a text one sum.
+    """
 
     def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
         self.languages = languages
         self.tables = tables            # [words, LONGEST-grams, ..., 1-grams]
-        self.seen: dict[str, np.ndarray] = {}
-
-    @classmethod
-    def learn(cls, texts: list[tuple[str, str]]) -> Model:
-        """From (text, language)."""
-        languages = sorted({lang for _, lang in texts})
-        counts: dict[str, Counter[str]] = {lang: Counter() for lang in languages}
-        for text, lang in texts:
-            counts[lang].update(words(text))
-        levels = [counts]
-        for n in range(LONGEST, 0, -1):
-            level: dict[str, Counter[str]] = {lang: Counter() for lang in languages}
-            for lang in languages:
-                for word, times in counts[lang].items():
-                    for gram in grams(word, n):
-                        level[lang][gram] += times
-            levels.append(level)
-        return cls(languages, [cls._table(level, languages, WORDS if k == 0 else GRAMS) for k, level in enumerate(levels)])
-
-    @staticmethod
-    def _table(level: dict[str, Counter[str]], languages: list[str], most: int) -> dict[str, np.ndarray]:
-        total = sum(level.values(), Counter())
-        known = sorted(total, key=lambda w: (-total[w], w))[:most]
-        sizes = np.array([sum(level[lang].values()) + FLOOR * len(known) for lang in languages])
-        return {w: np.log((np.array([level[lang][w] for lang in languages]) + FLOOR) / sizes) for w in known}
+        self.place: dict[str, int] = {}
+        self.chunks = np.zeros((1024, len(languages) + 1))      # evidence by language, number of words
 
     def _scores(self, word: str) -> np.ndarray:
         """Of a known word its own; else of the longest n-grams of which any is known, the mean; else none."""
@@ -79,23 +61,33 @@ class Model:
                 return mean - mean.max()
         return np.zeros(len(self.languages))
 
+    def _remember(self, chunks: set[str]) -> None:
+        new = chunks - self.place.keys()
+        if len(self.place) + len(new) > CACHE:
+            self.place.clear()
+            new = chunks
+        if len(self.place) + len(new) > len(self.chunks):
+            grown = np.zeros((2 * (len(self.place) + len(new)), len(self.languages) + 1))
+            grown[:len(self.place)] = self.chunks[:len(self.place)]
+            self.chunks = grown
+        for chunk in new:
+            at = self.place[chunk] = len(self.place)
+            found = _WORD.findall(chunk)
+            self.chunks[at, :-1] = sum((self._scores(w) for w in found), np.zeros(len(self.languages)))
+            self.chunks[at, -1] = len(found)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the evidence; UNKNOWN and 0 where there is no letter."""
-        counted = Counter(words(text or ""))
-        if not counted or not self.languages:
+        chunks = (text or "").lower().split()
+        if not chunks or not self.languages:
+            return UNKNOWN, 0.0
+        self._remember(set(chunks))
+        total = self.chunks[np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
+        if not total[-1]:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for word, times in counted.items():
-            scores = self.seen.get(word)
-            if scores is None:
-                scores = self._scores(word)
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                self.seen[word] = scores
-            total += times * scores
         # words of a text depend on each other: evidence grows with the root of their number
-        shares = np.exp((total - total.max()) / math.sqrt(sum(counted.values())))
-        best = int(total.argmax())
+        shares = np.exp((total[:-1] - total[:-1].max()) / math.sqrt(total[-1]))
+        best = int(shares.argmax())
         return self.languages[best], float(shares[best] / shares.sum())
 
 
@@ -104,16 +96,59 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def _grams(size: int) -> F.Column:
+    """(level, term) of the n-grams of `size` characters of <word>; every word has one letter at least."""
+    ends = F.char_length("word") + 3 - size
+    starts = F.when(ends > 0, F.sequence(F.lit(1), F.greatest(ends, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    padded = F.concat(F.lit("<"), "word", F.lit(">"))
+    return F.transform(starts, lambda at: F.struct(
+        F.lit(1 + LONGEST - size).alias("level"), F.substring(padded, at, F.lit(size)).alias("term")))
+
+
 def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Tables from at most SAMPLE labelled texts outside the held-out fold, those least in a hash of the text.
+    """Tables counted by Spark over the whole texts of a sample of labelled rows outside the held-out fold.
 
-    Bounded: SAMPLE texts of SAMPLE_CHARS characters reach the driver. Rows without text, language or doc_id are not
-    learned from.
+    The sample is the labelled rows whose hash of the text is among the SAMPLE least. What reaches the driver is
+    bounded: one hash, then WORDS words and GRAMS n-grams of each length with their counts by language. Rows
+    without text, language or doc_id are not learned from.
     """
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc)))
-    least = usable.select(F.xxhash64(text).alias("h"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-    rows = least.orderBy("h", "lang").limit(SAMPLE).collect()
-    return Model.learn([(r["text"], r["lang"]) for r in rows])
+    usable = usable.select(F.xxhash64(text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    greatest = usable.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            counts: Counter[tuple[str, str]] = Counter()
+            for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word, times in Counter(words(t)).items():
+                    counts[label, word] += times
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([label for label, _ in counts], pa.string()),
+                "word": pa.array([word for _, word in counts], pa.string()),
+                "n": pa.array(list(counts.values()), pa.int64())})
+
+    scratch = Scratch(docs.sparkSession, "language")
+    sample = usable.where(F.lit(False) if greatest is None else F.col("h") <= greatest).select("lang", "text")
+    known = scratch.keep(sample.mapInArrow(counted, "lang string, word string, n bigint")
+                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    levels = F.concat(F.array(F.struct(F.lit(0).alias("level"), F.col("word").alias("term"))),
+                      *(_grams(size) for size in range(LONGEST, 0, -1)))
+    counts = known.select("lang", "n", F.explode(levels).alias("t")).groupBy("lang", "t.level", "t.term").agg(F.sum("n").alias("n"))
+    # one entry per language
+    terms = scratch.keep(counts.groupBy("level", "term").agg(F.sum("n").alias("total"), F.map_from_entries(
+        F.collect_list(F.struct("lang", "n"))).alias("by")), "terms")
+    by = terms.select("level", F.explode("by").alias("lang", "n")).groupBy("level", "lang").agg(F.sum("n").alias("n"))
+    sizes = {(r["level"], r["lang"]): r["n"] for r in by.collect()}
+    languages = sorted({label for _, label in sizes})
+    leading = [terms.where(F.col("level") == level).orderBy(F.desc("total"), "term").limit(GRAMS if level else WORDS)
+               for level in range(1 + LONGEST)]
+    rows = reduce(DataFrame.unionByName, leading).collect()
+    tables = []
+    for level in range(1 + LONGEST):
+        found = [r for r in rows if r["level"] == level]
+        whole = np.array([sizes.get((level, label), 0) + FLOOR * len(found) for label in languages])
+        tables.append({r["term"]: np.log((np.array([r["by"].get(label, 0) for label in languages]) + FLOOR) / whole) for r in found})
+    return Model(languages, tables)
 
 
 def identify(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
