@@ -43,21 +43,22 @@ class Model:
     are remembered, so that a chunk costs one look-up and a text one sum.
     """
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
         self.languages = languages
-        self.tables = tables            # [words, LONGEST-grams, ..., 1-grams]
+        self.tables = tables            # [words, LONGEST-grams, ..., 1-grams]: row by term, and the rows
         self.place: dict[str, int] = {}
         self.chunks = np.zeros((1024, len(languages) + 1))      # evidence by language, number of words
 
     def _scores(self, word: str) -> np.ndarray:
         """Of a known word its own; else of the longest n-grams of which any is known, the mean; else none."""
-        found = self.tables[0].get(word)
-        if found is not None:
+        place, logs = self.tables[0]
+        if word in place:
+            found = logs[place[word]]
             return found - found.max()
-        for n, table in zip(range(LONGEST, 0, -1), self.tables[1:]):
-            rows = [table[g] for g in grams(word, n) if g in table]
+        for n, (place, logs) in zip(range(LONGEST, 0, -1), self.tables[1:]):
+            rows = [place[g] for g in grams(word, n) if g in place]
             if rows:
-                mean = np.mean(rows, axis=0)
+                mean = logs[rows].mean(axis=0)
                 return mean - mean.max()
         return np.zeros(len(self.languages))
 
@@ -147,7 +148,8 @@ def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
     for level in range(1 + LONGEST):
         found = [r for r in rows if r["level"] == level]
         whole = np.array([sizes.get((level, label), 0) + FLOOR * len(found) for label in languages])
-        tables.append({r["term"]: np.log((np.array([r["by"].get(label, 0) for label in languages]) + FLOOR) / whole) for r in found})
+        by = np.array([[r["by"].get(label, 0) for label in languages] for r in found], float).reshape(len(found), len(languages))
+        tables.append(({r["term"]: at for at, r in enumerate(found)}, np.log((by + FLOOR) / whole)))
     return Model(languages, tables)
 
 
