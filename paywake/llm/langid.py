@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +20,7 @@ SAMPLE = 12_000         # labelled rows whose whole texts the tables are counted
 WORDS = 60_000          # most frequent words of the sample that are known
 GRAMS = 20_000          # most frequent n-grams of each length
 LONGEST = 4             # characters of the longest n-gram
-CACHE = 200_000         # chunks that a Python worker remembers, but for a text with more
+CACHE = 200_000         # words that a Python worker remembers, but for a text with more
 FLOOR = 0.5             # count of what a language lacks
 UNKNOWN = "und"
 
@@ -39,55 +39,57 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies per language of known words and of n-grams of each length.
 
-    A text is scored through its chunks between white space: the evidence and the number of words of each chunk
-    are remembered, so that a chunk costs one look-up and a text one sum.
+    Evidence of each word met is remembered as a row of a matrix, so that a text costs one product.
     """
 
     def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
         self.languages = languages
         self.tables = tables            # [words, LONGEST-grams, ..., 1-grams]: row by term, and the rows
         self.place: dict[str, int] = {}
-        self.chunks = np.zeros((1024, len(languages) + 1))      # evidence by language, number of words
-
-    def _scores(self, word: str) -> np.ndarray:
-        """Of a known word its own; else of the longest n-grams of which any is known, the mean; else none."""
-        place, logs = self.tables[0]
-        if word in place:
-            found = logs[place[word]]
-            return found - found.max()
-        for n, (place, logs) in zip(range(LONGEST, 0, -1), self.tables[1:]):
-            rows = [place[g] for g in grams(word, n) if g in place]
-            if rows:
-                mean = logs[rows].mean(axis=0)
-                return mean - mean.max()
-        return np.zeros(len(self.languages))
-
-    def _remember(self, chunks: set[str]) -> None:
-        new = chunks - self.place.keys()
+        self.evidence = np.zeros((1024, len(languages)))
+
+    def _scores(self, new: list[str]) -> np.ndarray:
+        """Of a known word its own; else of the longest n-grams of which any is known, the mean; else zeros."""
+        out, left = np.zeros((len(new), len(self.languages))), range(len(new))
+        for n, (place, logs) in zip((0, *range(LONGEST, 0, -1)), self.tables):
+            rows, sizes, scored, later = [], [], [], []
+            for k in left:
+                found = [place[g] for g in (grams(new[k], n) if n else (new[k],)) if g in place]
+                if found:
+                    rows += found
+                    sizes.append(len(found))
+                    scored.append(k)
+                else:
+                    later.append(k)
+            if scored:
+                mean = np.add.reduceat(logs[rows], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes)[:, None]
+                out[scored] = mean - mean.max(axis=1, keepdims=True)
+            left = later
+        return out
+
+    def _remember(self, found: Iterable[str]) -> None:
+        new = [word for word in found if word not in self.place]
         if len(self.place) + len(new) > CACHE:
             self.place.clear()
-            new = chunks
-        if len(self.place) + len(new) > len(self.chunks):
-            grown = np.zeros((2 * (len(self.place) + len(new)), len(self.languages) + 1))
-            grown[:len(self.place)] = self.chunks[:len(self.place)]
-            self.chunks = grown
-        for chunk in new:
-            at = self.place[chunk] = len(self.place)
-            found = _WORD.findall(chunk)
-            self.chunks[at, :-1] = sum((self._scores(w) for w in found), np.zeros(len(self.languages)))
-            self.chunks[at, -1] = len(found)
+            new = list(found)
+        if len(self.place) + len(new) > len(self.evidence):
+            grown = np.zeros((2 * (len(self.place) + len(new)), len(self.languages)))
+            grown[:len(self.place)] = self.evidence[:len(self.place)]
+            self.evidence = grown
+        if new:
+            self.evidence[len(self.place):len(self.place) + len(new)] = self._scores(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the evidence; UNKNOWN and 0 where there is no letter."""
-        chunks = (text or "").lower().split()
-        if not chunks or not self.languages:
-            return UNKNOWN, 0.0
-        self._remember(set(chunks))
-        total = self.chunks[np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
-        if not total[-1]:
+        counted = Counter(words(text or ""))
+        if not counted or not self.languages:
             return UNKNOWN, 0.0
+        self._remember(counted.keys())
+        times = np.fromiter(counted.values(), float, len(counted))
+        total = times @ self.evidence[np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))]
         # words of a text depend on each other: evidence grows with the root of their number
-        shares = np.exp((total[:-1] - total[:-1].max()) / math.sqrt(total[-1]))
+        shares = np.exp((total - total.max()) / math.sqrt(times.sum()))
         best = int(shares.argmax())
         return self.languages[best], float(shares[best] / shares.sum())
 
