@@ -75,6 +75,18 @@ def _comparable(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of one bucket of each member set of two or more; of equal buckets that of the first band.
+
+    Texts that share many bands meet in many buckets of the same members, each of which would give the same pairs.
+    """
+    band = F.col("key").bitwiseAND(F.lit(BINS // ROWS - 1))
+    met = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor("node").alias("a"), F.bit_xor(F.xxhash64("node")).alias("b"))
+    first = met.where("size > 1").groupBy("size", "a", "b").agg(F.min(F.struct(band.alias("band"), "key")).alias("first"))
+    return rows.join(first.select("first.key"), "key", "left_semi")
+
+
 def star_pairs(buckets: DataFrame, best=F.min) -> DataFrame:
     """(centre, member): each set of a bucket with the one of least doc_id, or of greatest by F.max."""
     centres = (buckets.groupBy("key").agg(best(F.struct("doc_id", "node", "n")).alias("c"))
@@ -141,10 +153,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     start, so groups of copies of any size cost one row per copy. Classes that share a band's key meet in a bucket,
     and each is compared with the bucket's least doc_id (star). Buckets that the links found so far leave in more than
     one component go on: small ones compare the rest pair by pair across components; larger ones are split by each
-    later band, which similar sets share nearly always, and start again, up to DEPTH bands together. What is still
-    large and open then is compared with the bucket's greatest doc_id, so that pairs never grow with the square of
-    a bucket: a link is missed only where both texts share two bands with over PAIRED others each, and no third text
-    or smaller bucket joins them.
+    later band, which similar sets share nearly always, and start again, up to DEPTH bands together. What is large
+    then is compared with the bucket's greatest doc_id, so that pairs never grow with the square of a bucket: a link
+    is missed only where both texts share two bands with over PAIRED others each, and no third text or smaller bucket
+    joins them.
 
     Texts null, empty or without words have an empty set and are linked with nothing. Rows without doc_id are
     returned with n_shingles, no component and kept. Rows that repeat a doc_id are returned as often as given; with
@@ -160,12 +172,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"),
                                     F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
         .select("set_key", "first.*", "n", "bands", F.xxhash64("set_key").alias("node")), "classes")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    met = scratch.keep(keyed.join(shared, "key", "left_semi"), "met")
+    bands = classes.select("node", "doc_id", "n", F.explode("bands").alias("key"))
+    buckets = scratch.keep(distinct_buckets(bands), "buckets")
     classes = classes.drop("bands")
-    buckets = bands = scratch.keep(met.join(classes.select("node", "doc_id", "n"), "node"), "buckets")
-    meeting = classes.join(bands.select("node").distinct(), "node", "left_semi").select("doc_id", "text_hash", "node")
+    meeting = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id", "text_hash", "node")
     # a repeated row may give a node two equal texts, which does no harm
     texts = scratch.keep(docs.join(meeting, ["doc_id", "text_hash"]).select("node", "text"), "texts")
 
@@ -183,8 +193,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     for depth in range(1, DEPTH + 1):
         confirm(star_pairs(buckets))
-        confirm(cross_pairs(open_buckets(buckets, labels(stars)).where(f"size <= {PAIRED}")))
-        large = scratch.keep(open_buckets(buckets, labels(stars)).where(f"size > {PAIRED}"), "large")
+        left = scratch.keep(open_buckets(buckets, labels(stars)), "open")
+        confirm(cross_pairs(left.where(f"size <= {PAIRED}")))
+        large = left.where(f"size > {PAIRED}")
         if large.isEmpty():
             break
         if depth == DEPTH:
@@ -195,8 +206,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         finer = parent.join(bands.select("node", "key", last.alias("band")), "node").where("band > at").select(
             (F.xxhash64("parent", "key").bitwiseAND(F.lit(-(BINS // ROWS))).bitwiseOR(F.col("band"))).alias("key"),
             "node", "doc_id", "n")
-        shared = finer.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        buckets = scratch.keep(finer.join(shared, "key", "left_semi"), "buckets")
+        buckets = scratch.keep(distinct_buckets(finer), "buckets")
 
     named = classes.join(labels(stars), "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component"))
