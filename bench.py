@@ -31,7 +31,7 @@ def spark_steps():
     from pyspark.sql import SparkSession
 
     from paywake.operators import context, customers, explorer, insights, peers, rollups, scores, sessions
-    from paywake.plans.batch import HOT_SESSION_ROWS, build_all
+    from paywake.plans.batch import build_all
     from paywake.sources.orders import attempts_from_orders
     from paywake.sources.tables import read_table
 
@@ -58,7 +58,7 @@ def spark_steps():
 
     def insight_step():
         merchants = table("merchant_metrics")
-        ranked = peers.peer_metrics(merchants, split=peers.large_groups(merchants, ["category_id"]))
+        ranked = peers.peer_metrics(merchants)
         found = insights.build_insights(ranked)
         run(ranked, found, insights.insight_evidence(found, ranked, insights.methodology(spark)))
 
@@ -74,7 +74,7 @@ def spark_steps():
     del stored
     steps = {
         "attempts_to_sessions": lambda: run(
-            sessions.build_sessions(table("attempts"), hot_rows=HOT_SESSION_ROWS)),
+            sessions.build_sessions(table("attempts"))),
         "five_rollups": rollup_step,
         "seasonality": lambda: run(*rollups.seasonality(table("sessions")).values(),
                                    rollups.calendar_metrics(table("sessions"))),

@@ -13,11 +13,6 @@ def _renamed(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
     return named, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
 
 
-def match_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Left rows with (left_semi) or without (left_anti) a partner."""
-    return left.join(*_renamed(right.select(*keys), keys), how)
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Left columns, then the right columns without its keys. Other column names must not repeat."""
     kept = [c for c in right.columns if c not in keys]

@@ -21,21 +21,12 @@ PERCENTILES = {
 # Fixed band edges: a merchant's band is the number of edges its successful volume reaches.
 VOLUME_BANDS = (1e8, 1e9, 1e10, 1e11)
 
-# A category with more merchants than this is ranked across many tasks instead of in one window.
-WINDOW_MERCHANTS = 1_000_000
-
 
 def volume_band(edges=VOLUME_BANDS) -> Column:
     reached = (F.when(F.col("successful_volume") >= edge, 1).otherwise(0) for edge in edges)
     return reduce(lambda a, b: a + b, reached)
 
 
-def large_groups(merchants: DataFrame, group: list[str], rows: int = WINDOW_MERCHANTS) -> bool:
-    """Whether some group has more than ``rows`` merchants. Runs a count, so pass a written table."""
-    sizes = merchants.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    return not sizes.where(F.col("rows") > rows).isEmpty()
-
-
 def _window_percentiles(merchants: DataFrame, group: list[str]) -> DataFrame:
     """Four windows over one partitioning: one exchange. NULL metrics rank last."""
     in_group = W.partitionBy(*group)
@@ -67,12 +58,12 @@ def _split_percentiles(merchants: DataFrame, group: list[str]) -> DataFrame:
 
 
 def peer_metrics(merchants: DataFrame, band: bool = False, min_peers: int = 0,
-                 split: bool = False) -> DataFrame:
+                 split: bool = True) -> DataFrame:
     """Merchant rows with four percentiles inside the category.
 
     ``band`` narrows the peer group to the merchant's volume band and adds it as a column;
-    ``min_peers`` blanks the percentiles of smaller groups; ``split`` ranks large groups across
-    tasks (see large_groups).
+    ``min_peers`` blanks the percentiles of smaller groups. A group may span many tasks;
+    ``split=False`` sorts each in one task, for groups known to be small.
     """
     group = ["category_id"]
     if band:
@@ -105,7 +96,7 @@ def peer_table(peers: DataFrame, k: int = 50, members: DataFrame | None = None)
     return asked.join(listed, "category_id")
 
 
-def peer_rank(merchants: DataFrame, split: bool = False) -> DataFrame:
+def peer_rank(merchants: DataFrame, split: bool = True) -> DataFrame:
     """Place of every merchant in its category by success rate, NULL counting as 0."""
     score = F.coalesce("final_success_rate", F.lit(0.0))
     order = [score.desc(), F.col("merchant_key").asc_nulls_first()]
@@ -113,7 +104,7 @@ def peer_rank(merchants: DataFrame, split: bool = False) -> DataFrame:
     return positions(slim, ["category_id"], order, "peer_rank", "peer_count", split)
 
 
-def peer_median(merchants: DataFrame, metric: str = "final_success_rate", split: bool = False) -> DataFrame:
+def peer_median(merchants: DataFrame, metric: str = "final_success_rate", split: bool = True) -> DataFrame:
     """Each merchant's metric next to the median of its category; merchants without it do not count."""
     known = merchants.where(F.col(metric).isNotNull()).select("category_id", "merchant_key", metric)
     order = [F.col(metric).asc(), F.col("merchant_key").asc_nulls_first()]

@@ -4,8 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywake.functions.columns import has_text, succeeded
-from paywake.plans.hot import split_hot
-from paywake.plans.positions import number_rows
+from paywake.plans.positions import positions
 
 
 def _real() -> Column:
@@ -13,10 +12,10 @@ def _real() -> Column:
     return F.col("try_seq") > 0
 
 
-def rank_attempts(attempts: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def rank_attempts(attempts: DataFrame, split: bool = True) -> DataFrame:
     """Number every attempt of a session, tries without a time last.
 
-    With ``hot_rows`` the sessions with more attempts than that are numbered across tasks.
+    A session may span many tasks. ``split=False`` sorts each in one task, for sessions known to be small.
     """
     order = [
         F.col("try_seq").asc_nulls_last(),
@@ -25,7 +24,7 @@ def rank_attempts(attempts: DataFrame, hot_rows: int | None = None) -> DataFrame
         F.col("psp_code").asc_nulls_first(),
         F.col("try_status").asc_nulls_first(),
     ]
-    return number_rows(attempts, ["session_key"], order, "attempt_rank", hot_rows)
+    return positions(attempts, ["session_key"], order, "attempt_rank", split=split)
 
 
 def _first_try() -> Column:
@@ -69,27 +68,18 @@ def _newest_try() -> Column:
 
 
 def build_sessions(attempts: DataFrame, terminal: str = "max_text",
-                   hot_rows: int | None = None) -> DataFrame:
+                   small: bool = False) -> DataFrame:
     """Collapse attempts to sessions with first-try, retry and recovery flags.
 
     ``terminal`` picks the terminal columns (session_status, last_attempt_status, last_psp_code):
     "max_text" takes the alphabetically largest value, "latest" the values of the newest real try.
 
-    Two plans give the same rows:
-
-    * without ``hot_rows`` Spark combines on (session, PSP) first and on the session second. Both
-      exchanges receive combined rows, so a session that holds a large part of the table never
-      reaches one task row by row.
-    * with ``hot_rows`` the sessions holding more attempts than that are looked up first, with one
-      count over the session_key column. They take the plan above; all others are hashed to their
-      session in a single exchange, which is about half the work. Pass a written table: the
-      look-up runs when this function is called.
+    Spark combines on (session, PSP) first and on the session second. Both exchanges receive combined
+    rows, so a session that holds a large part of the table never reaches one task row by row.
+    ``small=True``, for sessions known to fit in a task, hashes each to one task in a single exchange,
+    which is about half the work and gives the same rows.
     """
-    if hot_rows is None:
-        return _collapse(attempts, terminal)
-    cold, hot = split_hot(attempts, ["session_key"], hot_rows)
-    sessions = _collapse(cold.repartition("session_key"), terminal)
-    return sessions if hot is None else sessions.unionByName(_collapse(hot, terminal))
+    return _collapse(attempts.repartition("session_key") if small else attempts, terminal)
 
 
 def _collapse(attempts: DataFrame, terminal: str) -> DataFrame:

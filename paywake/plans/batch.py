@@ -4,21 +4,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paywake.operators import insights as ins
 from paywake.operators import rollups
-from paywake.operators.peers import large_groups, peer_metrics
+from paywake.operators.peers import peer_metrics
 from paywake.operators.sessions import build_sessions
 from paywake.sources.files import read_attempts
 from paywake.sources.tables import read_table, write_tables
 
-# Sessions with more attempts than this are aggregated apart from the others.
-HOT_SESSION_ROWS = 1_000_000
-
 
 def build_all(spark: SparkSession, source: str | DataFrame, out: str,
-              hot_rows: int = HOT_SESSION_ROWS) -> dict[str, DataFrame]:
+              fmt: str | None = None, spread_gzip: int | None = None) -> dict[str, DataFrame]:
     """Build and store the eleven tables under ``out`` and return them as stored.
 
     Each stage reads what the stage before has written, so nothing is computed twice and a lost
-    executor costs only the running stage. ``source`` is a path for read_attempts, or attempts.
+    executor costs only the running stage. ``source`` is a path for read_attempts, which takes
+    ``fmt`` and ``spread_gzip``, or attempts; resolve_source finds the path in a folder.
     """
     stored: dict[str, DataFrame] = {}
 
@@ -26,13 +24,11 @@ def build_all(spark: SparkSession, source: str | DataFrame, out: str,
         write_tables(tables, out)
         stored.update({name: read_table(spark, out, name, df.schema) for name, df in tables.items()})
 
-    store(attempts=source if isinstance(source, DataFrame) else read_attempts(spark, source))
-    store(sessions=build_sessions(stored["attempts"], hot_rows=hot_rows))
+    store(attempts=source if isinstance(source, DataFrame) else read_attempts(spark, source, fmt, spread_gzip))
+    store(sessions=build_sessions(stored["attempts"]))
     store(**rollups.roll_up_all(stored["sessions"]), insight_methodology=ins.methodology(spark))
-    merchants = stored["merchant_metrics"]
-    # rows per merchant only, so ranking them once per table is cheaper than three steps in turn
-    peers = peer_metrics(merchants, split=large_groups(merchants, ["category_id"]))
-    insights = ins.build_insights(peers)
-    store(peer_metrics=peers, insights=insights,
-          insight_evidence=ins.insight_evidence(insights, peers, stored["insight_methodology"]))
+    store(peer_metrics=peer_metrics(stored["merchant_metrics"]))
+    insights = ins.build_insights(stored["peer_metrics"])
+    store(insights=insights,
+          insight_evidence=ins.insight_evidence(insights, stored["peer_metrics"], stored["insight_methodology"]))
     return stored

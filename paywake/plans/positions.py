@@ -5,12 +5,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paywake.functions.joins import join_on
-from paywake.plans.hot import split_hot
 from paywake.plans.materialize import materialize
 
-# Up to this many rows per group Spark prunes a row_number filter before its shuffle
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to this many rows per group Spark prunes a row_number filter before its shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def split_positions(df: DataFrame, group: list[str], order: list[Column],
@@ -47,8 +45,8 @@ def split_positions(df: DataFrame, group: list[str], order: list[Column],
 
 
 def positions(df: DataFrame, group: list[str], order: list[Column], number: str = "row_no",
-              size: str | None = None, split: bool = False) -> DataFrame:
-    """Row numbers (and group sizes), by window or, for large groups, by split_positions."""
+              size: str | None = None, split: bool = True) -> DataFrame:
+    """Row numbers (and group sizes) by split_positions, or by a window if a task can sort any group."""
     if split:
         return split_positions(df, group, order, number, size)
     in_group = W.partitionBy(*group)
@@ -56,23 +54,13 @@ def positions(df: DataFrame, group: list[str], order: list[Column], number: str
     return df.withColumn(size, F.count(F.lit(1)).over(in_group)) if size else df
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column], number: str,
-                hot_rows: int | None = None) -> DataFrame:
-    """Row numbers in every group; groups of more than ``hot_rows`` rows by split_positions."""
-    if hot_rows is None:
-        return positions(df, group, order, number)
-    cold, hot = split_hot(df, group, hot_rows)
-    numbered = positions(cold, group, order, number)
-    return numbered if hot is None else numbered.unionByName(split_positions(hot, group, order, number))
-
-
 def page_of_group(df: DataFrame, group: list[str], order: list[Column], limit: int, offset: int = 0,
                   number: str = "row_no") -> DataFrame:
     """Rows offset+1 … offset+limit of every group.
 
     A shallow page is cut by each map task before the shuffle, so group size does not matter. A page
-    deeper than GROUP_LIMIT would not be, and is numbered by split_positions instead.
+    that ends beyond GROUP_LIMIT would not be, and is numbered by split_positions instead.
     """
     last = offset + limit
-    numbered = positions(df, group, order, number, split=last > GROUP_LIMIT)
+    numbered = positions(df, group, order, number, split=last > int(df.sparkSession.conf.get(GROUP_LIMIT)))
     return numbered.where((F.col(number) <= last) & (F.col(number) > offset))

@@ -55,7 +55,8 @@ def read_attempts(spark: SparkSession, path: str, fmt: str | None = None,
     CSV columns are read as text and bound by header name. Quotes inside quotes are doubled, a backslash is an
     ordinary character, and all columns are parsed in every query, so that a malformed row fails each of them.
     Line breaks inside quotes need ``multiline``, which reads each file in one task. One gzip file is one read task, so
-    ``spread_gzip`` sets a number of partitions to spread its rows over before anything else runs.
+    its rows are spread before anything else runs, over ``spread_gzip`` partitions if it is set and over Spark's
+    number of shuffle partitions otherwise; 0 leaves them together.
     """
     lower = path.lower().rstrip("/")
     if fmt is None:
@@ -66,7 +67,8 @@ def read_attempts(spark: SparkSession, path: str, fmt: str | None = None,
         spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
         .option("columnPruning", False).option("multiLine", multiline).csv(path)
     )
-    if spread_gzip and lower.endswith(".gz"):
+    if spread_gzip != 0 and lower.endswith(".gz"):
         # try_seq in the key keeps one huge session from landing in one partition
-        raw = raw.repartition(spread_gzip, "session_key", "try_seq", "try_created_at")
+        keys = ("session_key", "try_seq", "try_created_at")
+        raw = raw.repartition(spread_gzip, *keys) if spread_gzip else raw.repartition(*keys)
     return type_attempts(raw)

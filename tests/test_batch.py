@@ -100,7 +100,7 @@ def test_tables_can_be_found_and_rebuilt(spark, stored):
     assert tables.table_columns(spark, out, "insights")[0] == "merchant_key"
     assert tables.table_columns(spark, out, "nothing") == []
     before = sorted(map(str, built["insight_evidence"].collect()))
-    again = build_all(spark, built["attempts"].where("merchant_key <> 'NATION_3'"), out + "/again", hot_rows=3)
+    again = build_all(spark, built["attempts"].where("merchant_key <> 'NATION_3'"), out + "/again")
     assert again["merchant_metrics"].count() == 24
     again = build_all(spark, attempts_from_orders(spark, "/root/testdata/sf0.01"), out + "/again")
     assert sorted(map(str, again["insight_evidence"].collect())) == before

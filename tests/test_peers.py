@@ -99,11 +99,6 @@ def test_peer_table(merchants):
         ("m00", "m10"), ("m00", "m08"), ("m00", "m09"), ("alone", "alone")}
 
 
-def test_large_groups(merchants):
-    assert peer.large_groups(merchants, ["category_id"], rows=11)
-    assert not peer.large_groups(merchants, ["category_id"], rows=12)
-
-
 def test_split_positions_over_many_partitions(spark):
     rows = [("hot", random.choice([1.0, 1.0, 2.0, None]), i) for i in range(3000)]
     rows += [(f"g{i % 50}", float(i % 7), 5000 + i) for i in range(500)] + [(None, 1.0, 9000), (None, 1.0, 9001)]
@@ -135,7 +130,7 @@ def test_shallow_page_is_cut_before_the_shuffle(spark):
 
 def test_window_percentiles_use_one_exchange(spark, merchants, tmp_path):
     merchants.write.parquet(str(tmp_path / "m"))
-    plan = peer.peer_metrics(spark.read.parquet(str(tmp_path / "m")))._jdf.queryExecution().executedPlan()
+    plan = peer.peer_metrics(spark.read.parquet(str(tmp_path / "m")), split=False)._jdf.queryExecution().executedPlan()
     assert plan.toString().count("Exchange") == 1
 
 

@@ -14,9 +14,9 @@ def by_key(df, columns):
     return {r["session_key"]: tuple(r[c] for c in columns) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 100, 1])
-def test_flags_of_every_rule(spark, hot_rows):
-    built = ses.build_sessions(frame(spark, samples.SESSION_ROWS), hot_rows=hot_rows)
+@pytest.mark.parametrize("small", [False, True])
+def test_flags_of_every_rule(spark, small):
+    built = ses.build_sessions(frame(spark, samples.SESSION_ROWS), small=small)
     assert by_key(built, samples.EXPECTED_COLUMNS) == samples.EXPECTED
 
 
@@ -52,8 +52,8 @@ def test_first_attempts_and_ranks(spark):
 def test_null_session_key_is_one_session_in_both_plans(spark):
     rows = [attempt(None, 1), attempt(None, 2, "Paid", "P2", 2), attempt("x", 1)]
     safe = ses.build_sessions(frame(spark, rows))
-    split = ses.build_sessions(frame(spark, rows), hot_rows=1)
-    assert sorted(map(str, safe.collect())) == sorted(map(str, split.collect()))
+    small = ses.build_sessions(frame(spark, rows), small=True)
+    assert sorted(map(str, safe.collect())) == sorted(map(str, small.collect()))
     assert safe.where("session_key IS NULL").first()["recovered"]
 
 
@@ -91,7 +91,7 @@ def test_random_attempts_in_any_order(spark, drawn, rnd):
                "retried", "no_attempt", "final_success"]
     attempts = frame(spark, rows).repartition(random.randint(1, 5))
     assert by_key(ses.build_sessions(attempts), columns) == expected
-    assert by_key(ses.build_sessions(attempts, hot_rows=5), columns) == expected
+    assert by_key(ses.build_sessions(attempts, small=True), columns) == expected
 
 
 def plan_of(df):
@@ -103,8 +103,8 @@ def test_plans(spark, tmp_path):
     attempts = spark.read.parquet(str(tmp_path / "attempts"))
     safe = plan_of(ses.build_sessions(attempts))
     assert safe.count("Exchange hashpartitioning") == 2 and "Join" not in safe and "Window" not in safe
-    cold = plan_of(ses.build_sessions(attempts, hot_rows=1000))
-    assert cold.count("Exchange hashpartitioning") == 1
+    small = plan_of(ses.build_sessions(attempts, small=True))
+    assert small.count("Exchange hashpartitioning") == 1
     pruned = plan_of(ses.build_sessions(attempts).select("session_key", "attempt_count"))
     assert "terminal_key" not in pruned and "amount" not in pruned.split("ReadSchema")[1]
 
@@ -122,12 +122,12 @@ def test_hot_session_is_exact(spark):
     attempts = base.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in template.schema))
     columns = ["attempt_count", "psp_count", "any_success", "first_psp_code"]
     safe = by_key(ses.build_sessions(attempts), columns)
-    assert safe == by_key(ses.build_sessions(attempts, hot_rows=1000), columns)
+    assert safe == by_key(ses.build_sessions(attempts, small=True), columns)
     assert safe["hot"][:3] == (5000, 11, True) and len(safe) == 301
     # rows that agree in everything the order looks at may swap numbers
     looked_at = ["session_key", "try_seq", "psp_code", "try_status", "attempt_rank"]
-    split = ses.rank_attempts(attempts, hot_rows=1000).select(*looked_at)
-    assert sorted(map(str, split.collect())) == sorted(map(str, ses.rank_attempts(attempts).select(*looked_at).collect()))
+    split, small = (ses.rank_attempts(attempts, split=split).select(*looked_at) for split in (True, False))
+    assert sorted(map(str, split.collect())) == sorted(map(str, small.collect()))
 
 
 def test_every_line_is_an_attempt(spark):
