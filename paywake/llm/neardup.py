@@ -16,9 +16,11 @@ from paywake.llm.words import binary, mixed, shingle_set, slices
 
 BINS = 128          # of the one permutation
 ROWS = 4            # bins in a band: 32 bands find a pair of similarity 0.75 but for 5 in a million
-PAIRED = 16         # buckets of at most so many documents pair them all, larger ones are split by a further band
-DEPTH = 2           # bands that documents of a bucket share at most before the last comparison
+PAIRED = 16         # buckets of at most so many documents are paired row by row, larger ones part by part
 MEMBERS = 64        # documents that one task compares with a centre before the centre is sent to another task
+PART = 256          # documents that a part of a larger bucket has about, and
+PART_SHINGLES = 500_000     # shingles that they have together
+COLUMNS = 4096      # shingles counted at a time in two parts
 
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: For every bin the order in which it asks other bins for a value while it has none.
@@ -87,9 +89,9 @@ def distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(first.select("first.key"), "key", "left_semi")
 
 
-def star_pairs(buckets: DataFrame, best=F.min) -> DataFrame:
-    """(centre, member): each set of a bucket with the one of least doc_id, or of greatest by F.max."""
-    centres = (buckets.groupBy("key").agg(best(F.struct("doc_id", "node", "n")).alias("c"))
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(centre, member): each set of a bucket with the one of least doc_id."""
+    centres = (buckets.groupBy("key").agg(F.min(F.struct("doc_id", "node", "n")).alias("c"))
                .select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
     joined = buckets.join(centres, "key").where("node <> centre").where(_comparable("n", "centre_n"))
     return joined.select("centre", F.col("node").alias("member")).distinct()
@@ -146,17 +148,115 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "u bigint, v bigint")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of `left` has in common with each of `right`."""
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    (a, a_row), (b, b_row) = entries(left), entries(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, len(both), COLUMNS):
+        columns = both[start:start + COLUMNS]
+        marks = []
+        for hashes, row, sets in ((a, a_row, left), (b, b_row, right)):
+            some = slice(np.searchsorted(hashes, columns[0]), np.searchsorted(hashes, columns[-1], "right"))
+            at = np.minimum(np.searchsorted(columns, hashes[some]), len(columns) - 1)
+            shared = columns[at] == hashes[some]
+            mark = np.zeros((len(sets), len(columns)), np.float32)
+            mark[row[some][shared], at[shared]] = 1
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)     # at most COLUMNS each: exact
+    return out
+
+
+def joined(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Links that join the components of the similar (component, set) of both lists, none twice."""
+    names = [np.array([c for c, _ in side], np.int64) for side in (left, right)]
+    sizes = [np.array([len(s) for _, s in side], np.int64) for side in (left, right)]
+    common = overlaps([s for _, s in left], [s for _, s in right])
+    similar = 100 * common >= 75 * (sizes[0][:, None] + sizes[1][None, :] - common)
+    rows, columns = np.nonzero(similar & (names[0][:, None] != names[1][None, :]))
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            above[c] = c = above.get(above[c], above[c])
+        return c
+
+    for a, b in zip(names[0][rows].tolist(), names[1][columns].tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            yield a, b
+
+
+def parts(large: DataFrame) -> DataFrame:
+    """(key, part, sole, node, component): buckets dealt into parts of about PART sets and PART_SHINGLES shingles.
+
+    A component that is larger than a part has parts of its own and is their `sole` component.
+    """
+    def needed(count, shingles):
+        return F.ceil(F.greatest(count / PART, shingles / PART_SHINGLES))
+
+    own = large.groupBy("key", "component").agg(needed(F.count("*"), F.sum("n")).alias("own"),
+                                                F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    rest = own.where("own = 1").groupBy("key").agg(needed(F.sum("sets"), F.sum("shingles")).alias("rest"))
+    sole = F.when(F.col("own") > 1, F.col("component"))
+    dealt = large.join(own.select("key", "component", "own"), ["key", "component"]).join(rest, "key", "left")
+    turn = F.pmod(F.xxhash64("node"), F.when(F.col("own") > 1, F.col("own")).otherwise(F.col("rest")))
+    return dealt.select("key", F.xxhash64(F.col("own") > 1, sole, turn).alias("part"), sole.alias("sole"), "node", "component")
+
+
+def linked_across(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): components that a pair of similar sets in one bucket joins, by all pairs across components.
+
+    A bucket's parts meet two by two, each two in a task that holds their sets only, and two parts of one component
+    not at all. So each set is sent as often as its bucket has parts, a PART-th of the pairs it is in, and the links
+    of two parts are fewer than their sets.
+    """
+    dealt = scratch.keep(parts(large), "parts")
+    all_parts = dealt.groupBy("key", "part").agg(F.any_value("sole").alias("sole"))
+    other = all_parts.select("key", F.col("part").alias("right"), F.col("sole").alias("other"))
+    meetings = all_parts.withColumnRenamed("part", "left").join(other, "key").where(
+        "left <= right and coalesce(sole <> other, true)").select("key", "left", "right")
+    sides = meetings.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("part"))
+    rows = dealt.drop("sole").join(sides, ["key", "part"]).join(texts, "node").select(
+        "key", "left", "right", (F.col("part") == F.col("right")).alias("second"), "component", "text")
+    rows = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            first, second = held
+            found = list(joined(first or second, second))     # a part that meets itself is all second
+            return pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in found], pa.int64()),
+                                               "v": pa.array([b for _, b in found], pa.int64())})
+
+        meeting, held = None, ([], [])
+        for batch in slices(batches, "text"):
+            fields = [batch.column(k).to_pylist() for k in range(5)]
+            for *now, second, component, text in zip(*fields, binary(batch.column(5))):
+                if now != meeting:
+                    if meeting is not None:
+                        yield links()
+                    meeting, held = now, ([], [])
+                held[second].append((component, shingle_set(text)))
+        if meeting is not None:
+            yield links()
+
+    return rows.mapInArrow(compare, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row's component of documents linked by a similarity of 0.75 or more of their 5-word shingle sets.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Equal sets are one class from the
     start, so groups of copies of any size cost one row per copy. Classes that share a band's key meet in a bucket,
     and each is compared with the bucket's least doc_id (star). Buckets that the links found so far leave in more than
-    one component go on: small ones compare the rest pair by pair across components; larger ones are split by each
-    later band, which similar sets share nearly always, and start again, up to DEPTH bands together. What is large
-    then is compared with the bucket's greatest doc_id, so that pairs never grow with the square of a bucket: a link
-    is missed only where both texts share two bands with over PAIRED others each, and no third text or smaller bucket
-    joins them.
+    one component compare all their pairs across components: small ones as rows, larger ones part by part. So every
+    two texts that share a band are compared, unless other links join them already; buckets of any size are whole.
 
     Texts null, empty or without words have an empty set and are linked with nothing. Rows without doc_id are
     returned with n_shingles, no component and kept. Rows that repeat a doc_id are returned as often as given; with
@@ -179,34 +279,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # a repeated row may give a node two equal texts, which does no harm
     texts = scratch.keep(docs.join(meeting, ["doc_id", "text_hash"]).select("node", "text"), "texts")
 
-    stars = None
-    tested = docs.sparkSession.createDataFrame([], "centre bigint, member bigint")
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal stars, tested
-        pairs = scratch.keep(pairs.join(tested, ["centre", "member"], "left_anti"), "pairs")
-        if stars is not None and pairs.isEmpty():
-            return
-        found = linked(pairs, texts)
-        stars = components(found if stars is None else stars.unionByName(found), scratch)
-        tested = tested.unionByName(pairs)
-
-    for depth in range(1, DEPTH + 1):
-        confirm(star_pairs(buckets))
-        left = scratch.keep(open_buckets(buckets, labels(stars)), "open")
-        confirm(cross_pairs(left.where(f"size <= {PAIRED}")))
-        large = left.where(f"size > {PAIRED}")
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            confirm(star_pairs(large, F.max))
-            break
-        last = F.col("key").bitwiseAND(F.lit(BINS // ROWS - 1))
-        parent = large.select(F.col("key").alias("parent"), last.alias("at"), "node", "doc_id", "n")
-        finer = parent.join(bands.select("node", "key", last.alias("band")), "node").where("band > at").select(
-            (F.xxhash64("parent", "key").bitwiseAND(F.lit(-(BINS // ROWS))).bitwiseOR(F.col("band"))).alias("key"),
-            "node", "doc_id", "n")
-        buckets = scratch.keep(distinct_buckets(finer), "buckets")
+    tested = scratch.keep(star_pairs(buckets), "pairs")
+    stars = components(linked(tested, texts), scratch)
+    left = scratch.keep(open_buckets(buckets, labels(stars)), "open")
+    pairs = scratch.keep(
+        cross_pairs(left.where(f"size <= {PAIRED}")).join(tested, ["centre", "member"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        stars = components(stars.unionByName(linked(pairs, texts)), scratch)
+    large = left.where(f"size > {PAIRED}")
+    if not large.isEmpty():
+        large = scratch.keep(open_buckets(large.drop("component", "size"), labels(stars)), "open")
+        stars = components(stars.unionByName(linked_across(large, texts, scratch)), scratch)
 
     named = classes.join(labels(stars), "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -78,6 +78,38 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert all(found[k] == k for k in found if k >= 1000)
 
 
+def mixed_family(pairs, length=1200, edits=21, shared=11):
+    """Two copies each of many variants of one text: similarity about 0.77 between the two, about 0.70 to all others."""
+    rng, base, rows = np.random.default_rng(21), words(length, 21, 100_000).split(), []
+    for k in range(pairs):
+        places = rng.permutation(length // 5)[:2 * edits - shared] * 5
+        for copy, own in enumerate((places[:edits], np.concatenate([places[:shared], places[edits:]]))):
+            text = [*base]
+            for place in own.tolist():
+                text[place] = f"e{k}x{place}" if place in places[:shared] else f"e{k}x{place}y{copy}"
+            rows.append((int(rng.integers(1 << 40)), " ".join(text)))
+    return rows
+
+
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
+    """Pairs that meet in large buckets only, whose ends are similar to neither, and copies beside them."""
+    monkeypatch.setattr(neardup, "PART", 40, raising=False)
+    rows = mixed_family(250)
+    copies = words(1200, 22, 100_000).split()
+    rows += [((1 << 41) + k, " ".join([*copies[:4 * k], f"c{k}", *copies[4 * k + 1:]])) for k in range(100)]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    sets = [neardup.shingle_set(t.encode()) for _, t in rows]
+    expected = {i: i for i, _ in rows}
+    for a, b in combinations(range(len(rows)), 2):
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+            old, new = sorted((expected[rows[a][0]], expected[rows[b][0]]), reverse=True)
+            expected = {i: new if c == old else c for i, c in expected.items()}
+    assert found == expected
+    assert len(set(expected.values())) > 200
+
+
 def test_densified_bins_take_values_of_filled_ones():
     values, filled = np.zeros((2, neardup.BINS), np.uint64), np.zeros((2, neardup.BINS), bool)
     values[0, [3, 90]], filled[0, [3, 90]] = [7, 8], True
