@@ -22,10 +22,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+#: Characters of an account number by country.
+LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
 #: Words that raise the score of a kind, and words that lower the score of any.
 CONTEXT = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
@@ -64,6 +71,28 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
                 yield start, after
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """At the length of the country; where none is known, the longest that the checksum confirms.
+
+    The pattern also runs on into capital words and numbers behind, so each end is tried at a word's end only.
+    """
+    after = 0
+    for found in _IBAN.finditer(text):
+        if found.start() < after:
+            continue
+        places = [at for at in range(*found.span(1)) if text[at] != " "]
+        length = LENGTH.get(found[1][:2])
+        for n in (length,) if length else range(len(places), 14, -1):
+            if n > len(places):
+                continue
+            end = places[n - 1] + 1
+            open_end = end < len(text) and text[end].isascii() and text[end].isalnum()
+            if not open_end and mod97(text[found.start():end].replace(" ", "")):
+                after = end
+                yield found.start(), end
+                break
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose pattern and checksum hold."""
     for start, end in _emails(text):
@@ -71,7 +100,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if not re.search("[0-9]", text):
         return
     for found in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in found[0].split(".")):
+        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in found[0].split(".")):
             yield "ip", *found.span()
     for found in _CARD.finditer(text):
         if found.end() - found.start() >= 16:
@@ -81,9 +110,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for found in _PHONE.finditer(text):
         if 8 <= len(_NOT_DIGIT.sub("", found[0])) <= 15:
             yield "phone", *found.span()
-    for found in _IBAN.finditer(text):
-        if mod97(found[0].replace(" ", "")):
-            yield "iban", *found.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for found in _SSN.finditer(text):
         yield "ssn", *found.span()
 

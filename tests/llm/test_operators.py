@@ -207,6 +207,26 @@ def test_pii_spans():
     assert pii.spans("a" * 200_000 + " " + "1" * 200_000 + "." + "é@" * 1000) == []
 
 
+def test_ibans_end_at_their_countrys_length():
+    def ibans(text):
+        return [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"]
+
+    german, spaced, french = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"
+    for behind in ("", ".", " EUR 120", " BIC COBADEFF.", " BIC: X", " 12", f" {french}"):
+        assert ibans(f"{german}{behind}") == [german, *([french] if french in behind else [])]
+        assert ibans(f"to {spaced}{behind}")[0] == spaced
+    assert ibans(f"AB12 {german} EUR") == [german] and ibans("NO9386011117947 NOK 5") == ["NO9386011117947"]
+    assert ibans(f"{german}EUR") == ibans(f"X{german}") == ibans("DE88370400440532013000 EUR 120") == []
+    assert pii.redacted(f"pay {german} EUR 120") == "pay <iban> EUR 120"
+    unlisted = next(f"ZZ{k:02}12345678901234" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}12345678901234"))
+    assert ibans(f"{unlisted} BIC") == [unlisted]
+
+
+def test_leading_zeros_of_any_number_are_read():
+    text = f"{'0' * 5000}10.0.0.{'0' * 5000}"
+    assert [s[:3] for s in pii.spans(text)] == [("ip", 0, len(text))]
+
+
 def test_pii_query_counts_what_the_base_patterns_find(spark, tmp_path):
     text = "a@b.cd e.f@g.hi 10.0.0.1, 4111 1111 1111 1111, +49 30 1234567 DE89370400440532013000"
     spark.createDataFrame([(1, text), (2, None), (3, "\U0001f600 x@y.zz")], "doc_id bigint, text string").write.parquet(
