@@ -33,11 +33,12 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload a smaller page_id has; large groups meet as counts only."""
+    """(page_id, payload_digest, refers_to) of pages whose payload a smaller page_id has; large groups meet as counts only."""
     sized = digests(pages).where(f"payload_bytes >= {REVISIT_BYTES} and page_id is not null").select("page_id", "payload_digest")
     first = sized.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
     first = first.where("refers_to <> last").drop("last")
-    return sized.join(first, "payload_digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return sized.join(first, "payload_digest").where("page_id <> refers_to").select(
+        "page_id", "payload_digest", "refers_to").distinct()
 
 
 def records(pages: DataFrame, copies: DataFrame, date: str) -> DataFrame:
@@ -46,7 +47,7 @@ def records(pages: DataFrame, copies: DataFrame, date: str) -> DataFrame:
     def line(name: str, value) -> F.Column:
         return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit(CRLF))).otherwise("")
 
-    rows = digests(pages).join(copies, "page_id", "left")
+    rows = digests(pages).join(copies, ["page_id", "payload_digest"], "left")
     response = F.col("refers_to").isNull()
     body = F.when(response, F.col("payload")).otherwise("")
     urn = [F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">")) for c in ("page_id", "refers_to")]
@@ -70,7 +71,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
     Of equal payloads of at least 100 bytes the smallest page_id is the response and the others refer to it. Null
     html is an empty payload; rows without page_id are responses; rows that repeat the smallest page_id of a payload
-    are responses as well. The table of revisits is written first, so that Spark knows its size when it
+    are responses as well, and rows of one page_id with different payloads are judged one by one. The table of revisits is written first, so that Spark knows its size when it
     chooses between broadcast and shuffle for the join with the pages. Other columns are ignored.
     """
     copies = Scratch(pages.sparkSession, "warc").keep(revisits(pages), "revisits")

@@ -196,6 +196,15 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_that_share_an_id_are_judged_by_their_payloads(spark):
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, "u", a), (2, "u", b), (5, "u", a), (5, "u", "short"), (6, "u", a), (6, "u", b), (7, "u", a), (7, "u", "c" * 200)]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id int, url string, html string"), payloads=True).collect()
+    first = {a: 1, b: 2}
+    assert sorted((r["page_id"], r["payload_digest"], r["refers_to"] or 0, r["payload"] or "") for r in found) == sorted(
+        (i, hashlib.sha256(h.encode()).hexdigest(), *((first[h], "") if first.get(h, i) != i else (0, h))) for i, _, h in rows)
+
+
 def test_pii_spans():
     text = "Mail a.b@c.de now, @x.yz b@c, ip 10.0.0.256 or 10.0.0.1.5; card 4111 1111 1111 1111, phone +49 (30) 123-45-67."
     assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [
