@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywake.llm import (decontaminate, imatch, langid, neardup, oracle, packing, perspectives, pii, quality,
-                         url_filter, warc)
+                         resample, url_filter, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +67,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_quality": op8,
     "op9_perspectives": op9,
     "op10_near_duplicates": op10,
+    "op11_resample": op11,
     "pipeline": pipeline,
 }
 
