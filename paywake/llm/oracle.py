@@ -1,5 +1,7 @@
 """SQL of the registered queries that SQL can express, for DuckDB."""
 
+from paywake.llm import secrets
+
 #: op2: what the archives must give back for each page.
 WARC = r"""
 WITH sized AS (
@@ -70,8 +72,55 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM texts LEFT JOIN hit USING (n) LEFT JOIN items USING (n)
 """
 
+
+
+def _secrets() -> str:
+    """op12: matches and what stands between them, by kind; owners of each value."""
+    quoted = {kind: "'" + pattern.replace("'", "''") + "'" for kind, pattern in secrets.PATTERNS.items()}
+    proposed = " UNION ALL ".join(
+        f"SELECT r, doc_id, source, {no} AS kind_no, '{kind}' AS kind, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS s "
+        f"FROM texts WHERE regexp_matches(t, {p})" for no, (kind, p) in enumerate(quoted.items()))
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+proposed AS ({proposed}),
+placed AS (
+  SELECT r, doc_id, source, kind_no, kind, m[i] AS match,
+         CASE WHEN kind_no = 0 THEN regexp_extract(m[i], {quoted["assign"]}, 2) ELSE m[i] END AS value,
+         CAST(list_sum([length(x) for x in s[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS start
+  FROM proposed, unnest(range(1, len(m) + 1)) AS u(i)),
+spread AS (
+  SELECT *, start + length(match) AS stop, len(list_distinct(regexp_extract_all(value, '.'))) AS characters FROM placed),
+passed AS (
+  SELECT * FROM spread
+  WHERE CASE kind WHEN 'assign' THEN length(value) >= 6
+                  WHEN 'random' THEN regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+                                     AND regexp_matches(value, '[0-9]') AND characters >= 16
+                  ELSE true END),
+held AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM passed GROUP BY value),
+judged AS (
+  SELECT *, owners <= {secrets.OWNERS} AND characters >= {secrets.SPREAD}
+            AND NOT regexp_matches(lower(value), '{secrets.PLACEHOLDER}') AS live,
+         kind || ':' || start || ':' || stop AS span
+  FROM passed JOIN held USING (value)),
+by_row AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base,
+         string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < 3 OR live) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {secrets.OWNERS}) AS n_copied
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM texts LEFT JOIN by_row USING (r)
+"""
+
+
 STATEMENTS = {
     "op2_warc": WARC,
     "op5_decontamination": DECONTAMINATION,
     "op9_perspectives": PERSPECTIVES,
+    "op12_secrets": _secrets(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywake.llm import (decontaminate, imatch, langid, neardup, oracle, packing, perspectives, pii, quality,
-                         resample, url_filter, warc)
+                         resample, secrets, url_filter, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,6 +71,17 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, folder, "documents"))
+    spans = F.col("spans")
+    counts = [secrets.number(spans, kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.encode(secrets.written(secrets.base(spans)), "UTF-8"), 256).alias("base_sha256"),
+        secrets.written(secrets.reported(spans)).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("bigint").alias("n_live"),
+        F.size(F.filter(spans, lambda s: s["owners"] > secrets.OWNERS)).cast("bigint").alias("n_copied"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +100,7 @@ QUERIES = {
     "op9_perspectives": op9,
     "op10_near_duplicates": op10,
     "op11_resample": op11,
+    "op12_secrets": op12,
     "pipeline": pipeline,
 }
 
