@@ -72,6 +72,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM texts LEFT JOIN hit USING (n) LEFT JOIN items USING (n)
 """
 
+#: op13: every kept term at every group, and every two groups of a language.
+DIVERGENCE = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+said AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (
+  SELECT lang, count(*) AS kinds, sum(total)::HUGEINT AS all_n FROM kept GROUP BY lang),
+sides AS (
+  SELECT DISTINCT lang, source FROM texts),
+counted AS (
+  SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sized AS (
+  SELECT sides.lang, sides.source, coalesce(sum(n), 0)::HUGEINT AS group_n
+  FROM sides LEFT JOIN counted USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + 1000000000 * (coalesce(n, 0) + 1) // (group_n + kinds) AS p,
+         1 + 1000000000 * (total::HUGEINT + 1) // (all_n + kinds) AS q
+  FROM sized JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counted USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sides a JOIN sides b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM every)
+SELECT lang, source, part, item, value, place::INTEGER AS rank FROM ranked WHERE part = 'pair' OR place <= 200
+"""
 
 
 def _secrets() -> str:
@@ -123,4 +159,5 @@ STATEMENTS = {
     "op5_decontamination": DECONTAMINATION,
     "op9_perspectives": PERSPECTIVES,
     "op12_secrets": _secrets(),
+    "op13_divergence": DIVERGENCE,
 }

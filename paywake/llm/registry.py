@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywake.llm import (decontaminate, imatch, langid, neardup, oracle, packing, perspectives, pii, quality,
-                         resample, secrets, url_filter, warc)
+from paywake.llm import (decontaminate, divergence, imatch, langid, neardup, oracle, packing, perspectives, pii,
+                         quality, resample, secrets, url_filter, warc)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,6 +82,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.size(F.filter(spans, lambda s: s["owners"] > secrets.OWNERS)).cast("bigint").alias("n_copied"))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_read(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op10_near_duplicates": op10,
     "op11_resample": op11,
     "op12_secrets": op12,
+    "op13_divergence": op13,
     "pipeline": pipeline,
 }
 
