@@ -17,3 +17,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     """Left columns, then the right columns without its keys. Other column names must not repeat."""
     kept = [c for c in right.columns if c not in keys]
     return left.join(*_renamed(right, keys), how).select(*left.columns, *kept)
+
+
+def semi_join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Left rows that have a partner, or with ``left_anti`` those that have none."""
+    return left.join(*_renamed(right, keys), how)

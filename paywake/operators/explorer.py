@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywake.functions.columns import contains_ignoring_case
-from paywake.functions.joins import join_on
+from paywake.functions.joins import join_on, semi_join_on
 from paywake.plans.positions import page_of_group
+from paywake.plans.value_counts import value_bin
 
 # Status word of the explorer and the session flag it selects.
 STATUS_FLAGS = {
@@ -68,29 +69,45 @@ def session_filter(sessions: DataFrame, merchant_key: str | None = None, search:
     return sessions.where(reduce(lambda a, b: a & b, conditions)) if conditions else sessions
 
 
-def session_page(sessions: DataFrame, limit: int = 25, offset: int = 0, **filters) -> DataFrame:
-    """A page of each merchant's sessions, newest first, with the number of sessions that match.
+def _days_ago(name: str) -> Column:
+    """Days along a descending order of times; rows without a time come last."""
+    return F.coalesce(-F.unix_date(F.col(name).cast("date")), F.lit(2**31 - 1)).cast("long")
+
+
+def _falling(name: str) -> Column:
+    """Intervals along a descending order of numbers, NULL last."""
+    value = F.col(name).cast("double")
+    return F.when(value.isNull(), value_bin(value)).otherwise(-value_bin(value))
+
+
+def session_page(sessions: DataFrame, limit: int = 25, offset: int = 0, by: str = "merchant_key", **filters) -> DataFrame:
+    """A page of each merchant's sessions (or each category's, …: ``by``), newest first, with the number that match.
 
     The total is a separate aggregate: as a window it would bring whole merchants into one task.
     """
     matching = session_filter(sessions, **filters)
     order = [F.col("created_at").desc_nulls_last(), F.col("session_key").asc_nulls_first()]
-    page = page_of_group(matching.select("merchant_key", *SESSION_COLUMNS, "last_psp_code"),
-                         ["merchant_key"], order, limit, offset)
-    totals = matching.groupBy("merchant_key").agg(F.count(F.lit(1)).alias("total"))
-    return join_on(page.withColumn("state", session_state()), totals, ["merchant_key"])
+    page = page_of_group(matching.select(by, *SESSION_COLUMNS, "last_psp_code"), [by], order, limit, offset,
+                         interval=_days_ago("created_at"))
+    totals = matching.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    return join_on(page.withColumn("state", session_state()), totals, [by])
 
 
 def insight_sessions(insights: DataFrame, sessions: DataFrame, limit: int = 100,
                      offset: int = 0) -> DataFrame:
-    """The sessions behind every insight, a page per merchant and insight type.
+    """The sessions behind every insight, a page per merchant and insight type, with the ``total`` behind it.
 
-    Sessions are listed once per merchant and listing (lost, without try, retried, newest), cut to
-    the page inside the map tasks, and only then joined to the insights.
+    Sessions belong to listings (lost, without try, retried, newest). A semi join keeps those of an asked merchant
+    and listing before anything is sorted; the pages are cut inside the map tasks and only then joined to the insights.
     """
+    wanted = F.lit("newest")
+    for kind, flag in INSIGHT_FLAGS.items():
+        wanted = F.when(F.col("insight_type") == kind, flag).otherwise(wanted)
+    asked = insights.select("merchant_key", "insight_type", wanted.alias("listing"))
     flags = sorted(set(INSIGHT_FLAGS.values()))
     listings = F.array_compact(F.array(F.lit("newest"), *(F.when(F.col(f), F.lit(f)) for f in flags)))
-    listed = sessions.select("merchant_key", *SESSION_COLUMNS, F.explode(listings).alias("listing"))
+    every = sessions.select("merchant_key", *SESSION_COLUMNS, F.explode(listings).alias("listing"))
+    listed = semi_join_on(every, asked.select("merchant_key", "listing").distinct(), ["merchant_key", "listing"])
     listing = F.col("listing")
     order = [
         F.when(listing == "retried", F.col("attempt_count")).desc_nulls_last(),
@@ -98,14 +115,15 @@ def insight_sessions(insights: DataFrame, sessions: DataFrame, limit: int = 100,
         F.when(listing == "newest", F.col("created_at")).desc_nulls_last(),
         F.col("session_key").asc_nulls_first(),
     ]
-    page = page_of_group(listed, ["merchant_key", "listing"], order, limit, offset)
-    wanted = F.lit("newest")
-    for kind, flag in INSIGHT_FLAGS.items():
-        wanted = F.when(F.col("insight_type") == kind, flag).otherwise(wanted)
-    asked = insights.select("merchant_key", "insight_type", wanted.alias("listing"))
+    interval = (
+        F.when(listing == "retried", _falling("attempt_count")).when(listing != "newest", _falling("amount"))
+        .otherwise(_days_ago("created_at"))
+    )
+    page = page_of_group(listed, ["merchant_key", "listing"], order, limit, offset, interval=interval)
+    totals = listed.groupBy("merchant_key", "listing").agg(F.count(F.lit(1)).alias("total"))
     return (
-        join_on(asked, page, ["merchant_key", "listing"])
-        .select("merchant_key", "insight_type", "row_no", *SESSION_COLUMNS)
+        join_on(join_on(asked, page, ["merchant_key", "listing"]), totals, ["merchant_key", "listing"])
+        .select("merchant_key", "insight_type", "row_no", *SESSION_COLUMNS, "total")
     )
 
 

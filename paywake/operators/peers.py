@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from paywake.functions.columns import rate
 from paywake.functions.joins import join_on
-from paywake.plans.positions import page_of_group, positions, split_positions
+from paywake.plans.positions import page_of_group, positions
+from paywake.plans.value_counts import value_counts
 
 # Ranked metric and the percentile column it gives.
 PERCENTILES = {
@@ -36,20 +37,17 @@ def _window_percentiles(merchants: DataFrame, group: list[str]) -> DataFrame:
     })
 
 
-def _split_percentiles(merchants: DataFrame, group: list[str]) -> DataFrame:
-    """The same percentiles with every group spread over range partitions.
+def _counted_percentiles(merchants: DataFrame, group: list[str]) -> DataFrame:
+    """The same percentiles without sorting a group: a value's rank is the number of lower values.
 
-    A value's rank is the smallest position among the rows that share it.
+    The four metrics of a merchant are rows of one histogram, and its percentiles meet it again by value.
     """
     tall = merchants.unpivot(["merchant_key", *group], list(PERCENTILES), "metric", "value")
     keys = [*group, "metric"]
-    order = [F.col("value").asc_nulls_last(), F.col("merchant_key").asc_nulls_first()]
-    placed = split_positions(tall, keys, order, "position", "size")
-    ranks = placed.groupBy(*keys, "value").agg(F.min("position").alias("rank"))
-    percent = F.coalesce(rate(F.col("rank") - 1, F.col("size") - 1), F.lit(0.0))
+    counts = value_counts(tall, keys, "value")
+    percent = F.coalesce(rate(F.col("lower"), F.col("size") - 1), F.lit(0.0))
     wide = (
-        join_on(placed, ranks, [*keys, "value"])
-        .select("merchant_key", "metric", percent.alias("percent"))
+        join_on(tall, counts.select(*keys, "value", percent.alias("percent")), [*keys, "value"])
         .groupBy("merchant_key")
         .agg(*(F.max(F.when(F.col("metric") == metric, F.col("percent"))).alias(name)
                for metric, name in PERCENTILES.items()))
@@ -69,7 +67,7 @@ def peer_metrics(merchants: DataFrame, band: bool = False, min_peers: int = 0,
     if band:
         merchants = merchants.withColumn("volume_band", volume_band())
         group.append("volume_band")
-    ranked = (_split_percentiles if split else _window_percentiles)(merchants, group)
+    ranked = (_counted_percentiles if split else _window_percentiles)(merchants, group)
     if min_peers:
         sizes = merchants.groupBy(*group).agg(F.count(F.lit(1)).alias("peers"))
         kept = {name: F.when(F.col("peers") >= min_peers, F.col(name)) for name in PERCENTILES.values()}
@@ -104,16 +102,20 @@ def peer_rank(merchants: DataFrame, split: bool = True) -> DataFrame:
     return positions(slim, ["category_id"], order, "peer_rank", "peer_count", split)
 
 
-def peer_median(merchants: DataFrame, metric: str = "final_success_rate", split: bool = True) -> DataFrame:
-    """Each merchant's metric next to the median of its category; merchants without it do not count."""
-    known = merchants.where(F.col(metric).isNotNull()).select("category_id", "merchant_key", metric)
-    order = [F.col(metric).asc(), F.col("merchant_key").asc_nulls_first()]
-    placed = positions(known, ["category_id"], order, "row_no", "size", split)
+def peer_median(merchants: DataFrame, metric: str = "final_success_rate") -> DataFrame:
+    """Each merchant's metric next to the median of its category; merchants without it do not count.
+
+    The median is the value, or the mean of the two values, at which the cumulative count reaches the middle.
+    """
+    known = merchants.where(F.col(metric).isNotNull()).select("category_id", metric)
+    counts = value_counts(known, ["category_id"], metric)
     low, high = F.floor((F.col("size") + 1) / 2), F.floor((F.col("size") + 2) / 2)
-    medians = (
-        placed.where((F.col("row_no") == low) | (F.col("row_no") == high))
-        .groupBy("category_id").agg(F.avg(metric).alias("peer_median"), F.max("size").alias("peers"))
-    )
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("lower") < place) & (place <= F.col("lower") + F.col("rows")), F.col(metric)))
+
+    medians = counts.groupBy("category_id").agg(
+        ((at(low) + at(high)) / 2).alias("peer_median"), F.max("size").alias("peers"))
     return join_on(merchants, medians, ["category_id"], "left").select(
         "category_id", "merchant_key", metric, "peer_median", "peers",
         (F.col(metric) - F.col("peer_median")).alias("gap_to_median"))

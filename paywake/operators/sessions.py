@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywake.functions.bitmaps import bitmap_size, bitmaps
 from paywake.functions.columns import has_text, succeeded
 from paywake.plans.positions import positions
 
@@ -67,26 +68,44 @@ def _newest_try() -> Column:
         "try_seq", "try_created_at", "created_at", "psp_code", "try_status", "session_status")))
 
 
+def provider_codes(attempts: DataFrame) -> list[str]:
+    """All provider codes, in order: as many as there are contracts with providers, whatever the number of attempts."""
+    codes = attempts.where(has_text("psp_code")).select("psp_code").distinct()
+    return sorted(row["psp_code"] for row in codes.collect())
+
+
 def build_sessions(attempts: DataFrame, terminal: str = "max_text",
-                   small: bool = False) -> DataFrame:
+                   small: bool = False, codes: list[str] | None = None) -> DataFrame:
     """Collapse attempts to sessions with first-try, retry and recovery flags.
 
     ``terminal`` picks the terminal columns (session_status, last_attempt_status, last_psp_code):
     "max_text" takes the alphabetically largest value, "latest" the values of the newest real try.
 
-    Spark combines on (session, PSP) first and on the session second. Both exchanges receive combined
-    rows, so a session that holds a large part of the table never reaches one task row by row.
-    ``small=True``, for sessions known to fit in a task, hashes each to one task in a single exchange,
-    which is about half the work and gives the same rows.
+    One aggregation with one exchange does all, and rows are combined before it: a session that holds a large part of
+    the table never reaches one task row by row. Distinct providers are merged as sets, or, where ``codes`` lists all
+    provider codes (see provider_codes), as bitmaps over their numbers: 8 bytes a session for every 64 codes. Finding
+    the codes takes a scan of that column, which is cheap in a stored table and not in a derived one.
+    ``small=True``, for sessions known to fit in a task, leaves out the combining and gives the same rows.
     """
-    return _collapse(attempts.repartition("session_key") if small else attempts, terminal)
+    codes = codes if codes is None else sorted(set(codes))
+    return _collapse(attempts.repartition("session_key") if small else attempts, terminal, codes)
+
+
+def _providers(codes: list[str] | None) -> tuple[list[Column], Column]:
+    """Aggregates over the providers of a session's real tries, and their number from those."""
+    code = F.when(_real() & has_text("psp_code"), F.col("psp_code"))
+    if codes is None:
+        return [F.collect_set(code).alias("_providers")], F.size("_providers").cast("long")
+    columns = bitmaps(code, codes, "_providers")
+    return [F.bit_or(bits).alias(name) for name, bits in columns.items()], bitmap_size(columns)
 
 
-def _collapse(attempts: DataFrame, terminal: str) -> DataFrame:
+def _collapse(attempts: DataFrame, terminal: str, codes: list[str] | None) -> DataFrame:
     """One aggregation; the first try is a ``min`` over a struct in place of a window and a join."""
     if terminal not in ("max_text", "latest"):
         raise ValueError(f"unknown terminal rule: {terminal}")
     ok = succeeded("try_status")
+    providers, psp_count = _providers(codes)
     measures = [
         F.max("merchant_key").alias("merchant_key"),
         F.max("category_id").alias("category_id"),
@@ -98,7 +117,7 @@ def _collapse(attempts: DataFrame, terminal: str) -> DataFrame:
         F.min(F.when(_real(), F.col("try_created_at"))).alias("first_attempt_at"),
         F.max(F.when(_real(), F.col("try_created_at"))).alias("last_attempt_at"),
         F.count_if(_real()).alias("attempt_count"),
-        F.count_distinct(F.when(_real() & has_text("psp_code"), F.col("psp_code"))).alias("psp_count"),
+        *providers,
         F.bool_or(F.when(_real(), ok)).alias("any_success"),
         F.bool_or(F.when(F.col("try_seq") > 1, ok)).alias("later_success"),
         _first_try().alias("first"),
@@ -127,7 +146,7 @@ def _collapse(attempts: DataFrame, terminal: str) -> DataFrame:
         .select(
             "session_key", "merchant_key", "category_id", "category_title", "amount", "adjusted_fee",
             plain("session_status"), "created_at", "first_attempt_at", "last_attempt_at",
-            "attempt_count", "psp_count", "any_success", "later_success",
+            "attempt_count", psp_count.alias("psp_count"), "any_success", "later_success",
             plain("last_attempt_status"), plain("last_psp_code"),
             *_first_columns(),
             first_ok.alias("first_attempt_success"),

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paywake.operators import insights as ins
 from paywake.operators import rollups
 from paywake.operators.peers import peer_metrics
-from paywake.operators.sessions import build_sessions
+from paywake.operators.sessions import build_sessions, provider_codes
 from paywake.sources.files import read_attempts
 from paywake.sources.tables import read_table, write_tables
 
@@ -25,7 +25,7 @@ def build_all(spark: SparkSession, source: str | DataFrame, out: str,
         stored.update({name: read_table(spark, out, name, df.schema) for name, df in tables.items()})
 
     store(attempts=source if isinstance(source, DataFrame) else read_attempts(spark, source, fmt, spread_gzip))
-    store(sessions=build_sessions(stored["attempts"]))
+    store(sessions=build_sessions(stored["attempts"], codes=provider_codes(stored["attempts"])))
     store(**rollups.roll_up_all(stored["sessions"]), insight_methodology=ins.methodology(spark))
     store(peer_metrics=peer_metrics(stored["merchant_metrics"]))
     insights = ins.build_insights(stored["peer_metrics"])

@@ -54,13 +54,37 @@ def positions(df: DataFrame, group: list[str], order: list[Column], number: str
     return df.withColumn(size, F.count(F.lit(1)).over(in_group)) if size else df
 
 
+def select_intervals(df: DataFrame, group: list[str], interval: Column, limit: int, offset: int,
+                     before: str) -> DataFrame:
+    """The rows in those intervals of each group that hold its rows offset+1 … offset+limit.
+
+    ``before`` is the number of rows of the group that come before the selected ones. One hash aggregate counts the
+    rows by interval; nothing is sorted but the counts.
+    """
+    cut = df.withColumn("_interval", interval)
+    counts = cut.groupBy(*group, "_interval").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = W.partitionBy(*group)
+    upto = F.sum("_rows").over(whole.orderBy("_interval"))
+    chosen = (
+        counts.withColumn("_upto", upto)
+        .where((F.col("_upto") > offset) & (F.col("_upto") - F.col("_rows") < offset + limit))
+        .select(*group, "_interval", F.min(F.col("_upto") - F.col("_rows")).over(whole).alias(before))
+    )
+    return join_on(cut, chosen, [*group, "_interval"]).drop("_interval")
+
+
 def page_of_group(df: DataFrame, group: list[str], order: list[Column], limit: int, offset: int = 0,
-                  number: str = "row_no") -> DataFrame:
+                  number: str = "row_no", interval: Column | None = None) -> DataFrame:
     """Rows offset+1 … offset+limit of every group.
 
-    A shallow page is cut by each map task before the shuffle, so group size does not matter. A page
-    that ends beyond GROUP_LIMIT would not be, and is numbered by split_positions instead.
+    A page that ends within GROUP_LIMIT is cut by each map task before the shuffle. One that ends beyond is selected
+    first: ``interval``, a number that never falls along ``order`` and takes a bounded number of values, leaves only
+    the rows of the intervals that the page touches, and those are numbered by split_positions.
     """
     last = offset + limit
-    numbered = positions(df, group, order, number, split=last > int(df.sparkSession.conf.get(GROUP_LIMIT)))
-    return numbered.where((F.col(number) <= last) & (F.col(number) > offset))
+    page = (F.col(number) <= last) & (F.col(number) > offset)
+    if last <= int(df.sparkSession.conf.get(GROUP_LIMIT)):
+        return positions(df, group, order, number, split=False).where(page)
+    near = select_intervals(df, group, F.lit(0) if interval is None else interval, limit, offset, "_skipped")
+    placed = split_positions(near, group, order, number)
+    return placed.withColumn(number, F.col(number) + F.col("_skipped")).drop("_skipped").where(page)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from paywake.operators import insights as ins
 from paywake.operators import peers as peer
 from paywake.operators import scores
-from paywake.plans.positions import page_of_group, split_positions
+from paywake.plans.positions import page_of_group, select_intervals, split_positions
+from paywake.plans.value_counts import value_bin, value_counts
 
 COLUMNS = ("merchant_key string, category_id string, category_title string, sessions long, "
            "attempted_sessions long, no_attempt_sessions long, successful_sessions long, "
@@ -83,13 +84,39 @@ def test_rank_and_median(merchants, split):
     assert ranks["m10"] == (1, 12) and ranks["m08"] == (2, 12) and ranks["m09"] == (3, 12)
     assert ranks["m11"] == (12, 12)  # NULL counts as 0, ties by key
     assert ranks["alone"] == (1, 1)
-    rows = {r["merchant_key"]: r for r in peer.peer_median(merchants, split=split).collect()}
+    rows = {r["merchant_key"]: r for r in peer.peer_median(merchants).collect()}
     assert rows["m00"]["peer_median"] == 0.2 and rows["m00"]["peers"] == 11
     assert rows["stray"]["peer_median"] == pytest.approx(0.15)
     assert rows["m11"]["gap_to_median"] is None
     assert len(rows) == 15
 
 
+def test_value_counts_of_a_hot_value_and_odd_numbers(spark):
+    """Ranks and medians from counts equal those of sorted rows: ties, signs, zeros, NaN, infinities and NULL."""
+    rng = random.Random(3)
+    odd = [0.0, -0.0, float("nan"), float("inf"), float("-inf"), None, 5e-324, -5e-324, 1.7e308, 1.0, -1.0]
+    rows = [("hot", 0.25 if rng.random() < 0.4 else rng.choice([*odd, rng.uniform(-9, 9)])) for _ in range(3000)]
+    rows += [(None, float(k % 5)) for k in range(30)] + [("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for r in value_counts(df, ["g"], "v").collect():
+        own = [v for g, v in rows if g == r["g"]]
+        place = lambda v: (2, 0) if v is None else (1, 0) if v != v else (0, v)
+        assert r["size"] == len(own)
+        assert r["lower"] == sum(place(v) < place(r["v"]) for v in own)
+        assert r["rows"] == sum(place(v) == place(r["v"]) for v in own)
+    plan = value_counts(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.index("partial_count") > 0
+
+
+def test_value_bins_never_fall(spark):
+    values = sorted([0.0, 1e-320, 1e300, *(2.0 ** k for k in range(-1000, 1000, 37)), *(1 + k / 997 for k in range(997))])
+    values = sorted({*values, *(-v for v in values)})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = df.select("v", value_bin(F.col("v")).alias("b")).orderBy("v").collect()
+    assert all(a["b"] <= b["b"] for a, b in zip(found, found[1:]))
+    assert len({r["b"] for r in found if 1 <= r["v"] < 2}) == 64
+
+
 def test_peer_table(merchants):
     peers = peer.peer_metrics(merchants)
     listed = peer.peer_table(peers, k=3).where("category_id = 'c'").orderBy("peer_no").collect()
@@ -122,6 +149,24 @@ def test_deep_page_equals_shallow_pages(spark):
     assert [r["id"] for r in shallow.collect()] == ids[:10]
 
 
+def test_deep_page_reads_the_intervals_it_touches(spark):
+    """Ties, a hot interval, missing values and pages beyond the end, against sorted rows."""
+    rng = random.Random(8)
+    rows = [(("hot", "b", None)[min(k % 7, 2)], rng.choice([None, 5.0, 5.0, 5.0, rng.uniform(0, 100)]), k) for k in range(9000)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(5)
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    interval = F.when(F.col("v").isNull(), value_bin(F.col("v"))).otherwise(-value_bin(F.col("v")))
+    for limit, offset in ((700, 600), (3000, 0), (50, 4000), (10, 9_500)):
+        got = {}
+        for r in page_of_group(df, ["g"], order, limit, offset, interval=interval).orderBy("row_no").collect():
+            got.setdefault(r["g"], []).append((r["row_no"], r["id"]))
+        for g in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+            assert got.get(g, []) == [(n + 1, r[2]) for n, r in enumerate(own)][offset:offset + limit]
+    near = select_intervals(df, ["g"], interval, 50, 4000, "before")
+    assert near.where("g = 'hot'").count() < 400 and near.select("before").distinct().count() <= 3
+
+
 def test_shallow_page_is_cut_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id"))
     plan = page_of_group(df, ["g"], [F.col("id").desc()], 5)._jdf.queryExecution().executedPlan().toString()

@@ -14,9 +14,9 @@ def by_key(df, columns):
     return {r["session_key"]: tuple(r[c] for c in columns) for r in df.collect()}
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_flags_of_every_rule(spark, small):
-    built = ses.build_sessions(frame(spark, samples.SESSION_ROWS), small=small)
+@pytest.mark.parametrize("small, codes", [(False, None), (True, None), (False, ["P3", "P1", "P2", "P9", "P1"])])
+def test_flags_of_every_rule(spark, small, codes):
+    built = ses.build_sessions(frame(spark, samples.SESSION_ROWS), small=small, codes=codes)
     assert by_key(built, samples.EXPECTED_COLUMNS) == samples.EXPECTED
 
 
@@ -28,6 +28,21 @@ def test_session_amount_counts_once_and_times_span_real_tries(spark):
     assert (row["first_attempt_at"].minute, row["last_attempt_at"].minute) == (1, 9)
 
 
+def test_bitmaps_of_many_provider_codes(spark):
+    """301 codes fill five bitmaps; the empty code, NULL and sessions that were only opened count as none."""
+    rows = [attempt(f"s{k % 7}", 1 + k % 3, psp=f"É{k % 300}" if k % 2 else f"P{k % 300:03}") for k in range(900)]
+    rows += [attempt("s0", 2, psp=""), attempt("s0", 2, psp=None), attempt("open", 0, None, "P001", None)]
+    attempts = frame(spark, rows).repartition(5)
+    codes = ses.provider_codes(attempts)
+    assert len(codes) == 301 and codes == sorted(codes)
+    built = ses.build_sessions(attempts, codes=codes)
+    expected = {key: len({r["psp_code"] for r in rows if r["session_key"] == key and r["try_seq"] and r["psp_code"]})
+                for key in {r["session_key"] for r in rows}}
+    assert {k: v[0] for k, v in by_key(built, ["psp_count"]).items()} == expected
+    assert by_key(ses.build_sessions(attempts), ["psp_count"]) == by_key(built, ["psp_count"])
+    assert ses.build_sessions(attempts, codes=[]).agg(F.sum("psp_count")).first()[0] == 0
+
+
 def test_latest_terminal_state(spark):
     rows = [attempt("a", 1, "Verified", "P9", 1, session_status="Verified"),
             attempt("a", 2, "Failed", "P1", 2, session_status="Failed"),
@@ -101,8 +116,10 @@ def plan_of(df):
 def test_plans(spark, tmp_path):
     frame(spark, samples.SESSION_ROWS).write.parquet(str(tmp_path / "attempts"))
     attempts = spark.read.parquet(str(tmp_path / "attempts"))
-    safe = plan_of(ses.build_sessions(attempts))
-    assert safe.count("Exchange hashpartitioning") == 2 and "Join" not in safe and "Window" not in safe
+    for codes in (None, ["P1", "P2"]):
+        safe = plan_of(ses.build_sessions(attempts, codes=codes))
+        assert safe.count("Exchange hashpartitioning") == 1 and "Join" not in safe and "Window" not in safe
+        assert "partial_max(merchant_key" in safe     # combined before the exchange
     small = plan_of(ses.build_sessions(attempts, small=True))
     assert small.count("Exchange hashpartitioning") == 1
     pruned = plan_of(ses.build_sessions(attempts).select("session_key", "attempt_count"))
@@ -123,6 +140,7 @@ def test_hot_session_is_exact(spark):
     columns = ["attempt_count", "psp_count", "any_success", "first_psp_code"]
     safe = by_key(ses.build_sessions(attempts), columns)
     assert safe == by_key(ses.build_sessions(attempts, small=True), columns)
+    assert safe == by_key(ses.build_sessions(attempts, codes=ses.provider_codes(attempts)), columns)
     assert safe["hot"][:3] == (5000, 11, True) and len(safe) == 301
     # rows that agree in everything the order looks at may swap numbers
     looked_at = ["session_key", "try_seq", "psp_code", "try_status", "attempt_rank"]
