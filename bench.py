@@ -32,6 +32,7 @@ def spark_steps():
 
     from paywake.operators import context, customers, explorer, insights, peers, rollups, scores, sessions
     from paywake.plans.batch import build_all
+    from paywake.plans.materialize import materialize
     from paywake.sources.orders import attempts_from_orders
     from paywake.sources.tables import read_table
 
@@ -58,7 +59,7 @@ def spark_steps():
 
     def insight_step():
         merchants = table("merchant_metrics")
-        ranked = peers.peer_metrics(merchants)
+        ranked = materialize(peers.peer_metrics(merchants), "peers")    # read three times, as in the build
         found = insights.build_insights(ranked)
         run(ranked, found, insights.insight_evidence(found, ranked, insights.methodology(spark)))
 
