@@ -4,170 +4,215 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paywake.llm.store import Scratch
-from paywake.llm.words import binary, slices
+from paywake.llm.store import Scratch, worker_cache
+from paywake.llm.words import slices
+from paywake.llm.wordtable import WordTable
 
 CAPACITY = 2048     # tokens of a sequence
-UNIT = 8            # tokens of a length class: the linear program has CAPACITY / UNIT rows at any input size
+EXACT = 128         # tokens of a piece up to which each length is a class of its own
+UNIT = 8            # tokens between the classes beyond
 END = 1             # id after each document
-CACHE = 400_000     # chunks that a Python worker remembers
-
-_TOKENIZERS: dict[str, TokenBytes] = {}
-
+CACHE_BYTES = 64 << 20      # of the parts of chunks that a Python worker remembers
+BATCH = 8 << 20     # bytes of text that are coded together
 
+_BYTES = np.arange(256, dtype=np.uint8)
+_INSIDE = ~np.isin(_BYTES, np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 
 
-class TokenBytes(dict):
-    """Token ids as little-endian unsigned 32-bit bytes, by chunk between ASCII white space.
+class TokenBytes:
+    """Token ids, as little-endian unsigned 32-bit bytes, of chunks between ASCII white space.
 
     The vocabulary drops white space and never joins characters across it, so chunks are independent; so are the
     runs of letters, the digits and the runs of other characters of an ASCII chunk without an apostrophe or `<|`.
+    The ids of such parts are remembered, in CACHE_BYTES at most.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[bytes, bytes] = {}
+        self.bytes = 0
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(chunks)
-        split = [_PARTS.findall(c.lower()) if c.isascii() and b"'" not in c and b"<|" not in c else [c] for c in new]
+    def __call__(self, chunks: list[bytes]) -> list[bytes]:
+        split = [_PARTS.findall(c.lower()) if c.isascii() and b"'" not in c and b"<|" not in c else (c,) for c in chunks]
+        known = self.parts
         wanted = {part for parts in split for part in parts}
-        if len(self.parts) + len(wanted) > 2 * CACHE:
-            self.parts.clear()
-        unknown = [part for part in wanted if part not in self.parts]
+        unknown = [part for part in wanted if part not in known]
+        if self.bytes > CACHE_BYTES:
+            known.clear()
+            self.bytes, unknown = 0, list(wanted)
         for at in range(0, len(unknown), 10_000):
             some = unknown[at:at + 10_000]
-            coded = self.tokenizer.encode_batch([part.decode() for part in some], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([part.decode() for part in some], add_special_tokens=False)
             for part, found in zip(some, coded):
-                self.parts[part] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        for chunk, parts in zip(new, split):
-            self[chunk] = b"".join([self.parts[part] for part in parts])
-
-
-def tokenizer(path: str) -> TokenBytes:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = TokenBytes(path)
-    return _TOKENIZERS[path]
+                known[part] = ids = np.array(found.ids, "<u4").tobytes()
+                self.bytes += len(part) + len(ids) + 160    # and what Python adds to two byte strings and their entry
+        return [b"".join([known[part] for part in parts]) if len(parts) != 1 else known[parts[0]] for parts in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, keep_ids: bool) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of (doc_id, text), cut every CAPACITY tokens."""
-    end = np.array([END], "<u4").tobytes()
-    width = 4 * CAPACITY
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of (doc_id, text), cut every CAPACITY tokens.
 
+    Each distinct chunk of a batch is coded once; the ids of the texts are gathered from those by index.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(tokenizer_path)
-        for batch in slices(batches, "text"):
-            texts = [(text or b"").split() for text in binary(batch.column(1))]
-            coder.learn({chunk for text in texts for chunk in text})
-            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "ids": []}
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                ids = b"".join(map(coder.__getitem__, text)) + end
-                for at in range(0, len(ids), width):
-                    part = ids[at:at + width]
-                    out["doc_id"].append(doc)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    out["doc_tokens"].append(len(ids) // 4)
-                    out["ids"].append(part if keep_ids else None)
-            ids = out.pop("ids")
-            columns = {name: pa.array(values, pa.int64()) for name, values in out.items()}
-            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if keep_ids else {}))
+        coder = worker_cache(f"packing {tokenizer_path}", lambda: TokenBytes(tokenizer_path))
+        for batch in slices(batches, "text", BATCH):
+            table = WordTable(batch.column(1), _BYTES, _INSIDE)
+            coded = coder(table.words.to_pylist())
+            flat = np.frombuffer(b"".join(coded), "<u4")
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            first = np.cumsum(sizes) - sizes
+            n = sizes[table.code]
+            tokens = np.bincount(table.row, n, batch.num_rows).astype(np.int64) + 1
+            ends = np.cumsum(tokens)
+            ids = np.full(int(ends[-1]) if len(ends) else 0, END, "<u4")
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = flat[np.repeat(first[table.code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            cuts = -(-tokens // CAPACITY)      # pieces of each document
+            doc = np.repeat(np.arange(len(tokens)), cuts)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * CAPACITY
+            length = np.minimum(tokens[doc] - start, CAPACITY)
+            raw = memoryview(ids.tobytes())
+            bounds = np.concatenate([[0], np.cumsum(length) * 4])
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens[doc]))]
+            if keep_ids:
+                columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [
+                    None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)]))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     return docs.mapInArrow(rows, schema + ", ids binary" * keep_ids)
 
 
-def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Knapsack by dynamic programming: the pattern of items, any number of each, that is worth most."""
-    worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(sizes, room, "right"))
-        worth[room], last[room] = worth[room - 1], -1
-        if fits:
-            total = worth[room - sizes[:fits]] + values[:fits]
-            k = int(total.argmax())
-            if total[k] > worth[room] + 1e-12:
-                worth[room], last[room] = total[k], k
-    counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            counts[last[room]] += 1
-            room -= sizes[last[room]]
-    return float(worth[capacity]), counts
-
-
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[int, np.ndarray]]:
-    """(copies, items of each size): patterns that hold exactly the demand in about as few sequences as possible.
-
-    A linear program over patterns, its columns generated by pricing with the knapsack until it is proven within
-    a thousandth, or one sequence, of the optimum; the basis is rounded down and what is left, less than one pattern
-    per size, is packed first-fit decreasing.
+def priced(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Knapsack by dynamic programming: (worth of the best pattern, patterns as rows).
+
+    Any number of each item may be taken, in steps of 1, 2, 4, … copies. The rows are the best pattern and, for each
+    item, the best one that has it.
+    """
+    worth, steps = np.zeros(capacity + 1), []
+    for k, (value, size) in enumerate(zip(values.tolist(), sizes.tolist())):
+        copies = 1
+        while size * copies <= capacity:
+            weight = size * copies
+            taken = worth[:-weight] + value * copies
+            better = taken > worth[weight:] + 1e-12
+            np.copyto(worth[weight:], taken, where=better)
+            steps.append((k, copies, weight, better))
+            copies *= 2
+    rooms = np.concatenate([[capacity], capacity - sizes])
+    rows = np.concatenate([np.zeros((1, len(sizes)), np.int64), np.eye(len(sizes), dtype=np.int64)])
+    for k, copies, weight, better in reversed(steps):
+        taken = (rooms >= weight) & better[np.maximum(rooms - weight, 0)]
+        rows[taken, k] += copies
+        rooms = rooms - weight * taken
+    return float(worth[capacity]), rows
+
+
+def solved(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300) -> list[tuple[float, np.ndarray]]:
+    """(copies, pattern) of the linear program: fewest sequences whose places hold the demand.
+
+    A piece may take the place of a longer one, which keeps prices from jumping: they rise with the size (exchange
+    columns of no cost). Patterns are priced by the knapsack, as many at a time as there are sizes, at prices between
+    those of the basis and those of the best lower bound so far, until the gap is below a thousandth, or one sequence.
     """
     m = len(sizes)
-    order = np.argsort(sizes)
-    sizes, demand = sizes[order], demand[order].astype(float)
-    basis = [np.eye(m, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(m)]
-    inverse = np.diag(1.0 / np.array([capacity // s for s in sizes]))
-    copies = inverse @ demand
+    whole = capacity // sizes
+    exchange = -np.eye(m, dtype=np.int64)       # a place of size k given up for one of the next smaller size
+    exchange[np.arange(1, m), np.arange(m - 1)] = 1
+    columns, costs = np.concatenate([exchange, np.diag(whole)]), np.repeat([0.0, 1.0], m)
+    basis = np.arange(m, 2 * m)     # rows of columns
+    inverse, copies = np.diag(1.0 / whole), demand / whole
+    center, reached, trust = sizes / capacity, 0.0, 0.9
     for turn in range(rounds):
-        worth, pattern = best_pattern(inverse.sum(axis=0), sizes, capacity)
-        used = copies.sum()
-        if used - used / worth <= max(1.0, used / 1000):    # used / worth is a lower bound
+        before = copies @ costs[basis]
+        prices = trust * center + (1 - trust) * np.maximum(costs[basis] @ inverse, 0)
+        worth, pool = priced(prices, sizes, capacity)
+        if prices @ demand / worth > reached:   # no pattern is worth more than 1 at prices / worth
+            center, reached = prices / worth, prices @ demand / worth
+        kept = np.concatenate([np.arange(m), np.unique(basis[basis >= m])])     # exchanges, and what the basis uses
+        basis = np.searchsorted(kept, basis)
+        columns, costs = np.concatenate([columns[kept], pool]), np.concatenate([costs[kept], np.ones(len(pool))])
+        wide = columns.astype(float)
+        for pivot in range(4 * m):
+            gains = wide @ (costs[basis] @ inverse) - costs
+            best = int(gains.argmax())
+            if gains[best] <= 1e-7:
+                break
+            column = inverse @ wide[best]
+            ratio = np.where(column > 1e-9, copies / np.where(column > 1e-9, column, 1), np.inf)
+            out = int(ratio.argmin())
+            basis[out] = best
+            inverse[out] /= column[out]
+            copies[out] /= column[out]
+            rest = column.copy()
+            rest[out] = 0
+            inverse -= np.outer(rest, inverse[out])
+            copies = np.maximum(copies - rest * copies[out], 0)
+        inverse = 2 * inverse - inverse @ wide[basis].T @ inverse   # a Newton step takes the rounding errors out
+        copies = np.maximum(inverse @ demand, 0)
+        used = copies @ costs[basis]
+        if used - max(reached, sizes @ demand / capacity) <= max(1.0, used / 1000):     # both are lower bounds
             break
-        column = inverse @ pattern
-        ratio = np.where(column > 1e-9, copies / np.where(column > 1e-9, column, 1), np.inf)
-        out = int(ratio.argmin())
-        basis[out] = pattern
-        inverse[out] /= column[out]
-        copies[out] /= column[out]
-        rest = column.copy()
-        rest[out] = 0
-        inverse -= np.outer(rest, inverse[out])
-        copies = np.maximum(copies - rest * copies[out], 0)
-        if turn % 200 == 199:   # a Newton step takes the rounding errors out of the inverse
-            inverse = 2 * inverse - inverse @ np.array(basis, float).T @ inverse
-            copies = np.maximum(inverse @ demand, 0)
-    whole = np.floor(copies + 1e-6).astype(np.int64)
-    left = demand.astype(np.int64) - np.array(basis).T @ whole
-    for k in range(m):      # rounding may have overfilled a size by the last digit
-        while left[k] < 0:
-            p = next(p for p in range(m) if whole[p] and basis[p][k])
-            whole[p] -= 1
-            left += basis[p]
-    found = [(int(n), p) for n, p in zip(whole, basis) if n]
-    bins: list[tuple[int, np.ndarray]] = []
-    for k in range(m - 1, -1, -1):
+        trust = 0.9 if used < before - 1e-9 * before else trust / 2
+    return [(n, columns[k]) for n, k in zip(copies.tolist(), basis.tolist()) if costs[k]]
+
+
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(copies, pieces of each size): patterns that hold exactly the demand in about as few sequences as possible.
+
+    The linear program's patterns are rounded down. Their places take the longest pieces left that fit; pieces left
+    over, about one pattern per size, are packed first-fit decreasing.
+    """
+    if not len(sizes):
+        return []
+    order = np.argsort(sizes)
+    sizes, left = sizes[order], demand[order].astype(np.int64)
+    found: list[tuple[int, np.ndarray]] = []
+    for copies, pattern in sorted(solved(sizes, left.astype(float), capacity), key=lambda p: -p[0]):
+        n = int(copies + 1e-6)
+        while n:    # copies that take the same pieces; each turn but the last uses up a size
+            taken = np.zeros(len(sizes), np.int64)
+            for k in np.flatnonzero(pattern)[::-1]:
+                j, places = int(k), int(pattern[k])
+                while places and j >= 0:
+                    some = min(places, int(left[j] - taken[j]))
+                    taken[j] += some
+                    places -= some
+                    j -= 1
+            own = taken > 0
+            if not own.any():
+                break
+            same = min(n, int((left[own] // taken[own]).min()))
+            left -= same * taken
+            found.append((same, taken))
+            n -= same
+    bins: list[list] = []       # room and pieces of each size
+    for k in range(len(sizes) - 1, -1, -1):
         for _ in range(int(left[k])):
-            at = next((i for i, (room, _) in enumerate(bins) if room >= sizes[k]), None)
+            at = next((b for b in bins if b[0] >= sizes[k]), None)
             if at is None:
-                bins.append((capacity, np.zeros(m, np.int64)))
-                at = len(bins) - 1
-            bins[at] = (bins[at][0] - sizes[k], bins[at][1])
-            bins[at][1][k] += 1
+                bins.append(at := [capacity, np.zeros(len(sizes), np.int64)])
+            at[0] -= sizes[k]
+            at[1][k] += 1
     back = np.argsort(order)
-    return [(n, p[back]) for n, p in found + [(1, p) for _, p in bins]]
+    return [(n, p[back]) for n, p in [*found, *((1, b[1]) for b in bins)]]
 
 
 def ranked(df: DataFrame, group: str, order: list[str], scratch: Scratch) -> DataFrame:
@@ -181,34 +226,43 @@ def ranked(df: DataFrame, group: str, order: list[str], scratch: Scratch) -> Dat
     return numbered.join(shifts, [group, "part"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
 
 
+def size_class(length: Column) -> Column:
+    """Tokens that the linear program counts for a piece: its length, beyond EXACT rounded up to UNIT tokens."""
+    return F.when(length <= EXACT, length).otherwise(F.ceil(length / UNIT) * UNIT)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack documents into sequences of at most CAPACITY tokens; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, ids (binary,
     little-endian unsigned 32-bit). Every document ends with END, so a null or empty text is one token. Longer
-    documents are cut every CAPACITY tokens; remainders are rounded up to UNIT tokens for the linear program only.
-    Only its histogram, at most CAPACITY / UNIT numbers, reaches the driver. Pieces are ranked in their length
-    class, and patterns take ranks in turn, so the assignment is the same for any order of rows. Repeated rows are
-    packed as often as given, a null doc_id stays null, no rows give no rows, other columns are ignored.
+    documents are cut every CAPACITY tokens; remainders count as size_class for the linear program only. Only its
+    histogram, some hundred numbers, reaches the driver. Pieces are ranked in their class, and patterns take ranks in
+    turn, so the assignment is the same for any order of rows. Repeated rows are packed as often as given, a null
+    doc_id stays null, no rows give no rows, other columns are ignored.
+
+    Rows are placed without their ids, which meet their places in one join at the end.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     plain = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    cut = scratch.keep(pieces(plain, tokenizer_path, keep_ids), "pieces").withColumn("size", F.ceil(F.col("length") / UNIT))
-    histogram = cut.groupBy("size").agg(F.count("*").alias("n")).toPandas()     # at most CAPACITY / UNIT rows
+    stored = scratch.keep(pieces(plain, tokenizer_path, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    cut = stored.drop("ids").withColumn("size", size_class(F.col("length")))
+    histogram = cut.groupBy("size").agg(F.count("*").alias("n")).toPandas()     # one row per class at most
     sizes, demand = histogram["size"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
     taken, sequence, shares = np.zeros(len(sizes), np.int64), 0, []
-    for copies, pattern in patterns(sizes, demand, CAPACITY // UNIT) if len(sizes) else []:
+    for copies, pattern in patterns(sizes, demand, CAPACITY):
         for k in np.flatnonzero(pattern):
             shares.append((int(sizes[k]), int(taken[k]), int(pattern[k]), int(taken[k] + copies * pattern[k]), sequence))
             taken[k] += copies * pattern[k]
         sequence += copies
-    # bounded: each of at most CAPACITY / UNIT basis patterns and as many left-over sequences has that many sizes
+    # bounded: a basis pattern for each class at most and fewer left-over sequences, each with few of the classes
     shares = spark.createDataFrame(shares, "size bigint, lowest bigint, each bigint, upto bigint, sequence bigint")
     rows = ranked(cut, "size", ["doc_id", "start", "ids_crc32"], scratch)
     placed = rows.join(F.broadcast(shares), "size").where("rank >= lowest and rank < upto").withColumn(
         "sequence_id", F.expr("sequence + (rank - lowest) div each"))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-        F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset"), *["ids"] * keep_ids)
+    places = placed.select(
+        "row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset"))
+    return (places.join(stored.select("row", "ids"), "row") if keep_ids else places).drop("row")

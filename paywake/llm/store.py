@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between the tasks of one operator; it drops what another operator has kept."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 class Scratch:
     """Intermediate tables of one job. A lost executor costs a re-read of files, never of work before them."""
 

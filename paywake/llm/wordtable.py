@@ -26,18 +26,19 @@ LETTERS_DIGITS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B)]))
 class WordTable:
     """Words of a column of texts, nulls having none.
 
+    `table` gives the byte that stands for each byte; `inside`, by default its entries but 0, which bytes words have.
     `code` and `row` have one entry per word, in order of the texts; `data`, `start` and `length` hold the bytes of
     each distinct word, by code.
     """
 
-    def __init__(self, texts: pa.Array, table: np.ndarray):
+    def __init__(self, texts: pa.Array, table: np.ndarray, inside: np.ndarray | None = None):
         texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         raw = np.empty(0, np.uint8) if raw is None else np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
         lowered = table[raw]
-        inside = lowered != 0
+        inside = lowered != 0 if inside is None else inside[raw]
         edge = np.zeros(len(raw) + 1, bool)     # places between two texts
         edge[self.offsets] = True
         first, last = inside.copy(), inside.copy()

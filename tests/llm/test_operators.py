@@ -180,6 +180,25 @@ def test_patterns_hold_the_demand():
     assert sum(n for n, _ in found) <= (sizes * demand).sum() / 256 * 1.05 + 4
 
 
+def test_linear_programs_of_many_sizes_end_near_the_bound():
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, 2049, 30_000), np.minimum(rng.exponential(60, 30_000).astype(int) + 1, 2048)):
+        classes = np.where(lengths <= packing.EXACT, lengths, -(-lengths // packing.UNIT) * packing.UNIT)
+        sizes, demand = np.unique(classes, return_counts=True)
+        found = packing.patterns(sizes[::-1], demand[::-1], 2048)
+        assert (sum(n * p for n, p in found) == demand[::-1]).all() and all((p * sizes[::-1]).sum() <= 2048 for _, p in found)
+        assert sum(n for n, _ in found) <= (sizes * demand).sum() / 2048 * 1.02 + 2
+    assert packing.patterns(np.empty(0, np.int64), np.empty(0, np.int64), 2048) == []
+
+
+@pytest.mark.parametrize("text, tokens", [("", 1), (" ".join("a" * 16), 17)])
+def test_short_texts_fill_their_sequences(spark, text, tokens):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    rows = packing.pack(docs, TOKENIZER, keep_ids=False).collect()
+    assert {r["length"] for r in rows} == {tokens} and len(rows) == 4000
+    assert len({r["sequence_id"] for r in rows}) <= 4000 * tokens / (0.97 * packing.CAPACITY) + 1
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_BYTES", 1000)
     trap = "x" * 900 + "\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "y" * 3000
