@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,20 +23,67 @@ CAPACITY = 2048     # tokens of a sequence
 EXACT = 128         # tokens of a piece up to which each length is a class of its own
 UNIT = 8            # tokens between the classes beyond
 END = 1             # id after each document
-CACHE_BYTES = 64 << 20      # of the parts of chunks that a Python worker remembers
-BATCH = 8 << 20     # bytes of text that are coded together
+SETS, WAYS = 1 << 18, 4     # of the parts that a Python worker remembers: 48 MB
+LONGEST = 7         # ids of such a part
+STEP = 2000         # parts that are coded together
+BATCH = 4 << 20     # bytes of text that are coded together
 
-_BYTES = np.arange(256, dtype=np.uint8)
-_INSIDE = ~np.isin(_BYTES, np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
-_PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+_SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_ODD = re.compile(rb"\xc2[\x85\xa0]|\xc4\xb0")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
-class TokenBytes:
-    """Token ids, as little-endian unsigned 32-bit bytes, of chunks between ASCII white space.
+def _character_classes() -> np.ndarray:
+    """Class of each character below U+0300. _WHOLE: a chunk that has it is left to the tokenizer as it is."""
+    classes = np.full(0x300, _OTHER, np.uint8)
+    for code in range(0x300):
+        kind = unicodedata.category(chr(code))
+        if chr(code) in " \t\n\r\x0b\x0c":
+            classes[code] = _SPACE
+        elif chr(code).isspace() and code > 0x7F or chr(code) in "'\u0130":    # a mark comes out of the latter's lower case
+            classes[code] = _WHOLE
+        elif kind[0] in "LN":
+            classes[code] = _LETTER if kind[0] == "L" else _DIGIT
+    return classes
 
-    The vocabulary drops white space and never joins characters across it, so chunks are independent; so are the
-    runs of letters, the digits and the runs of other characters of an ASCII chunk without an apostrophe or `<|`.
-    The ids of such parts are remembered, in CACHE_BYTES at most.
+
+_CLASSES = _character_classes()
+
+
+class PartTable(WordTable):
+    """The parts of texts that the vocabulary codes apart: runs of letters, single digits, runs of other characters.
+
+    Letters and digits are those of all characters below U+0300, which nothing composes with each other. A chunk
+    between ASCII white space that has any other character, an apostrophe or `<|` is one part.
+    """
+
+    def words_in(self, raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = _CLASSES[raw]        # of ASCII; other lead bytes next, and what follows them is as they are
+        lead = np.flatnonzero(raw >= 0xC0)
+        code = (raw[lead].astype(np.int32) & 0x1F) << 6 | (raw[np.minimum(lead + 1, len(raw) - 1)] & 0x3F)
+        known = raw[lead] < 0xCC
+        kind[lead] = np.where(known, _CLASSES[np.where(known, code, 0)], _WHOLE)
+        follows = np.flatnonzero((raw & 0xC0) == 0x80)
+        kind[follows] = kind[np.maximum(follows - 1, 0)]    # right for two bytes; longer characters are _WHOLE anyway
+        kind[follows[(raw[np.maximum(follows - 1, 0)] & 0xC0) == 0x80]] = _WHOLE
+        kind[:-1][(raw[:-1] == 0x3C) & (raw[1:] == 0x7C)] = _WHOLE
+        inside = kind != _SPACE
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        chunk = np.cumsum(first) - 1
+        whole = np.bincount(chunk[kind == _WHOLE], minlength=int(first.sum())) > 0
+        apart = inside[1:] & ((kind[1:] != kind[:-1]) | ((kind[1:] == _DIGIT) & ((raw[1:] & 0xC0) != 0x80)))
+        first[1:] |= apart & ~whole[np.maximum(chunk[1:], 0)] if len(whole) else apart
+        return inside, first
+
+
+class TokenIds:
+    """Token ids of the parts of a PartTable.
+
+    New parts that are runs of one class are coded many to a text, as each ends with a token that ends a word. Parts
+    of at most LONGEST ids are remembered by a 128-bit hash, seeded anew in each worker, in a table of SETS sets of
+    WAYS entries, where a new part takes a free entry of its set or one at random.
     """
 
     def __init__(self, path: str):
@@ -42,38 +91,88 @@ class TokenBytes:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, bytes] = {}
-        self.bytes = 0
-
-    def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        split = [_PARTS.findall(c.lower()) if c.isascii() and b"'" not in c and b"<|" not in c else (c,) for c in chunks]
-        known = self.parts
-        wanted = {part for parts in split for part in parts}
-        unknown = [part for part in wanted if part not in known]
-        if self.bytes > CACHE_BYTES:
-            known.clear()
-            self.bytes, unknown = 0, list(wanted)
-        for at in range(0, len(unknown), 10_000):
-            some = unknown[at:at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([part.decode() for part in some], add_special_tokens=False)
-            for part, found in zip(some, coded):
-                known[part] = ids = np.array(found.ids, "<u4").tobytes()
-                self.bytes += len(part) + len(ids) + 160    # and what Python adds to two byte strings and their entry
-        return [b"".join([known[part] for part in parts]) if len(parts) != 1 else known[parts[0]] for parts in split]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 3, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.seed = int.from_bytes(os.urandom(8), "little")
+        self.keys = np.zeros((SETS * WAYS, 2), np.uint64)
+        self.ids = np.zeros((SETS * WAYS, LONGEST), np.uint32)
+        self.size = np.zeros(SETS * WAYS, np.uint8)
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each) of runs of one class."""
+        ids = self._coded([b" ".join(parts).decode()])[0]
+        bounds = np.flatnonzero(self.ends[ids]) + 1
+        if len(bounds) == len(parts) and bounds[-1] == len(ids):
+            return ids, np.diff(bounds, prepend=0)
+        return self._apart(parts)
+
+    def _apart(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._coded([part.decode() for part in parts])
+        return np.concatenate(found), np.array([len(ids) for ids in found])
+
+    def _learned(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _together, for parts of any kind."""
+        odd = np.array([b"'" in p or b"<|" in p or max(p) >= 0xCC or bool(_ODD.search(p)) for p in parts], bool)
+        ids, sizes = [np.empty(0, np.uint32)], np.zeros(len(parts), np.int64)
+        order = np.argsort(odd, kind="stable")
+        plain = len(parts) - int(odd.sum())
+        for at in [*range(0, plain, STEP), *range(plain, len(parts), STEP)]:
+            some = order[at:min(at + STEP, plain) if at < plain else at + STEP]
+            coded, sizes[some] = (self._together if at < plain else self._apart)([parts[k] for k in some])
+            ids.append(coded)
+        return _regrouped(np.concatenate(ids), sizes[order], np.argsort(order)), sizes
+
+    def __call__(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each)."""
+        seed = self.seed
+        names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(part, seed) for part in parts]), np.uint64).reshape(-1, 2)
+        slots = ((names[:, 0] % np.uint64(SETS)).astype(np.int64) * WAYS)[:, None] + np.arange(WAYS)
+        same = (self.keys[slots] == names[:, None, :]).all(axis=2) & (self.size[slots] > 0)
+        known = same.any(axis=1)
+        slot = slots[np.arange(len(parts)), same.argmax(axis=1)]
+        sizes = self.size[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        coded, sizes[new] = self._learned([parts[k] for k in new]) if len(new) else (np.empty(0, np.uint32), 0)
+        held = sizes[known]
+        old = self.ids[np.repeat(slot[known], held), np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)]
+        order = np.concatenate([np.flatnonzero(known), new])
+        ids = _regrouped(np.concatenate([old, coded]), sizes[order], np.argsort(order))
+        self._remember(names[new], slots[new], coded, sizes[new])
+        return ids, sizes
+
+    def _remember(self, names: np.ndarray, slots: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = np.cumsum(sizes) - sizes
+        free = self.size[slots] == 0
+        way = np.where(free.any(axis=1), free.argmax(axis=1), (names[:, 1] % np.uint64(WAYS)).astype(np.int64))
+        slot, at = np.unique(slots[np.arange(len(slots)), way], return_index=True)
+        fits = (sizes[at] <= LONGEST) & (sizes[at] > 0)
+        slot, at = slot[fits], at[fits]
+        place = np.minimum(first[at][:, None] + np.arange(LONGEST), max(len(ids) - 1, 0))
+        if len(at):
+            self.keys[slot], self.ids[slot], self.size[slot] = names[at], ids[place], sizes[at]
+
+
+def _regrouped(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The groups of consecutive values, of the given sizes, in another order."""
+    first = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    return values[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, keep_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of (doc_id, text), cut every CAPACITY tokens.
 
-    Each distinct chunk of a batch is coded once; the ids of the texts are gathered from those by index.
+    Each distinct part of a batch is coded once; the ids of the texts are gathered from those by index.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_cache(f"packing {tokenizer_path}", lambda: TokenBytes(tokenizer_path))
+        coder = worker_cache(f"packing {tokenizer_path}", lambda: TokenIds(tokenizer_path))
         for batch in slices(batches, "text", BATCH):
-            table = WordTable(batch.column(1), _BYTES, _INSIDE)
-            coded = coder(table.words.to_pylist())
-            flat = np.frombuffer(b"".join(coded), "<u4")
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            table = PartTable(batch.column(1), _LOWER)
+            flat, sizes = coder(table.words.to_pylist())
             first = np.cumsum(sizes) - sizes
             n = sizes[table.code]
             tokens = np.bincount(table.row, n, batch.num_rows).astype(np.int64) + 1

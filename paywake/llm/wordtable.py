@@ -26,24 +26,24 @@ LETTERS_DIGITS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B)]))
 class WordTable:
     """Words of a column of texts, nulls having none.
 
-    `table` gives the byte that stands for each byte; `inside`, by default its entries but 0, which bytes words have.
-    `code` and `row` have one entry per word, in order of the texts; `data`, `start` and `length` hold the bytes of
-    each distinct word, by code.
+    `code` and `row` have one entry per word, in order of the texts; `words` are the distinct words by code, and
+    `data`, `start` and `length` hold their bytes.
     """
 
-    def __init__(self, texts: pa.Array, table: np.ndarray, inside: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, table: np.ndarray):
+        self.table = table
         texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         raw = np.empty(0, np.uint8) if raw is None else np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
-        lowered = table[raw]
-        inside = lowered != 0 if inside is None else inside[raw]
         edge = np.zeros(len(raw) + 1, bool)     # places between two texts
         edge[self.offsets] = True
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1]
-        last[:-1] &= ~inside[1:] | edge[1:-1]
+        lowered = table[raw]
+        inside, first = self.words_in(raw, edge)
+        ending = first | ~inside
+        last = inside.copy()
+        last[:-1] &= ending[1:]
         begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(self.offsets, begin, "right") - 1
         places = np.zeros(len(begin) + 1, np.int64)
@@ -57,6 +57,13 @@ class WordTable:
         self.data = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
         self.start, self.length = ends[:-1], np.diff(ends)
 
+    def words_in(self, raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes belong to words, and which begin one; `edge` marks the places where a text begins or ends."""
+        inside = self.table[raw] != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        return inside, first
+
     def per_text(self) -> np.ndarray:
         """Number of words of each text."""
         return np.bincount(self.row, minlength=len(self.offsets) - 1)
