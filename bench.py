@@ -57,6 +57,10 @@ def spark_steps():
     def rollup_step():
         run(*rollups.roll_up_all(table("sessions")).values())
 
+    def season_step():
+        folded = rollups.seasonality(table("sessions"))
+        run(*(folded[name] for name in ("monthly", "weekday", "calendar")))
+
     def insight_step():
         merchants = table("merchant_metrics")
         ranked = materialize(peers.peer_metrics(merchants), "peers")    # read three times, as in the build
@@ -77,8 +81,7 @@ def spark_steps():
         "attempts_to_sessions": lambda: run(
             sessions.build_sessions(table("attempts"))),
         "five_rollups": rollup_step,
-        "seasonality": lambda: run(*rollups.seasonality(table("sessions")).values(),
-                                   rollups.calendar_metrics(table("sessions"))),
+        "seasonality": season_step,
         "peers_insights_evidence": insight_step,
         "health_scores": lambda: run(scores.health_scores(table("peer_metrics"))),
         "customer_analytics": lambda: run(customers.customer_analytics(table("attempts"))),

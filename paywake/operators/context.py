@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructField
 
 from paywake.functions.text import with_iso_times
 from paywake.operators.insights import rank_insights
@@ -108,3 +109,26 @@ def context_items(contexts: DataFrame) -> DataFrame:
         rows("seasonality_monthly", "month", "sessions", "lost_volume"),
     )
     return contexts.select("merchant_key", F.inline(tall))
+
+
+def context_values(contexts: DataFrame) -> DataFrame:
+    """Every single value of the documents as a row: its path, and the value as number or as text.
+
+    Paths are those of the JSON text, as merchant.sessions or hourly[3].success_rate, so that documents can be
+    compared without regard to how an engine writes numbers.
+    """
+    def leaf(path: Column, value: Column, kind: DataType) -> Column:
+        number = isinstance(kind, NumericType)
+        return F.struct(
+            path.alias("path"), (value if number else F.lit(None)).cast("double").alias("number"),
+            (F.lit(None) if number else value).cast("string").alias("text"))
+
+    def leaves(part: StructField) -> Column:
+        whole = F.col(f"context.{part.name}")
+        if not isinstance(part.dataType, ArrayType):
+            return F.array(*(leaf(F.lit(f"{part.name}.{f.name}"), whole[f.name], f.dataType) for f in part.dataType.fields))
+        return F.flatten(F.transform(whole, lambda item, i: F.array(*(
+            leaf(F.concat(F.lit(f"{part.name}["), i.cast("string"), F.lit(f"].{f.name}")), item[f.name], f.dataType)
+            for f in part.dataType.elementType.fields))))
+
+    return contexts.select("merchant_key", F.inline(F.concat(*map(leaves, contexts.schema["context"].dataType.fields))))

@@ -220,8 +220,38 @@ def weekday_metrics(sessions: DataFrame) -> DataFrame:
     return _roll_up(sessions, WEEKDAY)
 
 
+DAY_MEASURES = ("sessions", "attempted_sessions", "successful_sessions", "recovered_sessions", "unrecovered_sessions",
+                "successful_volume", "lost_volume", "paid_amount", "paid_sessions")
+
+
+def day_lattice(sessions: DataFrame) -> DataFrame:
+    """Counts and sums by merchant and day, from which every coarser calendar follows by adding up."""
+    paid = F.when(F.col("final_success"), F.col("amount"))
+    return (
+        sessions.where(F.col("created_at").isNotNull())
+        .groupBy("merchant_key", F.to_date("created_at").alias("metric_date"))
+        .agg(*_measures(*DAY_MEASURES[:-2]), F.sum(paid).alias("paid_amount"), F.count(paid).alias("paid_sessions"))
+    )
+
+
+def _fold_days(days: DataFrame, rollup: Rollup) -> DataFrame:
+    """A calendar roll-up from the day lattice."""
+    date = F.col("metric_date")
+    parts = {"metric_date": date, "weekday": weekday(date), "month": F.month(date)}
+    groups = days.groupBy("merchant_key", *(parts[key].alias(key) for key in rollup.keys)).agg(
+        *(F.sum(name).alias(name) for name in DAY_MEASURES))
+    return _report(groups.withColumn("aov", rate(F.col("paid_amount"), F.col("paid_sessions"))), rollup)
+
+
 def seasonality(sessions: DataFrame) -> dict[str, DataFrame]:
-    return {"monthly": monthly_metrics(sessions), "weekday": weekday_metrics(sessions)}
+    """Days, months, weekdays and the weekday by month calendar from one scan of the sessions.
+
+    The sessions are added up by day once; the days, at most some thousand per merchant, are written and folded.
+    """
+    days = materialize(day_lattice(sessions), "days")
+    rollups = {"daily": DAILY, "monthly": MONTHLY, "weekday": WEEKDAY, "calendar": CALENDAR}
+    folded = {name: _fold_days(days, rollup) for name, rollup in rollups.items()}
+    return folded | {"monthly_lost": folded["monthly"], "monthly": folded["monthly"].drop("lost_volume")}
 
 
 def amount_share(amounts: DataFrame) -> DataFrame:

@@ -6,29 +6,37 @@ from paywake.operators import insights as ins
 from paywake.operators import rollups
 from paywake.operators.peers import peer_metrics
 from paywake.operators.sessions import build_sessions, provider_codes
-from paywake.sources.files import read_attempts
-from paywake.sources.tables import read_table, write_tables
+from paywake.sources.files import locate, read_attempts
+from paywake.sources.tables import COUNTS, count_rows, new_version, publish, read_table, write_tables
 
 
-def build_all(spark: SparkSession, source: str | DataFrame, out: str,
-              fmt: str | None = None, spread_gzip: int | None = None) -> dict[str, DataFrame]:
-    """Build and store the eleven tables under ``out`` and return them as stored.
+def build_all(spark: SparkSession, source: str | DataFrame, out: str, fmt: str | None = None,
+              spread_gzip: int | None = None, database: str | None = None) -> dict[str, DataFrame]:
+    """Build and store the eleven tables as a new version under ``out`` and return them as stored.
 
     Each stage reads what the stage before has written, so nothing is computed twice and a lost
-    executor costs only the running stage. ``source`` is a path for read_attempts, which takes
-    ``fmt`` and ``spread_gzip``, or attempts; resolve_source finds the path in a folder.
+    executor costs only the running stage. The version is published at the end: until then, and after a build that
+    failed, readers have the tables of the version before; ``database`` also gets a view of each table.
+    ``source`` is attempts, or a file or folder that locate finds and read_attempts reads. Rows are counted as they are written (table_counts).
     """
     stored: dict[str, DataFrame] = {}
+    counts: dict[str, int] = {}
+    version = new_version(out)
 
     def store(**tables: DataFrame) -> None:
-        write_tables(tables, out)
-        stored.update({name: read_table(spark, out, name, df.schema) for name, df in tables.items()})
+        counts.update(write_tables(tables, version))
+        stored.update({name: read_table(spark, version, name, df.schema) for name, df in tables.items()})
 
-    store(attempts=source if isinstance(source, DataFrame) else read_attempts(spark, source, fmt, spread_gzip))
+    if isinstance(source, str):
+        path, fmt = locate(spark, source, fmt)
+        source = read_attempts(spark, path, fmt, spread_gzip)
+    store(attempts=source)
     store(sessions=build_sessions(stored["attempts"], codes=provider_codes(stored["attempts"])))
     store(**rollups.roll_up_all(stored["sessions"]), insight_methodology=ins.methodology(spark))
     store(peer_metrics=peer_metrics(stored["merchant_metrics"]))
     insights = ins.build_insights(stored["peer_metrics"])
     store(insights=insights,
           insight_evidence=ins.insight_evidence(insights, stored["peer_metrics"], stored["insight_methodology"]))
+    write_tables({COUNTS: count_rows(spark, counts).coalesce(1)}, version)
+    publish(spark, version, database, [*stored, COUNTS])
     return stored

@@ -1,10 +1,16 @@
-"""The stored tables: writing, finding and counting them."""
+"""The stored tables: writing, publishing, finding and counting them.
 
+A folder of stored tables may hold versions. Each build writes under a version of its own and publishes it by
+creating one marker file, so that readers see all tables of the old version or all of the new one.
+"""
+
+import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,23 +18,88 @@ from pyspark.sql.types import StructType
 # Ranges over all three columns also split a merchant with very many sessions.
 LAYOUT = {"sessions": ["merchant_key", "created_at", "session_key"]}
 
+# Columns with Bloom filters in the row groups, for look-ups that the layout does not serve.
+BLOOM_FILTERS = {"attempts": ["session_key"], "sessions": ["session_key"]}
+
+VERSIONS = "versions"
+MARKER = "_PUBLISHED"
+COUNTS = "table_counts"
+
+
+def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """(file system, path) of the store the path is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def new_version(out: str) -> str:
+    """Folder for a build of all tables; later versions sort behind earlier ones."""
+    return f"{out}/{VERSIONS}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def publish(spark: SparkSession, version: str, database: str | None = None, tables: list[str] | None = None) -> None:
+    """Make a written version the current one. A marker file does it for readers of the folder, all tables at once;
+    with ``database`` the views of that name are replaced too, one after the other."""
+    store, marker = _path(spark, f"{version}/{MARKER}")
+    store.create(marker, True).close()
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        for name in tables or []:
+            spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS SELECT * FROM parquet.`{version}/{name}`")
+
 
-def write_tables(tables: dict[str, DataFrame], out: str, layout: dict[str, list[str]] = LAYOUT) -> None:
-    """Replace each table under ``out`` by new Parquet files. The tables are written side by side."""
-    def write(name: str) -> None:
+def published(spark: SparkSession, out: str) -> list[str]:
+    """The published versions, oldest first."""
+    store, folder = _path(spark, f"{out}/{VERSIONS}")
+    if not store.exists(folder):
+        return []
+    names = sorted(entry.getPath().getName() for entry in store.listStatus(folder))
+    paths = [f"{out}/{VERSIONS}/{name}" for name in names]
+    return [path for path in paths if store.exists(_path(spark, f"{path}/{MARKER}")[1])]
+
+
+def current(spark: SparkSession, out: str) -> str:
+    """Folder of the newest published version; the folder itself where there are no versions."""
+    versions = published(spark, out)
+    return versions[-1] if versions else out
+
+
+def drop_versions(spark: SparkSession, out: str, keep: int = 2) -> int:
+    """Delete published versions but the newest ``keep``, and return how many. Readers of those must have ended."""
+    old = published(spark, out)[:-keep] if keep else []
+    for version in old:
+        store, path = _path(spark, version)
+        store.delete(path, True)
+    return len(old)
+
+
+def write_tables(tables: dict[str, DataFrame], out: str, layout: dict[str, list[str]] = LAYOUT,
+                 blooms: dict[str, list[str]] = BLOOM_FILTERS) -> dict[str, int]:
+    """Replace each table under ``out`` by new Parquet files and return their numbers of rows.
+
+    The tables are written side by side. Rows are counted by the writing tasks, not in a pass of their own.
+    """
+    def write(name: str) -> int:
         df, order = tables[name], layout.get(name)
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        # above the range exchange, whose sampling also runs what is below it
+        counted = Observation(f"rows of {name}")
+        writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        for column in blooms.get(name, []):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+                "parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{out}/{name}")
+        return counted.get["rows"]
 
     with ThreadPoolExecutor() as threads:
-        list(threads.map(write, tables))
+        return dict(zip(tables, threads.map(write, tables)))
 
 
 def read_table(spark: SparkSession, out: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """A stored table; a known schema saves looking into its files."""
+    """A stored table of the current version; a known schema saves looking into its files."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{out}/{name}")
+    return reader.parquet(f"{current(spark, out)}/{name}")
 
 
 def has_table(spark: SparkSession, out: str, name: str) -> bool:
@@ -46,10 +117,11 @@ def table_columns(spark: SparkSession, out: str, name: str) -> list[str]:
     return read_table(spark, out, name).columns if has_table(spark, out, name) else []
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Number of rows of each table."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+def count_rows(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(table_name, row_count) of tables that were counted while they were written."""
+    return spark.createDataFrame(sorted(counts.items()), "table_name string, row_count long")
+
+
+def table_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Number of rows of each table of the current version, as its build has stored it."""
+    return read_table(spark, out, COUNTS)

@@ -62,6 +62,51 @@ def test_numeric_keys_become_text(spark, tmp_path):
     assert files.type_attempts(raw).first()["session_key"] == "7"
 
 
+def test_format_is_found_by_content(spark, tmp_path):
+    rows = samples.frame(spark, samples.SESSION_ROWS)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/plain_folder")
+    rows.coalesce(2).write.option("header", True).option("compression", "gzip").csv(f"{tmp_path}/zipped")
+    assert files.file_format(spark, f"{tmp_path}/plain_folder") == "parquet"
+    assert files.locate(spark, f"{tmp_path}/plain_folder") == (f"{tmp_path}/plain_folder", "parquet")
+    assert files.locate(spark, f"{tmp_path}/zipped") == (f"{tmp_path}/zipped", "csv")
+    for folder in ("plain_folder", "zipped"):
+        found = files.read_attempts(spark, *files.locate(spark, f"{tmp_path}/{folder}"))
+        assert found.count() == len(samples.SESSION_ROWS) and found.columns == NAMES
+    (tmp_path / "chosen").mkdir()
+    (tmp_path / "chosen" / "notes.txt").write_text("x")
+    (tmp_path / "chosen" / "challenge_data.csv").write_text(csv_text([LINE]))
+    path, fmt = files.locate(spark, f"{tmp_path}/chosen")
+    assert path.endswith("/challenge_data.csv") and fmt == "csv"
+    built = build_all(spark, f"{tmp_path}/chosen", f"{tmp_path}/out")
+    assert built["sessions"].first()["session_key"] == "17"
+    with pytest.raises(FileNotFoundError):
+        files.file_format(spark, f"{tmp_path}/missing")
+
+
+def test_dialects_are_found(spark, tmp_path):
+    def written(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    plain = written("a.csv", csv_text([LINE]))
+    assert files.find_dialect(spark, plain) == files.Dialect(",", '"', tuple(
+        (n, None) for n, kind in ATTEMPT_COLUMNS if kind == "timestamp_ntz"))
+    own = {**LINE, "category_title": "Books; 'old'", "created_at": "07/01/2024 23:00", "verified_at": "soon", "expire_in": "31/12/2024 00:10:20"}
+    names = [f"'{n}'" for n in NAMES]
+    values = ["'" + own.get(n, "").replace("'", "''") + "'" if n == "category_title" else own.get(n, "") for n in NAMES]
+    other = written("b.csv", "\n".join([";".join(names), ";".join(values)]) + "\n")
+    dialect = files.find_dialect(spark, other)
+    assert (dialect.delimiter, dialect.quote) == (";", "'")
+    assert dict(dialect.times)["created_at"] == "dd/MM/yyyy HH:mm[:ss]" and dict(dialect.times)["verified_at"] is None
+    row = files.read_attempts(spark, other).first()
+    assert row["created_at"] == datetime(2024, 1, 7, 23, 0) and row["expire_in"] == datetime(2024, 12, 31, 0, 10, 20)
+    assert row["verified_at"] is None and row["amount"] == 1e6
+    tabs = written("c.csv", csv_text([{**LINE, "category_title": "Books"}]).replace(",", "\t"))
+    assert files.find_dialect(spark, tabs).delimiter == "\t" and files.read_attempts(spark, tabs).first()["session_key"] == "17"
+    halves = written("d.csv", csv_text([{**LINE, "try_seq": n} for n in ("2.5", "0.5", "1.5", "3.0")]))
+    assert sorted(r["try_seq"] for r in files.read_attempts(spark, halves).collect()) == [0, 2, 2, 3]   # halves to even
+
+
 def test_choice_of_source(spark, tmp_path):
     for name in ("b.csv", "a.parquet", "z.txt"):
         (tmp_path / name).write_text("x")
@@ -84,9 +129,12 @@ def stored(spark, tmp_path_factory):
     return out, build_all(spark, attempts_from_orders(spark, "/root/testdata/sf0.01"), out)
 
 
-def test_counts_of_the_derived_data(stored):
-    _, built = stored
-    counts = {r["table_name"]: r["row_count"] for r in tables.table_counts(built).collect()}
+def test_counts_of_the_derived_data(spark, stored):
+    out, built = stored
+    counts = {r["table_name"]: r["row_count"] for r in tables.table_counts(spark, out).collect()}
+    assert counts == {name: df.count() for name, df in built.items()}   # as counted while writing
+    plan = tables.table_counts(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
     assert counts["attempts"] == 60257 and counts["sessions"] == 15000
     assert counts["insights"] == counts["insight_evidence"] == 99
     assert counts["merchant_metrics"] == counts["peer_metrics"] == 25
@@ -106,6 +154,59 @@ def test_tables_can_be_found_and_rebuilt(spark, stored):
     assert sorted(map(str, again["insight_evidence"].collect())) == before
 
 
+def test_a_failed_build_leaves_the_old_tables(spark, tmp_path, monkeypatch):
+    """Readers have all tables of the old version until the new one is complete, then all of the new one."""
+    from paywake.plans import batch
+
+    out = str(tmp_path)
+    attempts = samples.frame(spark, samples.SESSION_ROWS)
+    build_all(spark, attempts, out, database="paywake_test")
+    names = [*batch.build_all(spark, attempts, out)][:11]
+    before = {name: sorted(map(str, tables.read_table(spark, out, name).collect())) for name in names}
+    assert len(before) == 11 and len(tables.published(spark, out)) == 2
+    first = tables.published(spark, out)[0]
+
+    def broken(*_):
+        raise RuntimeError("in the middle")
+
+    fewer = attempts.where("session_key <> 's1'")
+    with monkeypatch.context() as patch:
+        patch.setattr(batch, "peer_metrics", broken)
+        with pytest.raises(RuntimeError):
+            build_all(spark, fewer, out, database="paywake_test")
+    assert {name: sorted(map(str, tables.read_table(spark, out, name).collect())) for name in names} == before
+    assert spark.table("paywake_test.sessions").count() == 10
+    build_all(spark, fewer, out, database="paywake_test")
+    assert tables.read_table(spark, out, "sessions").count() == spark.table("paywake_test.sessions").count() == 9
+    assert {r["row_count"] for r in tables.table_counts(spark, out).where("table_name = 'sessions'").collect()} == {9}
+    assert tables.drop_versions(spark, out, keep=1) == 2 and first not in tables.published(spark, out)
+    assert tables.read_table(spark, out, "sessions").count() == 9 and tables.drop_versions(spark, out) == 0
+    spark.sql("DROP DATABASE paywake_test CASCADE")
+
+
+def test_point_look_ups_skip_row_groups(spark, tmp_path):
+    """The layout is by merchant; a session is found through the Bloom filters of its row groups."""
+    rows = spark.range(200_000).select(
+        F.lit("m").alias("merchant_key"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("created_at"),
+        F.sha2(F.col("id").cast("string"), 256).alias("session_key")).coalesce(1)
+    spark.conf.set("parquet.block.size", 1 << 20)
+    try:
+        tables.write_tables({"sessions": rows}, f"{tmp_path}/with")
+        tables.write_tables({"sessions": rows}, f"{tmp_path}/without", blooms={})
+    finally:
+        spark.conf.unset("parquet.block.size")
+    key = spark.range(1).select(F.sha2(F.lit("77"), 256)).first()[0]
+
+    def rows_read(folder):
+        found = tables.read_table(spark, f"{tmp_path}/{folder}", "sessions").where(F.col("session_key") == key)
+        assert len(found.collect()) == 1
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return scan.metrics().apply("numOutputRows").value()
+
+    assert rows_read("without") == 200_000
+    assert rows_read("with") < 60_000
+
+
 def test_sessions_are_stored_by_merchant(spark, stored, tmp_path):
     _, built = stored
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
