@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from paywake.llm.store import Scratch
 from paywake.llm.words import binary, hashed, slices
 
 WINDOW = 10                 # words of a phrase
+ROW = "_decontaminate_row"
 ANCHORS = 3                 # posting lists that are intersected, from the rarest term on
 BROADCAST_TERMS = 500_000   # test terms and windows up to which they are sent to all tasks; beyond it they are joined
 
@@ -47,15 +47,14 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """(row, doc_id, n_words, ids, positions) of (doc_id, text): the positions of test terms, of all where terms is None."""
+    """(row, doc_id, n_words, ids, positions) of (row, doc_id, text): the positions of test terms, of all where terms is None."""
     sent = None if terms is None else docs.sparkSession.sparkContext.broadcast(np.sort(terms))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
         known = None if sent is None else sent.value
         for batch in slices(batches, "text"):
             n_words, ids, positions = [], [], []
-            for text in binary(batch.column(1)):
+            for text in binary(batch.column(2)):
                 words = word_ids(text)
                 at = np.arange(len(words), dtype=np.int32)
                 if known is not None and len(words):
@@ -65,12 +64,11 @@ def postings(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 ids.append(words[at])
                 positions.append(at)
             yield pa.RecordBatch.from_pydict({
-                "row": pa.array(range(number, number + batch.num_rows), pa.int64()),
-                "doc_id": batch.column(0),
+                "row": batch.column(0),
+                "doc_id": batch.column(1),
                 "n_words": pa.array(n_words, pa.int64()),
                 "ids": pa.array(ids, pa.list_(pa.int64())),
                 "positions": pa.array(positions, pa.list_(pa.int32()))})
-            number += batch.num_rows
 
     return docs.mapInArrow(
         rows, "row bigint, doc_id bigint, n_words bigint, ids array<bigint>, positions array<int>")
@@ -236,14 +234,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id",
                       text: str = "text") -> DataFrame:
-    """The rows, with all columns, that hold no window of the benchmark; every row of a doc_id that does goes.
-
-    A row without doc_id cannot be named and stays.
-    """
-    index, _, found = _searched(docs, benchmark, 0, doc, item, text)
-    dirty = Scratch(docs.sparkSession, "decontaminate").keep(
-        index.select("row", "doc_id").join(found.select("row"), "row", "left_semi").select(F.col("doc_id").alias(doc)).distinct(), "dirty")
-    return docs.join(dirty, doc, "left_anti")
+    """The rows, with all columns, that hold no window of the benchmark. Each row is judged on its own text."""
+    # written, so that a row keeps its number in every pass
+    rows = Scratch(docs.sparkSession, "decontaminate").keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    _, _, found = _searched(rows, benchmark, 0, doc, item, text)
+    return rows.join(found.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, slop: int, doc: str, item: str, text: str):
@@ -255,7 +250,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, slop: int, doc: str, item:
     vocabulary = windows.select(F.explode("terms").alias("id")).distinct()
     small = vocabulary.count() <= BROADCAST_TERMS and windows.count() <= BROADCAST_TERMS
     terms = vocabulary.toPandas()["id"].to_numpy(np.int64) if small else None
-    plain = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    plain = docs.select(number.alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     index = scratch.keep(postings(plain, terms), "postings")
     counts = scratch.keep(index.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("postings")), "counts")
     few = small and not slop

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paywake.llm.store import Scratch
 from paywake.llm.words import slices
 
-SAMPLE = 12_000         # labelled rows whose whole texts the tables are counted in; rows of equal text count as one
+SAMPLE = 12_000         # labelled texts that the tables are counted in, whole; rows of equal text and label count as one
 WORDS = 60_000          # most frequent words of the sample that are known
 GRAMS = 20_000          # most frequent n-grams of each length
 LONGEST = 4             # characters of the longest n-gram
@@ -32,7 +32,8 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
+    """n-grams of <word>; single marks, which every word has, are none."""
+    padded = f"<{word}>" if n > 1 else word
     return [padded[k:k + n] for k in range(len(padded) - n + 1)]
 
 
@@ -47,9 +48,11 @@ class Model:
         self.tables = tables            # [words, LONGEST-grams, ..., 1-grams]: row by term, and the rows
         self.place: dict[str, int] = {}
         self.evidence = np.zeros((1024, len(languages)))
+        self.known = np.zeros(1024, bool)
 
-    def _scores(self, new: list[str]) -> np.ndarray:
-        """Of a known word its own; else of the longest n-grams of which any is known, the mean; else zeros."""
+    def _scores(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a known word its own; else of the longest n-grams of which any is known, the mean; else zeros, unknown."""
+        known = np.zeros(len(new), bool)
         out, left = np.zeros((len(new), len(self.languages))), range(len(new))
         for n, (place, logs) in zip((0, *range(LONGEST, 0, -1)), self.tables):
             rows, sizes, scored, later = [], [], [], []
@@ -64,8 +67,9 @@ class Model:
             if scored:
                 mean = np.add.reduceat(logs[rows], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes)[:, None]
                 out[scored] = mean - mean.max(axis=1, keepdims=True)
+                known[scored] = True
             left = later
-        return out
+        return out, known
 
     def _remember(self, found: Iterable[str]) -> None:
         new = [word for word in found if word not in self.place]
@@ -76,22 +80,32 @@ class Model:
             grown = np.zeros((2 * (len(self.place) + len(new)), len(self.languages)))
             grown[:len(self.place)] = self.evidence[:len(self.place)]
             self.evidence = grown
+            self.known = np.resize(self.known, len(grown))
         if new:
-            self.evidence[len(self.place):len(self.place) + len(new)] = self._scores(new)
+            own = slice(len(self.place), len(self.place) + len(new))
+            self.evidence[own], self.known[own] = self._scores(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the evidence; UNKNOWN and 0 where there is no letter."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, its share of the evidence, and whether any word or letter is known.
+
+        UNKNOWN and 0 where there is no letter; the first language where nothing is known.
+        """
         counted = Counter(words(text or ""))
         if not counted or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         self._remember(counted.keys())
         times = np.fromiter(counted.values(), float, len(counted))
-        total = times @ self.evidence[np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))]
+        rows = np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))
+        total = times @ self.evidence[rows]
         # words of a text depend on each other: evidence grows with the root of their number
         shares = np.exp((total - total.max()) / math.sqrt(times.sum()))
         best = int(shares.argmax())
-        return self.languages[best], float(shares[best] / shares.sum())
+        return self.languages[best], float(shares[best] / shares.sum()), bool(self.known[rows].any())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and its share of the evidence."""
+        return self.judge(text)[:2]
 
 
 def held_out(doc_id) -> F.Column:
@@ -101,9 +115,9 @@ def held_out(doc_id) -> F.Column:
 
 def _grams(size: int) -> F.Column:
     """(level, term) of the n-grams of `size` characters of <word>; every word has one letter at least."""
-    ends = F.char_length("word") + 3 - size
+    ends = F.char_length("word") + (3 - size if size > 1 else 0)
     starts = F.when(ends > 0, F.sequence(F.lit(1), F.greatest(ends, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    padded = F.concat(F.lit("<"), "word", F.lit(">"))
+    padded = F.concat(F.lit("<"), "word", F.lit(">")) if size > 1 else F.col("word")
     return F.transform(starts, lambda at: F.struct(
         F.lit(1 + LONGEST - size).alias("level"), F.substring(padded, at, F.lit(size)).alias("term")))
 
@@ -111,13 +125,13 @@ def _grams(size: int) -> F.Column:
 def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Tables counted by Spark over the whole texts of a sample of labelled rows outside the held-out fold.
 
-    The sample is the labelled rows whose hash of the text is among the SAMPLE least. What reaches the driver is
-    bounded: one hash, then WORDS words and GRAMS n-grams of each length with their counts by language. Rows
+    The sample is the labelled texts whose hash of text and label is among the SAMPLE least; copies of a text count once
+    and take one place. What reaches the driver is bounded: one hash, then WORDS words and GRAMS n-grams of each length with their counts by language. Rows
     without text, language or doc_id are not learned from.
     """
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc)))
-    usable = usable.select(F.xxhash64(text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    greatest = usable.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    usable = usable.select(F.xxhash64(text, lang).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    greatest = usable.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -131,7 +145,7 @@ def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
                 "n": pa.array(list(counts.values()), pa.int64())})
 
     scratch = Scratch(docs.sparkSession, "language")
-    sample = usable.where(F.lit(False) if greatest is None else F.col("h") <= greatest).select("lang", "text")
+    sample = usable.where(F.lit(False) if greatest is None else F.col("h") <= greatest).dropDuplicates(["h"]).select("lang", "text")
     known = scratch.keep(sample.mapInArrow(counted, "lang string, word string, n bigint")
                          .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     levels = F.concat(F.array(F.struct(F.lit(0).alias("level"), F.col("word").alias("term"))),
@@ -176,12 +190,16 @@ def identify(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, minimum: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows, with all columns, whose text has a language with a score of at least `minimum`."""
+    """The rows, with all columns, whose text has a language with a score of at least `minimum`.
+
+    Null texts, texts without a letter and texts of which no word, n-gram or letter was learned go. Rows are judged
+    one by one, whatever their other columns hold.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = [sent.value.predict(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= minimum for lang, score in found], pa.bool_()))
+            found = [sent.value.judge(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and known and score >= minimum for lang, score, known in found], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -21,6 +21,7 @@ MEMBERS = 64        # documents that one task compares with a centre before the
 PART = 256          # documents that a part of a larger bucket has about, and
 PART_SHINGLES = 500_000     # shingles that they have together
 COLUMNS = 4096      # shingles counted at a time in two parts
+ROW = "_neardup_row"
 
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: For every bin the order in which it asks other bins for a value while it has none.
@@ -302,7 +303,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of one document of each group, with all their columns."""
-    dropped = near_duplicates(docs, id_column, text_column).where("not kept").select(F.col("doc_id").alias(id_column))
-    dropped = Scratch(docs.sparkSession, "neardup").keep(dropped.distinct(), "dropped")
-    return docs.join(dropped, id_column, "left_anti")
+    """One row of each group, with all its columns: that of the least doc_id, then the least text hash.
+
+    Decided row by row: rows that share a doc_id and have different texts are judged by their texts, of repeated rows
+    and of copies without doc_id (which come last) one stays, and rows without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    # written, so that a row keeps its number in every pass
+    rows = scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = scratch.keep(near_duplicates(rows, ROW, text_column).where("n_shingles > 0").select(
+        F.col("doc_id").alias(ROW), "component_id"), "groups")
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1").select("component_id")
+    members = groups.join(shared, "component_id").join(
+        rows.select(ROW, F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash")), ROW)
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "hash", ROW)
+    kept = members.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    dropped = scratch.keep(members.select(ROW).join(kept, ROW, "left_anti"), "dropped")
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -59,8 +59,8 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(
-        d[0] for d in documents() if d[0] is not None and expected[d[0]] == d[0])
+    # one row of each group: the repeated row and the copy without doc_id go too
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in expected if expected[i] == i)
 
 
 def test_a_chain_of_near_copies_is_one_component(spark):
@@ -144,7 +144,7 @@ def test_decontamination_by_both_ways(spark, docs, empty, monkeypatch):
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     clean = decontaminate.drop_contaminated(docs, bench)
-    assert {r["doc_id"] for r in clean.collect()} == {e[0] for e in expected if not e[4]} - {-1} | {None}
+    assert sorted(r["doc_id"] or -1 for r in clean.collect()) == sorted(e[0] for e in expected if not e[4])
 
 
 def test_proximity_allows_words_between(spark):
