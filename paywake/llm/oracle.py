@@ -16,29 +16,40 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM sized LEFT JOIN first USING (payload_digest)
 """
 
-#: op9: dialogues by perspective, in parts of 64 turn numbers.
+#: op9: dialogues by perspective, in parts of 64 messages with 8 before them and the first system message again.
 PERSPECTIVES = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS no,
+         count(*) OVER (PARTITION BY conv_id) AS size
+  FROM conversations),
+heads AS (
+  SELECT conv_id, min(no) AS system_no FROM said WHERE speaker = 'system' GROUP BY conv_id),
+parts AS (
+  SELECT DISTINCT conv_id, unnest(range((size - 1) // 64 + 1)) AS part FROM said),
+dealt AS (
+  SELECT s.conv_id, p.part, s.no, s.speaker, s.text, s.no <= 64 * p.part AS again
+  FROM parts p JOIN said s ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+  LEFT JOIN heads h ON h.conv_id IS NOT DISTINCT FROM p.conv_id
+  WHERE (s.no > 64 * p.part - 8 AND s.no <= 64 * (p.part + 1)) OR (s.no = h.system_no AND s.no <= 64 * p.part)),
 sides AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 every AS (
-  SELECT said.*, sides.perspective,
+  SELECT dealt.*, sides.perspective, speaker = perspective AND NOT again AS trained,
          CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
-  FROM said LEFT JOIN sides ON said.conv_id IS NOT DISTINCT FROM sides.conv_id),
+  FROM dealt LEFT JOIN sides ON dealt.conv_id IS NOT DISTINCT FROM sides.conv_id),
 written AS (
-  SELECT *, '<|start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header,
-         CAST(floor(turn / 64.0) AS BIGINT) AS part
+  SELECT *, '<|start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header
   FROM every),
 placed AS (
   SELECT *, header || text || '<|end|>' || chr(10) AS rendered,
          sum(length(header || text || '<|end|>' || chr(10))) OVER (
-           PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS upto
+           PARTITION BY conv_id, perspective, part ORDER BY no ROWS UNBOUNDED PRECEDING) AS upto
   FROM written)
 SELECT conv_id, perspective, part, count(*) AS n_messages,
        string_agg(rendered, '' ORDER BY upto) AS rendered,
        coalesce(string_agg(CAST(upto - length(rendered) + length(header) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ','
-                           ORDER BY upto) FILTER (WHERE speaker = perspective), '') AS mask
+                           ORDER BY upto) FILTER (WHERE trained), '') AS mask
 FROM placed GROUP BY conv_id, perspective, part
 """
 

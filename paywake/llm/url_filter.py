@@ -47,11 +47,20 @@ def fitting_rule(host_: Column, path_: Column, rules=RULES) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character."""
+    """Bits per character of a whole text, from the runs of its sorted characters: the time is that of sorting them."""
+    characters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def weight(run: Column) -> Column:
+        return F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+
+    def step(seen: Column, c: Column) -> Column:
+        same = seen["last"] == c
+        return F.struct(c.alias("last"), F.when(same, seen["run"] + 1).otherwise(1.0).alias("run"),
+                        (seen["total"] + F.when(same, 0.0).otherwise(weight(seen["run"]))).alias("total"))
+
     n = F.greatest(F.char_length(text), F.lit(1)).cast("double")
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c != "", (
-        F.char_length(text) - F.char_length(F.replace(text, c))) / n).otherwise(0.0))
-    return F.aggregate(counts, F.lit(0.0), lambda total, p: total - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    return F.log2(n) - F.aggregate(characters, start, step, lambda seen: seen["total"] + weight(seen["run"])) / n
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns({
         "length": F.char_length(url).cast("double"), "host_length": F.char_length(name).cast("double"),
         "path_length": F.char_length(way).cast("double"), "depth": count("/", way), "labels": count("[.]", name),
-        "digits": count("[0-9]") / length, "hyphens": count("-", name), "entropy": _entropy(F.substring(url, 1, 2048)),
+        "digits": count("[0-9]") / length, "hyphens": count("-", name), "entropy": _entropy(url),
         "parameters": count("[?&]"), "fragment": count("#"), "secure": F.lower(url).startswith("https:").cast("double"),
         "suffix": F.substring_index(name, ".", -2)})
 
@@ -87,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES, page: str = "page_id", url: str = "url"
     """page_id, host, path, rule, verdict and score (probability of block) of every page.
 
     URLs that a rule fits are the labelled ones. The trees learn from at most SAMPLE of them, those least in a hash
-    of the URL, and judge the rest; suffix statistics count all. Without labels of both kinds everything that no
+    of URL and page_id, so that a URL of many pages has no more than its share, and judge the rest; suffix statistics count all. Without labels of both kinds everything that no
     rule fits is allowed, with score null. A null url, or one without ://, has an empty host and path and is judged
     like any other. Repeated rows come back as often as given, a null page_id stays null, no rows give no rows,
     and other columns are ignored.
@@ -100,7 +109,7 @@ def judge(pages: DataFrame, rules=RULES, page: str = "page_id", url: str = "url"
     scratch = Scratch(pages.sparkSession, "urls")
     rows = scratch.keep(rows.select("page_id", "url", "host", "path", "fits", "label", "suffix", *FEATURES[:-2]), "features")
     described = scratch.keep(rows.join(scratch.keep(suffix_statistics(rows), "suffixes"), "suffix", "left"), "described")
-    sample = described.where("label is not null").orderBy(F.xxhash64("url"), "page_id").limit(SAMPLE).select("label", *FEATURES)
+    sample = described.where("label is not null").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE).select("label", *FEATURES)
     sample = scratch.keep(sample.repartition(4), "sample")
     verdict, score = F.lit("allow"), F.lit(None).cast("double")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

@@ -18,6 +18,7 @@ BLOCK_BYTES = 4 << 20       # of an archive that one task scans or reads
 REVISIT_BYTES = 100         # smaller payloads are always stored
 MAGIC = b"WARC/1.0\r\n"
 HEADER_BYTES = 64 << 10     # read at a time while the end of a header is sought
+FIRST_BYTES = 2 << 10       # of a header that are looked at first
 CRLF = "\r\n"
 
 
@@ -71,8 +72,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
     Of equal payloads of at least 100 bytes the smallest page_id is the response and the others refer to it. Null
     html is an empty payload; rows without page_id are responses; rows that repeat the smallest page_id of a payload
-    are responses as well, and rows of one page_id with different payloads are judged one by one. The table of revisits is written first, so that Spark knows its size when it
-    chooses between broadcast and shuffle for the join with the pages. Other columns are ignored.
+    are responses as well, and rows of one page_id with different payloads are judged one by one. The table of
+    revisits is written first, so that Spark knows its size when it chooses between broadcast and shuffle for the join
+    with the pages. Other columns are ignored.
     """
     copies = Scratch(pages.sparkSession, "warc").keep(revisits(pages), "revisits")
     records(pages, copies, date).write.option("lineSep", CRLF * 2).text(folder)
@@ -95,7 +97,8 @@ def _header(file, at: int, size: int, ahead: bytes) -> tuple[dict[str, str], int
         return None
     step = HEADER_BYTES
     while (end := ahead.find(b"\r\n\r\n")) < 0:
-        if at + len(ahead) >= size:
+        lines = ahead[len(MAGIC):].split(b"\r\n")[:-1]
+        if at + len(ahead) >= size or not all(b":" in line for line in lines):      # no header, however far it goes on
             return None
         ahead += file.read_at(min(step, size - at - len(ahead)), at + len(ahead))
         step *= 2
@@ -118,17 +121,23 @@ def _successor(payload: int, fields: dict[str, str], size: int) -> int | None:
     return end if end <= size else None
 
 
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, block, start, stop): archives dealt out in blocks; only their names and sizes are listed."""
+def blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """((path, size, block, start, stop), tasks): archives dealt out in blocks; only their names and sizes are listed.
+
+    The rows are tiny but each stands for BLOCK_BYTES of reading, so they are dealt to a stated number of tasks, which
+    adaptive execution does not coalesce: one per block, up to four per core or the number of shuffle partitions.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
              .select("path", F.col("length").alias("size")).where("size > 0"))
     rows = files.select("path", "size", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("bigint"), F.lit(BLOCK_BYTES))).alias("start"))
+    count = files.agg(F.sum(F.ceil(F.col("size") / BLOCK_BYTES))).first()[0] or 0
+    tasks = max(1, min(int(count), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return rows.select("path", "size", (F.col("start") / BLOCK_BYTES).cast("bigint").alias("block"), "start",
-                       F.least(F.col("start") + BLOCK_BYTES, "size").alias("stop")).repartition("path", "block")
+                       F.least(F.col("start") + BLOCK_BYTES, "size").alias("stop")).repartition(tasks, "path", "block"), tasks
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, offset, successor, exit): wherever a record could begin, the offset of the next one.
+def candidates(dealt: DataFrame) -> DataFrame:
+    """(path, size, offset, successor, exit): wherever in the blocks a record could begin, the offset of the next one.
 
     `exit` is the first offset beyond the block that the chain from here reaches, null where it breaks off.
     """
@@ -141,7 +150,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
                     data = file.read_at(min(row["stop"] + len(MAGIC), row["size"]) - row["start"], row["start"])
                     at = data.find(MAGIC)
                     while 0 <= at < row["stop"] - row["start"]:
-                        head = _header(file, row["start"] + at, row["size"], data[at:at + HEADER_BYTES])
+                        head = _header(file, row["start"] + at, row["size"], data[at:at + FIRST_BYTES])
                         if head and (end := _successor(head[1], head[0], row["size"])) is not None:
                             found.append((row["start"] + at, end))
                         at = data.find(MAGIC, at + 1)
@@ -155,7 +164,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
                     "successor": pa.array([end for _, end in found], pa.int64()),
                     "exit": pa.array([leaves[at] for at, _ in found], pa.int64())})
 
-    return blocks(spark, folder).mapInArrow(scan, "path string, size bigint, offset bigint, successor bigint, exit bigint")
+    return dealt.mapInArrow(scan, "path string, size bigint, offset bigint, successor bigint, exit bigint")
 
 
 def entries(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -192,8 +201,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     is never taken for one. An empty folder has no records. A chain that breaks off (a damaged file) ends its file.
     """
     scratch = Scratch(spark, "warc")
-    edges = candidates(spark, folder)
-    sized = scratch.keep(edges, "candidates")
+    dealt, tasks = blocks(spark, folder)
+    sized = scratch.keep(candidates(dealt), "candidates")
     todo = entries(sized, scratch).join(sized.select("path", "size").distinct(), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +212,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 with _opened(row["path"]) as file:
                     yield from _records(file, row["path"], row["offset"], min(stop, row["size"]), row["size"], payloads)
 
-    return todo.repartition("path", "offset").mapInArrow(
+    return todo.repartition(tasks, "path", "offset").mapInArrow(
         read, "path string, offset bigint, page_id bigint, url string, record_type string, refers_to bigint, "
               "payload_bytes bigint, payload_digest string, payload string")
 
@@ -220,7 +229,7 @@ def _records(file, path: str, at: int, stop: int, size: int, payloads: bool) ->
     rows: list[tuple] = []
     buffer, begins = file.read_at(min(stop + HEADER_BYTES, size) - at, at), at
     while at < stop:
-        head = _header(file, at, size, buffer[at - begins:at - begins + HEADER_BYTES])
+        head = _header(file, at, size, buffer[at - begins:at - begins + FIRST_BYTES])
         if head is None or (end := _successor(head[1], head[0], size)) is None:
             break
         fields, start = head
@@ -242,7 +251,11 @@ def _records(file, path: str, at: int, stop: int, size: int, payloads: bool) ->
 
 
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
-    """Write the pages as archives in the shared folder and read them back."""
+    """Write the pages as archives in the shared folder and read them back: the columns of read_archives.
+
+    Rows without page_id come back without one, null html as an empty payload, repeated rows as often as given, no rows
+    as none; other columns, whatever their names, are ignored.
+    """
     folder = Scratch(pages.sparkSession, "warc").path("archives")
     write_archives(pages, folder)
     return read_archives(pages.sparkSession, folder, payloads)

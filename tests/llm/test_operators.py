@@ -334,16 +334,80 @@ def test_quality_learns(spark, docs, empty):
 
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 70, None, "late"), (2, 0, "user", "alone"),
-            (None, None, "user", "stray"), (2, 0, "user", "alone")]
-    found = perspectives.examples(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+            (None, None, "user", "stray"), (2, 0, "user", "alone"), (3, 0, "system", "nobody else")]
+    schema = "conv_id int, turn int, role string, text string"
+    found = perspectives.examples(spark.createDataFrame(rows, schema)).collect()
     assert {(r["conv_id"], r["perspective"], r["part"]) for r in found} == {
-        *((1, side, part) for side in ("user", "assistant", "unknown") for part in (0, 1)), (2, "user", 0), (None, "user", None)}
+        *((1, side, 0) for side in ("user", "assistant", "unknown")), (2, "user", 0), (None, "user", 0), (3, None, 0)}
     for r in found:
         trained = [r["rendered"][s["start"]:s["end"]] for s in r["mask"]]
-        if r["perspective"] == "user" and r["conv_id"] == 1 and r["part"] == 0:
+        if r["perspective"] == "user" and r["conv_id"] == 1:
             assert trained == ["hi<|end|>\n"] and "<|start|>user name=assistant\n" in r["rendered"]
         assert "".join(trained).count("<|end|>") == r["rendered"].count("<|start|>assistant\n")
     assert next(r for r in found if r["conv_id"] == 2)["n_messages"] == 2
+    assert perspectives.examples(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_dialogues_are_shown_part_by_part(spark):
+    """Parts by number of messages, not by turn: each shows the system message and what came just before."""
+    rows = [(1, 0, "system", "be kind", "x")] + [(1, k, ("user", "assistant")[k % 2], f"m{k:03}", "x") for k in range(1, 200)]
+    rows += [(2, 5, "user", f"same turn {k:03}", "x") for k in range(130)] + [(3, 1, "user", "long " * 50_000, "x")]
+    rows += [(None, None, None, f"n{k:03}", None) for k in range(70)]
+    docs = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, part string").repartition(3)
+    found = {(r["conv_id"], r["perspective"], r["part"]): r for r in perspectives.examples(docs).collect()}
+    assert {k for k in found} == {
+        *((1, side, part) for side in ("user", "assistant") for part in range(4)), *((2, "user", part) for part in range(3)),
+        (3, "user", 0), (None, "unknown", 0), (None, "unknown", 1)}
+    for part in range(4):
+        r = found[1, "assistant", part]
+        assert r["rendered"].startswith("<|start|>system\nbe kind<|end|>\n") and r["rendered"].count("be kind") == 1
+        shown = re.findall("m([0-9]{3})<", r["rendered"])
+        assert shown == [f"{k:03}" for k in range(max(1, 64 * part - 8), min(200, 64 * part + 64))]
+        trained = [r["rendered"][s["start"]:s["end"]] for s in r["mask"]]
+        assert trained == [f"m{k:03}<|end|>\n" for k in range(max(1, 64 * part), min(200, 64 * part + 64)) if k % 2]
+        assert r["n_messages"] == len(shown) + 1
+    assert [found[2, "user", part]["n_messages"] for part in range(3)] == [64, 72, 10]
+    assert found[None, "unknown", 1]["n_messages"] == 14 and len(found[None, "unknown", 1]["mask"]) == 6
+
+
+def test_archive_blocks_are_read_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 2000)
+    schema = "page_id int, url string, html string, `value` string, path string, size int"
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 200, "v", "p", 1) for k in range(400)], schema).repartition(3)
+    warc.write_archives(pages, f"{tmp_path}/archives")
+    dealt, tasks = warc.blocks(spark, f"{tmp_path}/archives")
+    assert tasks == dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    read = warc.read_archives(spark, f"{tmp_path}/archives")
+    assert read.rdd.getNumPartitions() == tasks
+    assert sorted((r["page_id"], r["payload"]) for r in read.collect()) == sorted((k, f"{k} " * 200) for k in range(400))
+    busy = read.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(n > 0 for n in busy) > tasks // 2
+
+
+def test_payloads_full_of_magic(spark):
+    magic = "WARC/1.0\r\n"
+    rows = [(1, "u", magic * 20_000), (2, "u", (magic + "a: b\r\n") * 5000), (3, "u", magic + "Content-Length: 1\r\n\r\n" + "x" * 50)]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id int, url string, html string"), payloads=True).collect()
+    assert sorted((r["page_id"], r["payload"]) for r in found) == [(i, h) for i, _, h in rows]
+
+
+def test_url_entropy_of_whole_urls(spark):
+    rng = np.random.default_rng(4)
+    urls = ["", None, "aaaa", "abab", "http://x.y/" + "q" * 5000 + "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 5000))), "\U0001f600é\U0001f600"]
+    found = [r[0] for r in spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string").orderBy("k").select(
+        url_filter._entropy(F.coalesce("u", F.lit("")))).collect()]
+    for url, got in zip(urls, found):
+        counts = np.unique(list(url or " "), return_counts=True)[1] if url else np.array([1])
+        share = counts / counts.sum()
+        assert abs(got - float(-(share * np.log2(share)).sum())) < 1e-9
+
+
+def test_url_samples_hold_no_more_of_a_hot_url_than_its_share(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SAMPLE", 100)
+    rows = [(k, "http://hot.com/de/", 1, 2, 3) for k in range(300)] + [(1000 + k, f"http://x{k}.org/{k}", 1, 2, 3) for k in range(300)]
+    rows += [(None, None, None, None, None), (5, "http://far.net/" + "p" * 3000, 1, 2, 3), (5, "http://far.net/" + "p" * 3000, 1, 2, 3)]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, label int, score int, features int")).collect()
+    assert len(found) == len(rows) and all(r["score"] is not None for r in found)      # labels of both kinds are in the sample
 
 
 def test_null_documents_do_not_clash(docs):
