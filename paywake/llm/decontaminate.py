@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a positional inverted index over the training documents."""
+"""Benchmark decontamination by a positional inverted index over all words of the training documents."""
 
 from __future__ import annotations
 
@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from paywake.llm.store import Scratch
 from paywake.llm.words import binary, hashed, slices
+from paywake.llm.wordtable import LETTERS_DIGITS, WordTable
 
 WINDOW = 10                 # words of a phrase
 ROW = "_decontaminate_row"
-ANCHORS = 3                 # posting lists that are intersected, from the rarest term on
-BROADCAST_TERMS = 500_000   # test terms and windows up to which they are sent to all tasks; beyond it they are joined
+ANCHORS = 3                 # lists that are intersected one after the other, from the rarest term on, before the rest
+SHARD_BYTES = 4 << 20       # of texts that are inverted together
 
 #: A-Z lower-cased; digits, a-z and all bytes of other characters kept; the rest separates words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -46,170 +46,120 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
             .withColumn("window", F.xxhash64("terms")))
 
 
-def postings(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """(row, doc_id, n_words, ids, positions) of (row, doc_id, text): the positions of test terms, of all where terms is None."""
-    sent = None if terms is None else docs.sparkSession.sparkContext.broadcast(np.sort(terms))
+def build_index(docs: DataFrame) -> DataFrame:
+    """The inverted index of (row, doc_id, text): shard, id, n, places, and for its documents rows, doc_ids, n_words.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if sent is None else sent.value
-        for batch in slices(batches, "text"):
-            n_words, ids, positions = [], [], []
-            for text in binary(batch.column(2)):
-                words = word_ids(text)
-                at = np.arange(len(words), dtype=np.int32)
-                if known is not None and len(words):
-                    place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                    at = np.flatnonzero(known[place] == words).astype(np.int32) if len(known) else at[:0]
-                n_words.append(len(words))
-                ids.append(words[at])
-                positions.append(at)
-            yield pa.RecordBatch.from_pydict({
-                "row": batch.column(0),
-                "doc_id": batch.column(1),
-                "n_words": pa.array(n_words, pa.int64()),
-                "ids": pa.array(ids, pa.list_(pa.int64())),
-                "positions": pa.array(positions, pa.list_(pa.int32()))})
-
-    return docs.mapInArrow(
-        rows, "row bigint, doc_id bigint, n_words bigint, ids array<bigint>, positions array<int>")
-
-
-def _covered(spans: list[tuple[int, int]]) -> int:
-    """Words inside any of the spans (start, end)."""
-    total, reach = 0, -1
-    for start, end in sorted(spans):
-        total += max(0, end - max(start, reach))
-        reach = max(reach, end)
-    return total
-
-
-def _occurrence(at: int, terms: list[int], place: dict[int, int], ids: np.ndarray, positions: np.ndarray, slop: int):
-    """End of the occurrence that begins with the first term at word `at`, or None; up to `slop` words may intervene."""
-    k = place.get(at)
-    if k is None or ids[k] != terms[0]:
-        return None
-    end, j = at, k
-    for term in terms[1:]:
-        j += 1
-        while j < len(ids) and ids[j] != term and positions[j] - at < len(terms) + slop - 1:
-            j += 1
-        if j >= len(ids) or ids[j] != term:
-            return None
-        end = int(positions[j])
-    return end + 1 if end - at < len(terms) + slop else None
-
-
-def matches(index: DataFrame, windows: DataFrame, counts: DataFrame, scratch: Scratch, slop: int = 0,
-            small: bool = True) -> DataFrame:
-    """(row, n_hit, windows): per document with occurrences, its words inside them and the windows that occur.
-
-    Posting lists of each window's ANCHORS rarest terms, moved back by the term's place in the window, are
-    intersected on (document, start); what is left is compared word by word with the document's stored postings.
-    With `slop` the terms must occur in order within that many extra words (proximity), else as an exact phrase.
+    A shard is SHARD_BYTES of texts of one task, or one text. It has a row for each of its words, with the places at
+    which the word stands, as document in the shard << 32 | position, in order; and a row without id that lists its
+    documents. All words of all documents are in it, whatever is looked for later.
     """
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    listed = index.select("row", F.explode(F.arrays_zip("ids", "positions")).alias("p")).select(
-        "row", F.col("p.ids").alias("id"), F.col("p.positions").alias("position"))
+    names = ["shard", "id", "n", "places", "rows", "doc_ids", "n_words"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text", SHARD_BYTES):
+            table = WordTable(batch.column(2), LETTERS_DIGITS)
+            per_text = table.per_text()
+            begin = np.cumsum(per_text) - per_text
+            place = (table.row << 32) + np.arange(len(table.code)) - begin[table.row]
+            n = np.bincount(table.code, minlength=len(table.words))
+            lists = pa.ListArray.from_arrays(
+                np.concatenate([[0, 0], np.cumsum(n)]).astype(np.int32), place[np.argsort(table.code, kind="stable")])
+            ids = hashed(table.words.to_pylist()).view(np.int64)
+            size = len(ids) + 1
+
+            def once(values: pa.Array) -> pa.Array:
+                """The list of the shard's documents, then nothing for its words."""
+                return pa.ListArray.from_arrays(np.concatenate([[0], np.full(size, len(values))]).astype(np.int32), values)
+
+            first = np.zeros(size, bool)
+            first[0] = True
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(size, number)), pa.array(np.concatenate([[0], ids]), mask=first),
+                pa.array(np.concatenate([[0], n])), lists, once(batch.column(0)), once(batch.column(1)),
+                once(pa.array(per_text.astype(np.int64)))], names)
+            number += 1
+
+    kinds = "shard bigint, id bigint, n bigint, places array<bigint>, rows array<bigint>, doc_ids array<bigint>, n_words array<bigint>"
+    return docs.mapInArrow(rows, kinds)
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """(shard, at, row, doc_id, n_words): the documents of the index and their places in its shards."""
+    listed = index.where("id is null").select("shard", F.posexplode(F.arrays_zip("rows", "doc_ids", "n_words")).alias("at", "d"))
+    return listed.select("shard", F.col("at").cast("bigint").alias("at"), "d.rows", "d.doc_ids", "d.n_words").toDF(
+        "shard", "at", "row", "doc_id", "n_words")
+
+
+def _moved(places: Column, by: Column, slop: int) -> Column:
+    """Places at which a window could begin that has the word `by` words further on."""
+    starts = F.transform(places, lambda p: p - by)
+    if not slop:
+        return starts
+    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s - slop, s))))
+
+
+def _ordered(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, length, steps): the (place, id) of each window, those of the rarest terms first; none if a term is absent."""
+    counts = postings.groupBy("id").agg(F.sum("n").alias("count"))
     placed = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "id"))
-    rare = Window.partitionBy("window").orderBy("postings", "place")
-    ranked = (placed.join(counts, "id", "left")
-              .withColumn("known", F.min(F.coalesce("postings", F.lit(0))).over(Window.partitionBy("window")))
-              .where("known > 0").withColumn("rank", F.row_number().over(rare)).where(f"rank <= {ANCHORS}"))
-    anchors = scratch.keep(ranked.select("id", "window", "place", F.least("length", F.lit(ANCHORS)).alias("lists")), "anchors")
-    moved = listed.join(sized(anchors), "id").select(
-        "row", "window", "place", "lists", (F.col("position") - F.col("place")).alias("start"))
-    if slop:    # adjusted positions of one occurrence differ by at most slop: look from every possible start
-        moved = moved.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start"))))
-    met = (moved.groupBy("row", "window", "start", "lists").agg(F.count_distinct("place").alias("found"))
-           .where("found >= lists and start >= 0").select("row", "window", "start"))
-    candidates = (met.join(sized(windows.select("window", "terms")), "window")
-                  .groupBy("row").agg(F.collect_list(F.struct("start", "window", "terms")).alias("candidates")))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"row": [], "n_hit": [], "windows": []}
-            for row, ids, positions, found in zip(*(batch.column(k) for k in range(4))):
-                ids, positions = ids.values.to_numpy(), positions.values.to_numpy()
-                place = {int(p): k for k, p in enumerate(positions)}
-                spans, hit = [], set()
-                for c in found.as_py():
-                    end = _occurrence(c["start"], c["terms"], place, ids, positions, slop)
-                    if end is not None:
-                        spans.append((c["start"], end))
-                        hit.add(c["window"])
-                if spans:
-                    out["row"].append(row.as_py())
-                    out["n_hit"].append(_covered(spans))
-                    out["windows"].append(sorted(hit))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "n_hit": pa.array(out["n_hit"], pa.int64()),
-                                              "windows": pa.array(out["windows"], pa.list_(pa.int64()))})
-
-    return index.select("row", "ids", "positions").join(candidates, "row").select(
-        "row", "ids", "positions", "candidates").mapInArrow(confirm, "row bigint, n_hit bigint, windows array<bigint>")
-
-
-def shard_matches(index: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """As matches() for exact phrases, with few windows: the index stays sharded by document.
-
-    Every batch of documents is inverted by sorting its postings by term. The list of each window's rarest term,
-    moved back by its place, gives the starts, and the lists of the other terms, from the next rarest on, are
-    intersected with it until all terms of the window stand in their places.
+    steps = placed.join(counts, "id").groupBy("window", "length").agg(
+        F.array_sort(F.collect_list(F.struct("count", F.col("place").cast("bigint").alias("place"), "id"))).alias("steps"))
+    return steps.where("size(steps) = length").select(
+        "window", "length", F.transform("steps", lambda s: F.struct(s["place"], s["id"])).alias("steps"))
+
+
+def matches(index: DataFrame, windows: DataFrame, scratch: Scratch, slop: int = 0) -> DataFrame:
+    """(shard, window, spans): where the windows (window, terms) occur, as arrays of (start, end) in places.
+
+    The lists of each window's terms, moved back by the term's place in it, are intersected shard by shard: that of
+    its rarest term with the next rarest, ANCHORS one after the other, then what is left with all others. One plan for
+    any number of windows: postings of their terms are dealt by (shard, id) once and met by ever fewer candidates.
+    With `slop` up to so many other words may stand between the terms, in order (proximity).
     """
-    placed = windows.select("window", F.posexplode("terms").alias("place", "id")).join(counts, "id", "left")
-    terms = (placed.groupBy("window").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "place", "id"))).alias("terms"))
-        .where("terms[0].postings > 0"))
-    rows = terms.select("window", F.transform("terms", lambda t: t["place"]).alias("places"),
-                        F.transform("terms", lambda t: t["id"]).alias("ids")).collect()   # at most BROADCAST_TERMS windows
-    by_length: dict[int, list] = {}
-    for r in rows:
-        by_length.setdefault(len(r["ids"]), []).append(r)
-    sent = index.sparkSession.sparkContext.broadcast([(
-        length, np.array([r["window"] for r in group], np.int64), np.array([r["places"] for r in group], np.int64),
-        np.array([r["ids"] for r in group], np.int64)) for length, group in sorted(by_length.items())])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"row": [], "n_hit": [], "windows": []}
-            n_words = batch.column(1).to_numpy()
-            begins = np.concatenate([[0], np.cumsum(n_words + WINDOW)])     # a gap that no phrase crosses
-            lists = batch.column(3)
-            owner = np.repeat(np.arange(len(n_words)), np.diff(lists.offsets.to_numpy()))
-            at = begins[owner] + lists.flatten().to_numpy().astype(np.int64)
-            ids = batch.column(2).flatten().to_numpy()
-            there, standing = np.zeros(begins[-1] + WINDOW, bool), np.zeros(begins[-1] + WINDOW, np.int64)
-            there[at], standing[at] = True, ids
-            order = np.argsort(ids, kind="stable")
-            sorted_ids = ids[order]
-            hits: list[tuple[np.ndarray, np.ndarray, int]] = []
-            for length, names, places, wanted in sent.value:
-                first, last = (np.searchsorted(sorted_ids, wanted[:, 0], side) for side in ("left", "right"))
-                number = last - first
-                window = np.repeat(np.arange(len(names)), number)
-                nth = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                start = at[order[np.repeat(first, number) + nth]] - places[window, 0]
-                for k in range(length):
-                    place = start + places[window, k]
-                    held = place >= 0
-                    held[held] = there[place[held]] & (standing[place[held]] == wanted[window[held], k])
-                    start, window = start[held], window[held]
-                hits.append((start, names[window], length))
-            found: dict[int, tuple[list, set]] = {}
-            for start, name, length in hits:
-                for a, doc, w in zip(start.tolist(), (np.searchsorted(begins, start, "right") - 1).tolist(), name.tolist()):
-                    spans, seen = found.setdefault(doc, ([], set()))
-                    spans.append((a, a + length))
-                    seen.add(w)
-            numbers = batch.column(0).to_pylist()
-            for doc, (spans, seen) in sorted(found.items()):
-                out["row"].append(numbers[doc])
-                out["n_hit"].append(_covered(spans))
-                out["windows"].append(sorted(seen))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "n_hit": pa.array(out["n_hit"], pa.int64()),
-                                              "windows": pa.array(out["windows"], pa.list_(pa.int64()))})
-
-    return index.select("row", "n_words", "ids", "positions").mapInArrow(
-        search, "row bigint, n_hit bigint, windows array<bigint>")
+    terms = windows.select(F.explode("terms").alias("id")).distinct()
+    postings = scratch.keep(index.where("id is not null").select("shard", "id", "n", "places").join(terms, "id", "left_semi"), "postings")
+    ordered = scratch.keep(_ordered(windows, postings), "ordered")
+    listed = postings.select("shard", "id", "places")
+    step = F.col("steps")[0]
+    found = ordered.select("*", step["id"].alias("id")).join(listed, "id").select(
+        "shard", "window", "length", "steps", _moved(F.col("places"), step["place"], slop).alias("starts"))
+    for k in range(1, ANCHORS):
+        step = F.get("steps", F.lit(k))
+        asked = found.where(F.col("length") > k).select("*", step["id"].alias("id"))
+        met = asked.join(listed, ["shard", "id"]).select("shard", "window", "length", "steps", F.array_intersect(
+            "starts", _moved(F.col("places"), step["place"], slop)).alias("starts"))
+        found = found.where(F.col("length") <= k).unionByName(met.where("size(starts) > 0"))
+    found = scratch.keep(found, "candidates")
+    rest = found.select("shard", "window", "length", "starts", F.explode("steps" if slop else F.slice("steps", ANCHORS + 1, WINDOW)).alias("s")).select(
+        "shard", "window", "length", "starts", "s.place", "s.id")
+    if slop:
+        return _in_order(rest.join(listed, ["shard", "id"]), slop)
+    met = rest.join(listed, ["shard", "id"]).select("shard", "window", F.array_intersect(
+        "starts", _moved(F.col("places"), F.col("place"), 0)).alias("left"))
+    met = met.groupBy("shard", "window").agg(F.collect_list("left").alias("lists"))
+    left = found.join(met, ["shard", "window"], "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<array<bigint>>")))
+    whole = left.where(F.size("lists") == F.greatest(F.col("length") - ANCHORS, F.lit(0)))
+    starts = F.aggregate("lists", F.col("starts"), F.array_intersect)
+    spans = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + F.col("length")).alias("end")))
+    return whole.select("shard", "window", "length", starts.alias("starts")).where("size(starts) > 0").select("shard", "window", spans.alias("spans"))
+
+
+def _in_order(lists: DataFrame, slop: int) -> DataFrame:
+    """The spans of windows whose terms stand in order, each at its first place behind the one before, within the slop."""
+    near = F.filter("places", lambda p: F.exists("starts", lambda s: (p >= s) & (p < s + F.col("length") + slop)))
+    by_window = lists.groupBy("shard", "window", "length", "starts").agg(
+        F.array_sort(F.collect_list(F.struct("place", near.alias("near")))).alias("lists"))
+    nowhere = F.lit(None).cast("bigint")
+
+    def last(start: Column) -> Column:
+        first = F.when(F.array_contains(F.col("lists")[0]["near"], start), start)
+        return F.aggregate(F.slice("lists", 2, WINDOW), first, lambda at, one: F.coalesce(
+            F.array_min(F.filter(one["near"], lambda p: p > at)), nowhere))
+
+    spans = F.transform("starts", lambda s: F.struct(s.alias("start"), (last(s) + 1).alias("end")))
+    within = F.filter(spans, lambda s: s["end"] - s["start"] <= F.col("length") + slop)
+    return by_window.select("shard", "window", within.alias("spans")).where("size(spans) > 0")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str = "doc_id", item: str = "item_id",
@@ -222,38 +172,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, doc: str
     row is returned as often as given, judged on its own; a null doc_id stays null; an item whose item_id is null is
     matched, but not listed. Without documents no rows, without items nothing is hit. Other columns are ignored.
     """
-    index, listed, found = _searched(docs, benchmark, slop, doc, item, text)
-    items = (found.select("row", F.explode("windows").alias("window")).join(listed.select("window", "item_id"), "window")
-             .groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    hits = found.select("row", "n_hit").join(items, "row", "left")
-    none = F.array().cast(T.ArrayType(T.StringType()))
-    return index.select("row", "doc_id", "n_words").join(hits, "row", "left").select(
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    index = scratch.keep(build_index(_plain(docs, F.monotonically_increasing_id(), doc, text)), "index")
+    return search(index, benchmark, slop, item, text)
+
+
+def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, item: str = "item_id", text: str = "text") -> DataFrame:
+    """As contamination(), on a stored index, which serves any number of benchmarks."""
+    listed, found = _searched(index, benchmark, slop, item, text)
+    spans = found.select("shard", "window", F.inline("spans")).withColumn("at", F.shiftright("start", 32))
+    hit = spans.select("shard", "at", F.explode(F.sequence("start", F.col("end") - 1)).alias("place")).distinct()
+    hits = hit.groupBy("shard", "at").agg(F.count("*").alias("n_hit"))
+    items = (spans.select("shard", "at", "window").distinct().join(listed.select("window", "item_id"), "window")
+             .groupBy("shard", "at").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    whole = documents(index).join(hits, ["shard", "at"], "left").join(items, ["shard", "at"], "left")
+    return whole.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-        F.coalesce("items", none).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id",
                       text: str = "text") -> DataFrame:
     """The rows, with all columns, that hold no window of the benchmark. Each row is judged on its own text."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
     # written, so that a row keeps its number in every pass
-    rows = Scratch(docs.sparkSession, "decontaminate").keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    _, _, found = _searched(rows, benchmark, 0, doc, item, text)
-    return rows.join(found.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
+    rows = scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    index = scratch.keep(build_index(_plain(rows, F.col(ROW), doc, text)), "index")
+    _, found = _searched(index, benchmark, 0, item, text)
+    places = found.select("shard", F.explode("spans").alias("s")).select("shard", F.shiftright("s.start", 32).alias("at")).distinct()
+    dirty = scratch.keep(documents(index).join(places, ["shard", "at"], "left_semi").select(F.col("row").alias(ROW)), "dirty")
+    return rows.join(dirty, ROW, "left_anti").drop(ROW)
+
+
+def _plain(docs: DataFrame, row: Column, doc: str, text: str) -> DataFrame:
+    return docs.select(row.alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, slop: int, doc: str, item: str, text: str):
-    """The index, the items' windows and the matches, all written."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+def _searched(index: DataFrame, benchmark: DataFrame, slop: int, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The items' windows and where they occur, both written."""
+    scratch = Scratch(index.sparkSession, "decontaminate")
     listed = scratch.keep(item_windows(benchmark, item, text), "items")
     windows = scratch.keep(listed.groupBy("window").agg(F.any_value("terms").alias("terms")), "windows")
-    vocabulary = windows.select(F.explode("terms").alias("id")).distinct()
-    small = vocabulary.count() <= BROADCAST_TERMS and windows.count() <= BROADCAST_TERMS
-    terms = vocabulary.toPandas()["id"].to_numpy(np.int64) if small else None
-    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    plain = docs.select(number.alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    index = scratch.keep(postings(plain, terms), "postings")
-    counts = scratch.keep(index.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("postings")), "counts")
-    few = small and not slop
-    found = shard_matches(index, windows, counts) if few else matches(index, windows, counts, scratch, slop, small)
-    return index, listed, scratch.keep(found, "matches")
+    return listed, scratch.keep(matches(index, windows, scratch, slop), "matches")

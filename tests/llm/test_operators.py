@@ -121,7 +121,7 @@ def brute_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-def test_decontamination_by_both_ways(spark, docs, empty, monkeypatch):
+def test_decontamination(spark, docs, empty, monkeypatch):
     short = "three short words"
     items = [(1, documents()[0][1][40:300]), (2, None), (3, ""), (4, short), (None, short), (5, words(12, 77)), (4, short)]
     bench = spark.createDataFrame(items, "item_id int, text string")
@@ -137,8 +137,8 @@ def test_decontamination_by_both_ways(spark, docs, empty, monkeypatch):
                         hit.update(range(at, at + len(window)))
                         seen |= {str(item)} - {"None"}
         expected.append((doc[0] or -1, len(w), len(hit), sorted(seen), bool(hit)))
-    for limit in (decontaminate.BROADCAST_TERMS, 0):
-        monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", limit)
+    for size in (decontaminate.SHARD_BYTES, 3000):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
         found = decontaminate.contamination(docs, bench).collect()
         assert sorted((r["doc_id"] or -1, *r[1:]) for r in found) == sorted(expected)
     assert decontaminate.contamination(empty, bench).count() == 0
@@ -148,10 +148,58 @@ def test_decontamination_by_both_ways(spark, docs, empty, monkeypatch):
 
 
 def test_proximity_allows_words_between(spark):
-    docs = spark.createDataFrame([(1, "a b x c d"), (2, "a b x y z c d"), (3, "d c b a")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "a b x c d"), (2, "a b x y z c d"), (3, "d c b a"), (4, "a b c d"), (5, "a x b c y d"), (6, "a a b c d")],
+                                 "doc_id int, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id int, text string")
-    near = decontaminate.contamination(docs, bench, slop=1)
-    assert {r["doc_id"] for r in near.where("contaminated").collect()} == {1}
+    for slop, hit in ((0, {4: 4, 6: 4}), (1, {1: 5, 4: 4, 6: 5}), (2, {1: 5, 4: 4, 5: 6, 6: 5}), (3, {1: 5, 2: 7, 4: 4, 5: 6, 6: 5})):
+        near = decontaminate.contamination(docs, bench, slop=slop)
+        assert {r["doc_id"]: r["n_hit"] for r in near.where("contaminated").collect()} == hit
+
+
+def test_proximity_equals_brute_force(spark):
+    """Random short texts of few words: spans begin anywhere and take each term at its first place behind the last."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(list("abcde"), int(rng.integers(0, 40)))) for _ in range(60)]
+    items = [" ".join(rng.choice(list("abcde"), n)) for n in (1, 3, 5, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    for slop in (0, 2):
+        expected = {}
+        for k, text in enumerate(texts):
+            w, hit = text.split(), set()
+            for item in items:
+                p = item.split()
+                for window in (p[j:j + 10] for j in range(max(1, len(p) - 9))):
+                    for start in range(len(w)):
+                        at = start if w[start] == window[0] else None
+                        for term in window[1:]:
+                            at = None if at is None else next((j for j in range(at + 1, len(w)) if w[j] == term), None)
+                        if at is not None and at + 1 - start <= len(window) + slop:
+                            hit.update(range(start, at + 1))
+            expected[k] = len(hit)
+        assert {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, bench, slop=slop).collect()} == expected
+
+
+def test_an_index_serves_any_benchmark(spark, docs):
+    """All words of all documents are in it, with their places."""
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    index = decontaminate.build_index(plain).cache()
+    held = {r["row"]: (r["doc_id"], r["n_words"], (r["shard"], r["at"])) for r in decontaminate.documents(index).collect()}
+    lists = {}
+    for r in index.where("id is not null").collect():
+        assert r["n"] == len(r["places"]) and r["places"] == sorted(r["places"])
+        for place in r["places"]:
+            lists.setdefault((r["shard"], place >> 32), {})[place & 0xFFFFFFFF] = r["id"]
+    for row in plain.collect():
+        ids = decontaminate.word_ids((row["text"] or "").encode()).tolist()
+        doc_id, n_words, at = held[row["row"]]
+        assert doc_id == row["doc_id"] and n_words == len(ids)
+        assert [v for _, v in sorted(lists.get(at, {}).items())] == ids
+    for phrase in ("three short words", documents()[0][1][:200]):
+        bench = spark.createDataFrame([(1, phrase)], "item_id int, text string")
+        one, other = decontaminate.search(index, bench), decontaminate.contamination(docs, bench)
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    index.unpersist()
 
 
 def test_packing_is_whole_and_tight(spark, docs, empty):
