@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 from paywake.operators import customers as cust
 from paywake.operators import rollups as roll
 from paywake.operators import sessions as ses
+from tests import samples
 from tests.samples import attempt, frame
 
 
@@ -88,6 +90,51 @@ def test_bundle(attempts):
     assert cust.customer_analytics(attempts).count() == 1
 
 
-def test_no_window_brings_a_merchant_into_one_task(attempts):
-    plan = cust.customer_analytics(attempts)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "Expand" not in plan
+def test_leaders_are_found_from_numbers_and_ties(spark, tmp_path, monkeypatch):
+    """One scan of the attempts, hash aggregation only, and windows that keep one row per merchant in each map task."""
+    frame(spark, samples.SESSION_ROWS).write.parquet(str(tmp_path / "attempts"))
+    attempts = spark.read.parquet(str(tmp_path / "attempts"))
+    written = []
+    real = cust.materialize
+
+    def watched(df, name):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(cust, "materialize", watched)
+    final = cust.customer_analytics(attempts)._jdf.queryExecution().executedPlan().toString()
+    plans = [*written, final]
+    assert sum(plan.count("terminal_key") + plan.count(f"{tmp_path}/attempts"[:40]) > 0 for plan in plans) == 1
+    assert not any("SortAggregate" in plan or "Expand" in plan for plan in plans)
+    for window in final.split("- Window [")[1:]:
+        assert "Final" in window.split("Exchange")[0] and "WindowGroupLimit" in window.split("Exchange")[1]
+
+
+def test_ties_of_leaders(spark):
+    """Equal numbers, missing amounts and merchants where everybody ties, against sorted rows."""
+    rng = random.Random(2)
+    rows = [attempt(f"s{k}", 1, rng.choice(["Paid", "Failed"]), payer_card_key=f"c{rng.randrange(12)}", merchant_key=f"m{k % 3}",
+                    amount=rng.choice([None, 5.0, 7.0]), created_at=datetime(2024, 1, 1 + rng.randrange(4))) for k in range(400)]
+    rows += [attempt(f"t{k}", 1, "Paid", payer_card_key=f"d{k:03}", merchant_key="even", amount=None) for k in range(50)]
+    attempts = frame(spark, rows).repartition(4)
+    got = {r["merchant_key"]: r for r in cust.customer_analytics(attempts).collect()}
+    for merchant in {r["merchant_key"] for r in rows}:
+        paid = [r for r in rows if r["merchant_key"] == merchant and r["try_status"] == "Paid"]
+        by = {}
+        for r in paid:
+            by.setdefault(r["payer_card_key"], []).append(r)
+
+        def spend(c):
+            known = [r["amount"] for r in by[c] if r["amount"] is not None]
+            return sum(known) if known else None
+
+        revenue = min(by, key=lambda c: (spend(c) is None, -(spend(c) or 0), c))
+        orders = min(by, key=lambda c: (-len(by[c]), c))
+        newest = max(by, key=lambda c: (min(r["created_at"] for r in by[c]), c))
+        largest = max(paid, key=lambda r: (r["amount"] is not None, r["amount"] or 0, r["created_at"], r["session_key"], r["payer_card_key"]))
+        row = got[merchant]
+        assert (row["top_customer_by_revenue"]["customer"], row["top_customer_by_revenue"]["amount"]) == (revenue, spend(revenue))
+        assert (row["top_customer_by_orders"]["customer"], row["top_customer_by_orders"]["orders"]) == (orders, len(by[orders]))
+        assert row["newest_customer"]["customer"] == newest
+        assert (row["top_order_by_amount"]["session_key"], row["top_order_by_amount"]["amount"]) == (largest["session_key"], largest["amount"])
+    assert got["even"]["top_customer_by_orders"]["customer"] == "d000" and got["even"]["longest_tenure_customer"] is None

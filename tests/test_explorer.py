@@ -90,3 +90,29 @@ def test_timeline(sessions, attempts):
     assert {r["state"] for r in lines.where("session_key IN ('s2')").collect()} == {"success"}
     assert lines.where("session_key = 's3'").first()["state"] == "lost"
     assert lines.where("session_key = 's9' AND try_seq = 2").first()["psp"] == "No PSP"
+
+
+def test_only_asked_listings_are_sorted(spark, sessions):
+    """Sessions meet the asked merchants and listings below the window; each row knows how many there are."""
+    asked = spark.createDataFrame([("m1", "NO_ATTEMPT"), ("m9", "HIGH_RETRY")], "merchant_key string, insight_type string")
+    found = explorer.insight_sessions(asked, sessions)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")        # printed above it
+    assert [(r["session_key"], r["total"]) for r in found.collect()] == [("s4", 1)]
+    newest = explorer.insight_sessions(asked.selectExpr("merchant_key", "'PEER_SUCCESS_GAP' AS insight_type"), sessions, limit=3, offset=8)
+    assert [r["row_no"] for r in newest.orderBy("row_no").collect()] == [9, 10] and {r["total"] for r in newest.collect()} == {10}
+
+
+def test_deep_pages_of_insights_and_categories(spark):
+    rows = [attempt(f"s{k:04}", 1, "Failed", amount=float(k % 50), created_at=datetime(2024, 1, 1 + k % 20), merchant_key="m1") for k in range(1500)]
+    built = ses.build_sessions(frame(spark, rows)).cache()
+    asked = spark.createDataFrame([("m1", "RECOVERY_OPPORTUNITY"), ("m1", "FIRST_ATTEMPT_GAP")], "merchant_key string, insight_type string")
+    got = {}
+    for r in explorer.insight_sessions(asked, built, limit=100, offset=1000).orderBy("row_no").collect():
+        got.setdefault(r["insight_type"], []).append(r["session_key"])
+    by_amount = sorted(rows, key=lambda r: (-r["amount"], r["session_key"]))[1000:1100]
+    by_time = sorted(rows, key=lambda r: (-r["created_at"].timestamp(), r["session_key"]))[1000:1100]
+    assert got == {"RECOVERY_OPPORTUNITY": [r["session_key"] for r in by_amount], "FIRST_ATTEMPT_GAP": [r["session_key"] for r in by_time]}
+    page = explorer.session_page(built, limit=50, offset=1200, by="category_id").orderBy("row_no").collect()
+    assert [r["session_key"] for r in page] == [r["session_key"] for r in sorted(
+        rows, key=lambda r: (-r["created_at"].timestamp(), r["session_key"]))[1200:1250]]

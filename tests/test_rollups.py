@@ -146,3 +146,25 @@ def test_rollups_use_hash_aggregation(spark, sessions, tmp_path):
     assert plan.index("SortAggregate") < plan.index("HashAggregate")
     one = roll.daily_metrics(stored).where("merchant_key = 'm1'")
     assert "EqualTo(merchant_key,m1)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calendars_fold_one_scan_of_the_sessions(spark, tmp_path, monkeypatch):
+    """Days are added up once; months, weekdays and the calendar are folded from them."""
+    rows = [attempt(f"s{k}", 1, ("Paid", "Failed")[k % 2], amount=float(k) if k % 5 else None,
+                    created_at=datetime(2024, 1 + k % 3, 1 + k % 28) if k % 7 else None, merchant_key=f"m{k % 2}") for k in range(200)]
+    ses.build_sessions(frame(spark, rows)).write.parquet(str(tmp_path / "stored_sessions"))
+    sessions = spark.read.parquet(str(tmp_path / "stored_sessions"))
+    written = []
+    real = roll.materialize
+    monkeypatch.setattr(roll, "materialize", lambda df, name: written.append(df) or real(df, name))
+    folded = roll.seasonality(sessions)
+    assert len(written) == 1
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in folded.items()}
+    assert not any("final_success" in plan for plan in plans.values())      # no session is read again
+    alone = {"daily": roll.daily_metrics, "monthly_lost": lambda s: roll.monthly_metrics(s, lost=True), "monthly": roll.monthly_metrics,
+             "weekday": roll.weekday_metrics, "calendar": roll.calendar_metrics}
+    assert set(alone) == set(folded)
+    for name, build in alone.items():
+        other = build(sessions)
+        assert folded[name].columns == other.columns
+        assert sorted(map(str, folded[name].collect())) == sorted(map(str, other.collect()))
