@@ -99,10 +99,10 @@ def _moved(places: Column, by: Column, slop: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s - slop, s))))
 
 
-def _ordered(windows: DataFrame, postings: DataFrame) -> DataFrame:
+def _ordered(windows: DataFrame, index: DataFrame) -> DataFrame:
     """(window, length, steps): the (place, id) of each window, those of the rarest terms first; none if a term is absent."""
-    counts = postings.groupBy("id").agg(F.sum("n").alias("count"))
     placed = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "id"))
+    counts = index.where("id is not null").groupBy("id").agg(F.sum("n").alias("count"))
     steps = placed.join(counts, "id").groupBy("window", "length").agg(
         F.array_sort(F.collect_list(F.struct("count", F.col("place").cast("bigint").alias("place"), "id"))).alias("steps"))
     return steps.where("size(steps) = length").select(
@@ -113,36 +113,40 @@ def matches(index: DataFrame, windows: DataFrame, scratch: Scratch, slop: int =
     """(shard, window, spans): where the windows (window, terms) occur, as arrays of (start, end) in places.
 
     The lists of each window's terms, moved back by the term's place in it, are intersected shard by shard: that of
-    its rarest term with the next rarest, ANCHORS one after the other, then what is left with all others. One plan for
-    any number of windows: postings of their terms are dealt by (shard, id) once and met by ever fewer candidates.
-    With `slop` up to so many other words may stand between the terms, in order (proximity).
+    its rarest term with the next rarest, ANCHORS one after the other. What is left asks the lists of all its other
+    terms at once, and each list is intersected with the places that all windows ask for. One plan for any number of
+    windows; the lists of their terms are dealt by (shard, id) once and met by ever fewer candidates. With `slop` up to
+    so many other words may stand between the terms, in order (proximity).
     """
-    terms = windows.select(F.explode("terms").alias("id")).distinct()
-    postings = scratch.keep(index.where("id is not null").select("shard", "id", "n", "places").join(terms, "id", "left_semi"), "postings")
-    ordered = scratch.keep(_ordered(windows, postings), "ordered")
-    listed = postings.select("shard", "id", "places")
+    ordered = scratch.keep(_ordered(windows, index), "ordered")
+    steps = ordered.select(F.explode("steps").alias("s"))
+    words = index.where("id is not null").select("shard", "id", "places")
+    rarest = words.join(ordered.select(F.col("steps")[0]["id"].alias("id")).distinct(), "id", "left_semi")
+    listed = words.join(steps.select("s.id").distinct(), "id", "left_semi")
     step = F.col("steps")[0]
-    found = ordered.select("*", step["id"].alias("id")).join(listed, "id").select(
+    found = ordered.select("*", step["id"].alias("id")).join(rarest, "id").select(
         "shard", "window", "length", "steps", _moved(F.col("places"), step["place"], slop).alias("starts"))
     for k in range(1, ANCHORS):
         step = F.get("steps", F.lit(k))
-        asked = found.where(F.col("length") > k).select("*", step["id"].alias("id"))
-        met = asked.join(listed, ["shard", "id"]).select("shard", "window", "length", "steps", F.array_intersect(
-            "starts", _moved(F.col("places"), step["place"], slop)).alias("starts"))
-        found = found.where(F.col("length") <= k).unionByName(met.where("size(starts) > 0"))
+        asked = found.select("*", step["id"].alias("id"))
+        met = asked.join(listed, ["shard", "id"], "left").select("shard", "window", "length", "steps", F.when(
+            F.col("length") <= k, F.col("starts")).otherwise(F.array_intersect(
+                "starts", _moved(F.col("places"), step["place"], slop))).alias("starts"))
+        found = met.where("size(starts) > 0")
     found = scratch.keep(found, "candidates")
-    rest = found.select("shard", "window", "length", "starts", F.explode("steps" if slop else F.slice("steps", ANCHORS + 1, WINDOW)).alias("s")).select(
-        "shard", "window", "length", "starts", "s.place", "s.id")
     if slop:
-        return _in_order(rest.join(listed, ["shard", "id"]), slop)
-    met = rest.join(listed, ["shard", "id"]).select("shard", "window", F.array_intersect(
-        "starts", _moved(F.col("places"), F.col("place"), 0)).alias("left"))
-    met = met.groupBy("shard", "window").agg(F.collect_list("left").alias("lists"))
-    left = found.join(met, ["shard", "window"], "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<array<bigint>>")))
-    whole = left.where(F.size("lists") == F.greatest(F.col("length") - ANCHORS, F.lit(0)))
-    starts = F.aggregate("lists", F.col("starts"), F.array_intersect)
-    spans = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + F.col("length")).alias("end")))
-    return whole.select("shard", "window", "length", starts.alias("starts")).where("size(starts) > 0").select("shard", "window", spans.alias("spans"))
+        rest = found.select("shard", "window", "length", "starts", F.explode("steps").alias("s"))
+        return _in_order(rest.select("shard", "window", "length", "starts", "s.place", "s.id").join(listed, ["shard", "id"]), slop)
+    asks = found.select("shard", "window", F.explode("starts").alias("start"), F.slice("steps", ANCHORS + 1, WINDOW).alias("rest"))
+    asks = asks.select("shard", "window", "start", F.explode("rest").alias("s")).select(
+        "shard", "window", "start", "s.id", (F.col("start") + F.col("s.place")).alias("place"))
+    wanted = asks.groupBy("shard", "id").agg(F.collect_set("place").alias("wanted"))
+    there = wanted.join(listed, ["shard", "id"]).select("shard", "id", F.explode(F.array_intersect("wanted", "places")).alias("place"))
+    met = asks.join(there, ["shard", "id", "place"]).groupBy("shard", "window", "start").agg(F.count("*").alias("met"))
+    left = found.select("shard", "window", "length", F.explode("starts").alias("start")).join(met, ["shard", "window", "start"], "left")
+    whole = left.where(F.coalesce("met", F.lit(0)) == F.greatest(F.col("length") - ANCHORS, F.lit(0)))
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
+    return whole.groupBy("shard", "window").agg(F.collect_list(span).alias("spans"))
 
 
 def _in_order(lists: DataFrame, slop: int) -> DataFrame:
