@@ -21,6 +21,9 @@ LAYOUT = {"sessions": ["merchant_key", "created_at", "session_key"]}
 # Columns with Bloom filters in the row groups, for look-ups that the layout does not serve.
 BLOOM_FILTERS = {"attempts": ["session_key"], "sessions": ["session_key"]}
 
+# Tables that a catalog may hold in buckets, and the key that their readers group and join by.
+BUCKET_KEYS = {"attempts": "session_key"}
+
 VERSIONS = "versions"
 MARKER = "_PUBLISHED"
 COUNTS = "table_counts"
@@ -37,15 +40,35 @@ def new_version(out: str) -> str:
     return f"{out}/{VERSIONS}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
+def bucketed_name(version: str, name: str, database: str) -> str:
+    """Catalog name of a bucketed table of a version."""
+    return f"`{database}`.`{name}__{version.rsplit('/', 1)[-1].replace('-', '_')}`"
+
+
+def write_bucketed(df: DataFrame, path: str, table: str, key: str, buckets: int) -> int:
+    """Write Parquet files under ``path`` in buckets of the key, as an external catalog table; returns the rows written.
+
+    Each bucket is one file, sorted by the key, so whoever groups or joins by the key through the catalog needs no
+    exchange. A bucket is read by one task: not for tables in which one key holds a large part of the rows.
+    """
+    counted = Observation("rows of a bucketed table")
+    placed = df.repartition(buckets, key).observe(counted, F.count(F.lit(1)).alias("rows"))
+    placed.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return counted.get["rows"]
+
+
 def publish(spark: SparkSession, version: str, database: str | None = None, tables: list[str] | None = None) -> None:
     """Make a written version the current one. A marker file does it for readers of the folder, all tables at once;
-    with ``database`` the views of that name are replaced too, one after the other."""
+    with ``database`` the views of that name are replaced too, one after the other. Bucketed tables keep their
+    buckets behind the views."""
     store, marker = _path(spark, f"{version}/{MARKER}")
     store.create(marker, True).close()
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
         for name in tables or []:
-            spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS SELECT * FROM parquet.`{version}/{name}`")
+            bucketed = bucketed_name(version, name, database)
+            source = bucketed if spark.catalog.tableExists(bucketed) else f"parquet.`{version}/{name}`"
+            spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS SELECT * FROM {source}")
 
 
 def published(spark: SparkSession, out: str) -> list[str]:
@@ -64,10 +87,12 @@ def current(spark: SparkSession, out: str) -> str:
     return versions[-1] if versions else out
 
 
-def drop_versions(spark: SparkSession, out: str, keep: int = 2) -> int:
+def drop_versions(spark: SparkSession, out: str, keep: int = 2, database: str | None = None) -> int:
     """Delete published versions but the newest ``keep``, and return how many. Readers of those must have ended."""
     old = published(spark, out)[:-keep] if keep else []
     for version in old:
+        for name in BUCKET_KEYS if database else ():
+            spark.sql(f"DROP TABLE IF EXISTS {bucketed_name(version, name, database)}")
         store, path = _path(spark, version)
         store.delete(path, True)
     return len(old)

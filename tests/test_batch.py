@@ -184,6 +184,32 @@ def test_a_failed_build_leaves_the_old_tables(spark, tmp_path, monkeypatch):
     spark.sql("DROP DATABASE paywake_test CASCADE")
 
 
+def test_bucketed_attempts_need_no_exchange(spark, tmp_path):
+    """Sessions and customers read the attempts of a catalog bucket by bucket."""
+    from paywake.operators.sessions import build_sessions
+
+    attempts = samples.frame(spark, samples.SESSION_ROWS)
+    plain = build_all(spark, attempts, f"{tmp_path}/plain")
+    built = build_all(spark, attempts, f"{tmp_path}/out", database="paywake_buckets", buckets=3)
+    for name, df in plain.items():
+        assert sorted(map(str, built[name].collect())) == sorted(map(str, df.collect()))
+        assert sorted(map(str, spark.table(f"paywake_buckets.{name}").collect())) == sorted(map(str, df.collect()))
+    stored = spark.table("paywake_buckets.attempts")
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(build_sessions(stored)) == exchanges(cust.customer_orders(stored)) == 0
+    assert exchanges(build_sessions(plain["attempts"])) == exchanges(cust.customer_orders(plain["attempts"])) == 1
+    build_all(spark, attempts, f"{tmp_path}/out", database="paywake_buckets", buckets=3)
+    assert tables.drop_versions(spark, f"{tmp_path}/out", keep=1, database="paywake_buckets") == 1
+    assert spark.table("paywake_buckets.attempts").count() == len(samples.SESSION_ROWS)
+    assert sum(t.name.startswith("attempts__") for t in spark.catalog.listTables("paywake_buckets")) == 1
+    with pytest.raises(ValueError):
+        build_all(spark, attempts, f"{tmp_path}/out", buckets=3)
+    spark.sql("DROP DATABASE paywake_buckets CASCADE")
+
+
 def test_point_look_ups_skip_row_groups(spark, tmp_path):
     """The layout is by merchant; a session is found through the Bloom filters of its row groups."""
     rows = spark.range(200_000).select(
