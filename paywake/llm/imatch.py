@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from pyspark.sql.window import Window
 from paywake.llm.store import Scratch
 
 LOWEST, HIGHEST = 0.001, 0.01   # shares of the documents that a lexicon term is in: idf from 4.6 to 6.9
-LEXICONS = 256                  # randomised lexicon subsets
+#: Of every 1024 lexicon terms, how many each randomised lexicon draws: the first hold most of the band and change with
+#: any edit that touches it, the last outlast large edits.
+DRAWN = (*[900] * 8, *[768] * 8, *[256] * 16, *[64] * 16, *[16] * 16)
+NO_TERMS = "-"                  # fingerprint of a text without terms in the band
 CELLS = 16_384                  # of the lookup table of the lexicon
 RANGES = 4096                   # of doc_id in which neighbours are looked up, at most
 
@@ -26,7 +30,8 @@ def lexicon(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(cells): one row, an array of CELLS arrays with the terms whose document frequency lies in the band.
 
     A term is in at least LOWEST of all documents, so there are at most (distinct terms per document) / LOWEST:
-    some 300,000 for documents of 300 distinct words, however many documents there are.
+    some 300,000 for documents of 300 distinct words, however many documents there are. Below 1,000 documents the
+    band is that of 2 to 8 documents, as a share of fewer would be that of single ones.
     """
     n = docs.count()
     lowest, highest = max(2, math.ceil(LOWEST * n)), max(8, math.floor(HIGHEST * n))
@@ -39,60 +44,65 @@ def lexicon(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(filled.agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["terms"]).alias("cells")), "lexicon")
 
 
-def _subset(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 64 - LEXICONS.bit_length() + 1).cast("int")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def with_fingerprint(docs: DataFrame, text: str, name: str, lexicon_: DataFrame) -> DataFrame:
-    """docs with `name`: sorted array of (lexicon subset << 16 | 16 bits of hash), one per subset it has terms of.
+    """docs with `name`: array of (lexicon << 16 | 16 bits of hash), one for each lexicon that has terms of the text.
 
-    The terms in the band are sorted; each falls into one of LEXICONS random subsets by its highest bits, so that
-    the terms of a subset stand together, and are hashed together. A text without terms in the band uses all its
-    terms, one without words its characters, an empty one has no hashes.
+    The distinct terms in the band are sorted. Each randomised lexicon is a draw of its own from the band, by a hash of
+    term and lexicon; the terms of the text that are in it are hashed together, in order. A text without terms in the
+    band has no hashes.
     """
     columns, t = docs.columns, F.col(text)
-    whole = F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(t)))
     found = docs.withColumn("_found", terms(t))
     # the optimizer makes the table an argument of the function that reads it, so that no row carries a copy of it
     looked = found.select(*columns, "_found", F.array_repeat(lexicon_.scalar(), F.size("_found")).alias("_table"))
-    banded = looked.select(*columns, "_found", F.array_compact(F.zip_with("_found", "_table", lambda h, cells: F.when(
-        F.array_contains(F.element_at(cells, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")), h), h))).alias("_band"))
-    ordered = banded.select(*columns, F.array_sort(
-        F.when(F.size("_band") > 0, F.col("_band")).when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).alias("_terms"))
-    size = F.size("_terms")
-    starts = ordered.select(*columns, "_terms", F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (
-        _subset(F.get("_terms", i)) != _subset(F.get("_terms", i - 1)))).alias("_starts"))
-    runs = F.zip_with("_starts", F.concat(F.slice("_starts", 2, LEXICONS), F.array(size)),
-                      lambda a, b: F.slice("_terms", a + 1, b - a))
-    hashes = F.transform(runs, lambda g: F.shiftleft(_subset(g[0]), 16).bitwiseOR(
-        F.xxhash64(g).bitwiseAND(F.lit(0xFFFF)).cast("int")))
-    return starts.select(*columns, F.when(size > 0, hashes).otherwise(F.array().cast("array<int>")).alias(name))
-
-
-def likeness(a: str, b: str) -> Column:
-    """Equal subset hashes by subsets that either text has terms of; 1 for two texts without any."""
-    def subsets(x: str) -> Column:
+    banded = looked.select(*columns, F.array_sort(F.array_compact(F.zip_with("_found", "_table", lambda h, cells: F.when(
+        F.array_contains(F.element_at(cells, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")), h), h)))).alias("_band"))
+    draws = F.array(*(F.struct(F.lit(no).alias("no"), F.lit(drawn).alias("drawn")) for no, drawn in enumerate(DRAWN)))
+
+    def hashed(band: Column) -> Column:
+        def one(draw: Column) -> Column:
+            held = F.filter(band, lambda term: F.pmod(F.xxhash64(term, draw["no"]), F.lit(1024)) < draw["drawn"])
+            return _let(held, lambda held: F.when(F.size(held) > 0, F.shiftleft(draw["no"], 16).bitwiseOR(
+                F.xxhash64(held).bitwiseAND(F.lit(0xFFFF)).cast("int"))))
+
+        return F.array_compact(F.transform(draws, one))
+
+    none = F.array().cast("array<int>")
+    return banded.select(*columns, _let(F.col("_band"), lambda band: F.when(F.size(band) == 0, none).otherwise(hashed(band))).alias(name))
+
+
+def likeness(a: str | Column, b: str | Column, same: Column) -> Column:
+    """Equal hashes by lexicons that have terms of either text; where none has, 1 if the texts are the same, else 0."""
+    def lexicons(x: str | Column) -> Column:
         return F.transform(x, lambda h: F.shiftright(h, 16))
 
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     common = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - F.size(F.array_intersect(subsets(a), subsets(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
+    either = F.size(a) + F.size(b) - F.size(F.array_intersect(lexicons(a), lexicons(b)))
+    return F.when(either == 0, F.coalesce(same, F.lit(False)).cast("double")).otherwise(common / either)
 
 
-def text_form(hashes: str) -> Column:
-    """Six hexadecimal digits for each subset hash."""
-    return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 6, "0")), ""))
+def text_form(hashes: str, text: str | Column) -> Column:
+    """Six hexadecimal digits for each lexicon's hash; NO_TERMS without any, and nothing for an empty text."""
+    digits = F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 6, "0")), ""))
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text == "", "").when(F.size(hashes) == 0, NO_TERMS).otherwise(digits)
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint of every whole text; equal texts have equal ones.
 
-    Null is an empty text with an empty fingerprint. Repeated rows come back as often as given, a null doc_id stays
+    Null is an empty text with an empty fingerprint; a text without lexicon terms has NO_TERMS. Repeated rows come back as often as given, a null doc_id stays
     null, no rows give no rows, other columns are ignored.
     """
     docs = _plain(docs, doc, text)
     found = with_fingerprint(docs, "text", "hashes", lexicon(docs, Scratch(docs.sparkSession, "imatch")))
-    return found.select("doc_id", text_form("hashes").alias("fingerprint"))
+    return found.select("doc_id", text_form("hashes", "text").alias("fingerprint"))
 
 
 def _plain(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -147,11 +157,14 @@ def edited_fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"),
                       F.coalesce(F.substring(F.col("following.text"), F.lit(1), half), F.lit("")))
-    rows = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "hashes", edited.alias("edited"),
-                         F.col("following.hashes").alias("next_hashes"))
+    rows = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "hashes", (F.col("text") == "").alias("empty"),
+                         edited.alias("edited"), (edited == F.col("text")).alias("unedited"),
+                         F.col("following.hashes").alias("next_hashes"),
+                         F.col("text").eqNullSafe(F.col("following.text")).alias("next_equal"))
     rows = with_fingerprint(rows, "edited", "edited_hashes", found)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        text_form("hashes").alias("fingerprint"), text_form("edited_hashes").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"),
-        F.coalesce(likeness("hashes", "next_hashes"), F.lit(0.0)).alias("near_next"))
+        text_form("hashes", F.when(F.col("empty"), "").otherwise("x")).alias("fingerprint"),
+        text_form("edited_hashes", "edited").alias("edited_fingerprint"),
+        likeness("hashes", "edited_hashes", F.col("unedited")).alias("near_edited"),
+        F.when(F.col("next_hashes").isNull(), 0.0).otherwise(likeness("hashes", "next_hashes", F.col("next_equal"))).alias("near_next"))

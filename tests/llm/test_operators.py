@@ -339,6 +339,43 @@ def test_fingerprints(docs, empty):
     assert imatch.fingerprints(docs).count() == len(documents())
 
 
+def test_fingerprints_by_brute_force(spark):
+    """Terms of the band, drawn into each lexicon by a hash, sorted and hashed; likeness by lexicons."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"t{k}" for k in np.unique(rng.zipf(1.3, 60) % 500)) for _ in range(120)] + ["only once here", "", "t1", None]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [set(re.findall(r"[^\W_]+", (t or "").lower())) for t in texts]
+    vocabulary = sorted(set().union(*sets))
+    frequency = {w: sum(w in s for s in sets) for w in vocabulary}
+    band = [w for w in vocabulary if 2 <= frequency[w] <= 8]
+    hashed = {w: h for w, h in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w")).collect()}
+    pairs = spark.createDataFrame([(hashed[w],) for w in band], "t bigint").select(
+        "t", F.explode(F.sequence(F.lit(0), F.lit(len(imatch.DRAWN) - 1))).alias("no")).select(
+        "t", "no", F.pmod(F.xxhash64("t", F.col("no").cast("int")), F.lit(1024))).collect()
+    member = {(t, no): value < imatch.DRAWN[no] for t, no, value in pairs}
+
+    def lists(words):
+        terms = sorted(hashed[w] for w in words if w in set(band))
+        return [(no, [t for t in terms if member[t, no]]) for no in range(len(imatch.DRAWN))]
+
+    wanted = [(k, no, held) for k, s in enumerate(sets) for no, held in lists(s) if held]
+    digest = spark.createDataFrame(wanted, "k int, no int, held array<bigint>").select(
+        "k", "no", F.xxhash64("held").bitwiseAND(F.lit(0xFFFF))).collect()
+    expected = {k: {} for k, _ in rows}
+    for k, no, value in digest:
+        expected[k][no] = f"{no << 16 | value:06x}"
+    found = {r["doc_id"]: r for r in imatch.edited_fingerprints(docs).collect()}
+    for k, text in rows:
+        whole = "".join(expected[k][no] for no in sorted(expected[k]))
+        assert found[k]["fingerprint"] == (whole or (imatch.NO_TERMS if text else ""))
+        after = expected[(k - 1) % len(rows)]
+        either = set(expected[k]) | set(after)
+        same = sum(expected[k].get(no) == after.get(no) for no in either)
+        assert found[k]["near_next"] == (same / len(either) if either else float((text or "") == (texts[k - 1] or "")))
+    assert found[120]["fingerprint"] == imatch.NO_TERMS and sum(r["near_edited"] for r in found.values()) > 3 * sum(r["near_next"] for r in found.values())
+
+
 def test_the_lexicon_is_no_column(docs):
     plan = imatch.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "AS _table" not in plan and "Python" not in plan
