@@ -261,9 +261,9 @@ def amount_share(amounts: DataFrame) -> DataFrame:
                           rate(F.col("sessions"), whole).alias("share"))
 
 
-def psp_ranking(psps: DataFrame, k: int | None = None) -> DataFrame:
-    """Providers of a merchant by success rate, best first; ``k`` keeps the first k."""
-    order = W.partitionBy("merchant_key").orderBy(F.col("success_rate").desc_nulls_last(), "psp_code")
+def psp_ranking(psps: DataFrame, k: int | None = None, by: str = "success_rate") -> DataFrame:
+    """Providers of a merchant by success rate or another figure, best first; ``k`` keeps the first k."""
+    order = W.partitionBy("merchant_key").orderBy(F.col(by).desc_nulls_last(), "psp_code")
     ranked = psps.withColumn("psp_rank", F.row_number().over(order).cast("long"))
     return ranked if k is None else ranked.where(F.col("psp_rank") <= k)
 

@@ -7,7 +7,7 @@ from paywake.operators import rollups
 from paywake.operators.peers import peer_metrics
 from paywake.operators.sessions import build_sessions, provider_codes
 from paywake.sources.files import locate, read_attempts
-from paywake.sources.tables import (BUCKET_KEYS, COUNTS, bucketed_name, count_rows, new_version, publish, read_table,
+from paywake.sources.tables import (AUDIT, BUCKET_KEYS, COUNTS, bucketed_name, count_rows, new_version, publish, read_table,
                                     write_bucketed, write_tables)
 
 
@@ -21,14 +21,18 @@ def build_all(spark: SparkSession, source: str | DataFrame, out: str, fmt: str |
     failed, readers have the tables of the version before; ``database`` also gets a view of each table. With
     ``buckets`` the attempts are a bucketed table of that database, from which sessions and customer orders are made
     without an exchange (see write_bucketed for when not to).
-    ``source`` is attempts, or a file or folder that locate finds and read_attempts reads. Rows are counted as they are written (table_counts).
+    ``source`` is attempts, or a file or folder that locate finds and read_attempts reads. Rows are counted and the evidence is
+    audited as they are written (table_counts, insight_audit).
     """
     stored: dict[str, DataFrame] = {}
     counts: dict[str, int] = {}
+    seen: dict = {}
     version = new_version(out)
 
     def store(**tables: DataFrame) -> None:
-        counts.update(write_tables(tables, version))
+        observed = write_tables(tables, version, metrics={"insight_evidence": ins.audit_metrics()})
+        counts.update({name: found["rows"] for name, found in observed.items()})
+        seen.update(observed.get("insight_evidence", {}))
         stored.update({name: read_table(spark, version, name, df.schema) for name, df in tables.items()})
 
     def store_bucketed(name: str, df: DataFrame) -> None:
@@ -52,6 +56,6 @@ def build_all(spark: SparkSession, source: str | DataFrame, out: str, fmt: str |
     insights = ins.build_insights(stored["peer_metrics"])
     store(insights=insights,
           insight_evidence=ins.insight_evidence(insights, stored["peer_metrics"], stored["insight_methodology"]))
-    write_tables({COUNTS: count_rows(spark, counts).coalesce(1)}, version)
-    publish(spark, version, database, [*stored, COUNTS])
+    write_tables({COUNTS: count_rows(spark, counts).coalesce(1), AUDIT: ins.audit_rows(spark, seen).coalesce(1)}, version)
+    publish(spark, version, database, [*stored, COUNTS, AUDIT])
     return stored

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +27,7 @@ BUCKET_KEYS = {"attempts": "session_key"}
 VERSIONS = "versions"
 MARKER = "_PUBLISHED"
 COUNTS = "table_counts"
+AUDIT = "insight_audit"
 
 
 def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -99,23 +100,25 @@ def drop_versions(spark: SparkSession, out: str, keep: int = 2, database: str |
 
 
 def write_tables(tables: dict[str, DataFrame], out: str, layout: dict[str, list[str]] = LAYOUT,
-                 blooms: dict[str, list[str]] = BLOOM_FILTERS) -> dict[str, int]:
-    """Replace each table under ``out`` by new Parquet files and return their numbers of rows.
+                 blooms: dict[str, list[str]] = BLOOM_FILTERS,
+                 metrics: dict[str, list[Column]] | None = None) -> dict[str, dict]:
+    """Replace each table under ``out`` by new Parquet files and return what was observed of each while writing.
 
-    The tables are written side by side. Rows are counted by the writing tasks, not in a pass of their own.
+    That is the number of ``rows`` and the further ``metrics`` asked for, aggregated by the writing tasks and not in a
+    pass of their own. The tables are written side by side.
     """
-    def write(name: str) -> int:
+    def write(name: str) -> dict:
         df, order = tables[name], layout.get(name)
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         # above the range exchange, whose sampling also runs what is below it
         counted = Observation(f"rows of {name}")
-        writer = df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        writer = df.observe(counted, F.count(F.lit(1)).alias("rows"), *(metrics or {}).get(name, [])).write.mode("overwrite")
         for column in blooms.get(name, []):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
                 "parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{out}/{name}")
-        return counted.get["rows"]
+        return counted.get
 
     with ThreadPoolExecutor() as threads:
         return dict(zip(tables, threads.map(write, tables)))

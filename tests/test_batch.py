@@ -9,6 +9,7 @@ from paywake.functions.text import to_json_rows
 from paywake.operators import context as ctx
 from paywake.operators import customers as cust
 from paywake.operators import rollups as roll
+from paywake.operators.insights import traceability_checks
 from paywake.plans.batch import build_all
 from paywake.schema import ATTEMPT_COLUMNS
 from paywake.sources import files, tables
@@ -135,6 +136,11 @@ def test_counts_of_the_derived_data(spark, stored):
     assert counts == {name: df.count() for name, df in built.items()}   # as counted while writing
     plan = tables.table_counts(spark, out)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
+    audit = tables.read_table(spark, out, tables.AUDIT)     # observed by the writer of the evidence
+    checks = traceability_checks(built["insight_evidence"])
+    assert audit.columns == checks.columns
+    for found, wanted in zip(audit.orderBy("insight_type").collect(), checks.orderBy("insight_type").collect(), strict=True):
+        assert list(wanted) == [pytest.approx(v) if isinstance(v, float) else v for v in found]
     assert counts["attempts"] == 60257 and counts["sessions"] == 15000
     assert counts["insights"] == counts["insight_evidence"] == 99
     assert counts["merchant_metrics"] == counts["peer_metrics"] == 25
