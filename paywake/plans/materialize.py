@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}     # by application
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,5 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back, so that later jobs neither recompute it nor lose it with an executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written so far, and return their number.
+
+    For the end of a job, when its results are stored: frames that still read those tables fail afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(conf).delete(found, True)
+    return len(paths)

@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -322,3 +323,14 @@ def test_csv_dialect(spark, tmp_path):
     assert [tuple(r) for r in read_attempts(spark, broken, multiline=True).select(*looked_at).collect()] == [("s1", 1, "two\nlines", 10.0)]
     with pytest.raises(Exception):
         read_attempts(spark, broken).select(*looked_at).collect()
+
+
+def test_intermediate_tables_can_be_released(spark, monkeypatch):
+    from paywake.plans import materialize as plans
+
+    monkeypatch.setattr(plans, "_written", {})
+    kept = plans.materialize(spark.range(5), "one")
+    plans.materialize(spark.range(6), "two")
+    folders = {file.rsplit("/", 1)[0] for file in kept.inputFiles()}
+    assert kept.count() == 5 and plans.release(spark) == 2 and plans.release(spark) == 0
+    assert not any(os.path.exists(folder.removeprefix("file:")) for folder in folders)
