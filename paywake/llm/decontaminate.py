@@ -198,13 +198,14 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int = 0, item: str = "i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id",
                       text: str = "text") -> DataFrame:
     """The rows, with all columns, that hold no window of the benchmark. Each row is judged on its own text."""
-    scratch = Scratch(docs.sparkSession, "decontaminate")
+    scratch, passing = (Scratch(docs.sparkSession, "decontaminate") for _ in range(2))
     # written, so that a row keeps its number in every pass
     rows = scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    index = scratch.keep(build_index(_plain(rows, F.col(ROW), doc, text)), "index")
-    _, found = _searched(index, benchmark, 0, item, text)
+    index = passing.keep(build_index(_plain(rows, F.col(ROW), doc, text)), "index")
+    _, found = _searched(index, benchmark, 0, item, text, passing)
     places = found.select("shard", F.explode("spans").alias("s")).select("shard", F.shiftright("s.start", 32).alias("at")).distinct()
     dirty = scratch.keep(documents(index).join(places, ["shard", "at"], "left_semi").select(F.col("row").alias(ROW)), "dirty")
+    passing.clear()     # only the numbers of dirty rows are needed from here on
     return rows.join(dirty, ROW, "left_anti").drop(ROW)
 
 
@@ -212,9 +213,10 @@ def _plain(docs: DataFrame, row: Column, doc: str, text: str) -> DataFrame:
     return docs.select(row.alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _searched(index: DataFrame, benchmark: DataFrame, slop: int, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _searched(index: DataFrame, benchmark: DataFrame, slop: int, item: str, text: str,
+              scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The items' windows and where they occur, both written."""
-    scratch = Scratch(index.sparkSession, "decontaminate")
+    scratch = scratch or Scratch(index.sparkSession, "decontaminate")
     listed = scratch.keep(item_windows(benchmark, item, text), "items")
     windows = scratch.keep(listed.groupBy("window").agg(F.any_value("terms").alias("terms")), "windows")
     return listed, scratch.keep(matches(index, windows, scratch, slop), "matches")

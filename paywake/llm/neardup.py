@@ -250,7 +250,8 @@ def linked_across(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     return rows.mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                    scratch: Scratch | None = None) -> DataFrame:
     """Every row's component of documents linked by a similarity of 0.75 or more of their 5-word shingle sets.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Equal sets are one class from the
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    scratch = Scratch(docs.sparkSession, "neardup")
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
     rows = scratch.keep(signatures(docs), "signatures")
     sets = rows.where("doc_id is not null and set_key is not null")
     classes = scratch.keep(
@@ -308,11 +309,12 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Decided row by row: rows that share a doc_id and have different texts are judged by their texts, of repeated rows
     and of copies without doc_id (which come last) one stays, and rows without words all stay.
     """
-    scratch = Scratch(docs.sparkSession, "neardup")
+    scratch, passing = (Scratch(docs.sparkSession, "neardup") for _ in range(2))
     # written, so that a row keeps its number in every pass
     rows = scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    groups = scratch.keep(near_duplicates(rows, ROW, text_column).where("n_shingles > 0").select(
+    groups = scratch.keep(near_duplicates(rows, ROW, text_column, passing).where("n_shingles > 0").select(
         F.col("doc_id").alias(ROW), "component_id"), "groups")
+    passing.clear()     # only the numbers of rows are needed from here on
     shared = groups.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1").select("component_id")
     members = groups.join(shared, "component_id").join(
         rows.select(ROW, F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash")), ROW)

@@ -49,6 +49,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Delete everything kept so far, once nothing reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete the files of tables that nothing reads any more."""
         jvm = self.spark._jvm
