@@ -10,6 +10,8 @@ from paywake.schema import ATTEMPT_COLUMNS, LENIENT_TYPES
 SAMPLE_LINES = 1000     # that the dialect is found from
 DELIMITERS = (",", ";", "\t", "|")
 QUOTES = ('"', "'")
+#: Stands for an absent value while CSV is parsed. With Spark's default, empty text, a quoted empty value is NULL too.
+ABSENT = "\uffff"
 #: Ways to write a time, tried in this order. The first is what a cast reads.
 TIME_FORMATS = (None, "dd/MM/yyyy HH:mm[:ss]", "MM/dd/yyyy HH:mm[:ss]", "dd-MM-yyyy HH:mm[:ss]", "yyyy/MM/dd HH:mm[:ss]",
                 "dd.MM.yyyy HH:mm[:ss]")
@@ -160,7 +162,8 @@ def read_attempts(spark: SparkSession, path: str, fmt: str | None = None, spread
     The format (by content) and the dialect of CSV are found from a sample unless given. CSV columns are read as text
     and bound by header name. Quotes inside quotes are doubled, a backslash is an ordinary character, and all columns
     are parsed in every query, so that a malformed row fails each of them. Keys keep their text as written, leading
-    zeros included. Line breaks inside quotes need ``multiline``, which reads each file in one task. One gzip file is
+    zeros included. Nothing between delimiters is NULL, a quoted empty value is empty text (NULL as a number or time).
+    Line breaks inside quotes need ``multiline``, which reads each file in one task. One gzip file is
     one read task, so its rows are spread before anything else runs, over ``spread_gzip`` partitions if it is set and
     over Spark's number of shuffle partitions otherwise; 0 leaves them together.
     """
@@ -171,7 +174,9 @@ def read_attempts(spark: SparkSession, path: str, fmt: str | None = None, spread
     raw = (
         spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
         .option("sep", dialect.delimiter).option("quote", dialect.quote)
-        .option("columnPruning", False).option("multiLine", multiline).csv(path)
+        .option("columnPruning", False).option("multiLine", multiline)
+        .option("nullValue", ABSENT).option("emptyValue", "").csv(path)
+        .replace("", None, [name for name, kind in ATTEMPT_COLUMNS if kind != "string"])
     )
     if spread_gzip != 0 and any(file.lower().endswith(".gz") for file in data_files(spark, path)):
         # try_seq in the key keeps one huge session from landing in one partition

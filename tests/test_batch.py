@@ -59,6 +59,24 @@ def test_bad_values(spark, tmp_path):
         files.read_attempts(spark, str(tmp_path / "short.csv")).collect()
 
 
+def test_quoted_empty_text_is_not_null(spark, tmp_path):
+    rows = [samples.attempt("s1", psp="", payer_card_key=""), samples.attempt("s2", psp=None, payer_card_key="C1"),
+            samples.attempt("s3", psp="P1", payer_card_key=None, amount=None, verified_at=None)]
+    written = samples.frame(spark, rows)
+    expected = sorted(map(tuple, written.collect()), key=lambda row: row[0])
+    for name, options in {"comma": {}, "semicolon": {"sep": ";", "timestampNTZFormat": "dd.MM.yyyy HH:mm:ss"},
+                          "gzip": {"compression": "gzip"}}.items():
+        path = f"{tmp_path}/{name}"
+        written.coalesce(1).write.options(header=True, escape='"', **options).csv(path)
+        found = files.read_attempts(spark, *files.locate(spark, path)).collect()
+        assert sorted(map(tuple, found), key=lambda row: row[0]) == expected, name
+    quoted = ",".join(f'"{LINE.get(name, "")}"' for name in NAMES)      # empty numbers and times too
+    (tmp_path / "quoted.csv").write_text(",".join(NAMES) + "\n" + quoted + "\n")
+    row = files.read_attempts(spark, str(tmp_path / "quoted.csv")).first()
+    assert (row["psp_code"], row["payer_card_key"], row["amount"]) == ("", "", 1e6)
+    assert row["init_time_ms"] is None and row["expire_in"] is None
+
+
 def test_numeric_keys_become_text(spark, tmp_path):
     raw = spark.range(1).select(*(F.lit(7 if n in ("session_key", "merchant_key") else None).alias(n) for n in NAMES))
     assert files.type_attempts(raw).first()["session_key"] == "7"
