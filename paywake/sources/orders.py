@@ -8,16 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def with_lines(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+LINES_PER_TASK = 500_000    # joined and sorted in some 150 MB
+
+
+def _heavy_orders(lineitem: DataFrame, per_task: int) -> tuple[int, dict[int, int]]:
+    """Number of lines, and orders with more lines than a task should join, with their number by a sketch.
+
+    Such an order fills its hash bucket, so the sketch is needed only where a bucket holds as many lines. At most one
+    order per ``per_task`` lines is found. They only decide where rows are joined.
+    """
+    known = lineitem.where(F.col("l_orderkey").isNotNull())
+    buckets = known.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(4096))).agg(F.count(F.lit(1)).alias("lines"))
+    lines, most = buckets.agg(F.coalesce(F.sum("lines"), F.lit(0)), F.coalesce(F.max("lines"), F.lit(0))).first()
+    if most <= per_task:
+        return lines, {}
+    top = known.agg(F.expr("approx_top_k(l_orderkey, 1000, 10000)")).first()[0]
+    return lines, {row["item"]: row["count"] for row in top if row["count"] > per_task}
+
+
+def with_lines(orders: DataFrame, lineitem: DataFrame, per_task: int = LINES_PER_TASK) -> DataFrame:
     """Orders with each of their lines, or none.
 
     The inner join can be split at an order with very many lines, which an outer join cannot; orders
-    without lines are added by an anti join.
+    without lines are added by an anti join. Spark sizes the tasks of a join by compressed bytes, and narrow
+    lines compress to so few that a task would sort millions of them. So partitions are counted by lines, and
+    an order with more than ``per_task`` lines meets them in several partitions.
     """
     own = F.col("o_orderkey") == F.col("l_orderkey")
-    paired = orders.join(lineitem.withColumn("has_line", F.lit(True)), own)
-    alone = orders.join(lineitem.select("l_orderkey"), own, "left_anti")
-    return paired.unionByName(alone, allowMissingColumns=True)
+    marked, keys, bare = lineitem.withColumn("has_line", F.lit(True)), lineitem.select("l_orderkey"), orders
+    paired_on = own
+    lines, heavy = _heavy_orders(lineitem, per_task)
+    if lines > per_task:
+        partitions = max(-(-lines // per_task), orders.sparkSession.sparkContext.defaultParallelism)
+        by_order, by_line = ["o_orderkey"], ["l_orderkey"]
+        if heavy:
+            parts = -(-max(heavy.values()) // per_task)
+            is_heavy, has_heavy = (F.coalesce(F.col(key).isin(*heavy), F.lit(False)) for key in ("o_orderkey", "l_orderkey"))
+            # these have lines, so the anti join does without them
+            bare, keys = orders.where(~is_heavy), keys.where(~has_heavy)
+            every_part = F.sequence(F.lit(0), F.lit(parts - 1))
+            orders = orders.withColumn("o_part", F.explode(F.when(is_heavy, every_part).otherwise(F.array(F.lit(0)))))
+            part = F.when(has_heavy, F.monotonically_increasing_id() % parts).otherwise(F.lit(0))
+            marked = marked.withColumn("l_part", part.cast("int"))
+            by_order, by_line = [*by_order, "o_part"], [*by_line, "l_part"]
+            paired_on = own & (F.col("o_part") == F.col("l_part"))
+        orders, marked = orders.repartition(partitions, *by_order), marked.repartition(partitions, *by_line)
+        keys = keys.repartition(partitions, "l_orderkey")
+    paired = orders.join(marked, paired_on).drop("o_part", "l_part")
+    return paired.unionByName(bare.join(keys, own, "left_anti"), allowMissingColumns=True)
 
 
 def attempts_from_orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -158,3 +158,33 @@ def test_every_line_is_an_attempt(spark):
     assert attempts.count() == lines.join(heads, heads.o_orderkey == lines.l_orderkey).count() + alone
     plan = attempts._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "l_linenumber" in plan
+
+
+def test_join_tasks_are_counted_by_lines(spark):
+    from paywake.sources import orders
+
+    heads = spark.createDataFrame([(n, f"m{n}") for n in (*range(60), 7, 900)] + [(None, "none")], "o_orderkey long, name string")
+    few = [(n % 50, n) for n in range(300)] + [(None, 1), (777, 1)]
+    many = few + [(3, n) for n in range(400)] + [(3, 1)] * 100      # an order with most of the lines, some of them equal
+
+    def placed(rows, per_task):
+        found = orders.with_lines(heads, spark.createDataFrame(rows, "l_orderkey long, l_linenumber int"), per_task)
+        placed_rows = found.select("o_orderkey", "name", "l_linenumber", "has_line", F.spark_partition_id()).collect()
+        tasks = {}
+        for row in placed_rows:
+            if row["has_line"]:
+                tasks.setdefault(row[4], []).append(row[0])
+        return sorted(str(row[:4]) for row in placed_rows), tasks
+
+    for rows in (few, many):
+        whole, _ = placed(rows, 10**6)
+        dealt, tasks = placed(rows, 20)
+        lines = {}
+        for key, number in rows:
+            lines.setdefault(key, []).append(number)
+        expected = [(key, name, number, number is not None or None) for key, name in heads.collect()
+                    for number in (lines.get(key) if key is not None and key in lines else [None])]
+        assert whole == dealt == sorted(map(str, expected))
+        assert len(tasks) > 4       # more than the number of shuffle partitions here
+    assert sum(3 in keys for keys in tasks.values()) > 4
+    assert max(map(len, tasks.values())) < 150
