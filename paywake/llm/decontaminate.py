@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywake.llm.store import Scratch
+from paywake.llm.store import Scratch, released
 from paywake.llm.words import binary, hashed, slices
 from paywake.llm.wordtable import LETTERS_DIGITS, WordTable
 
@@ -81,7 +81,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             number += 1
 
     kinds = "shard bigint, id bigint, n bigint, places array<bigint>, rows array<bigint>, doc_ids array<bigint>, n_words array<bigint>"
-    return docs.mapInArrow(rows, kinds)
+    return docs.mapInArrow(lambda batches: released(rows(batches)), kinds)
 
 
 def documents(index: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywake.llm.components import components, labels
-from paywake.llm.store import Scratch
+from paywake.llm.store import Scratch, released
 from paywake.llm.words import binary, mixed, shingle_set, slices
 
 BINS = 128          # of the one permutation
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 "bands": pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))})
 
     return docs.mapInArrow(
-        rows, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>")
+        lambda batches: released(rows(batches)), "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def _comparable(a: str, b: str):
@@ -146,7 +146,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in found], pa.int64()),
                                               "v": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.mapInArrow(compare, "u bigint, v bigint")
+    return rows.mapInArrow(lambda batches: released(compare(batches)), "u bigint, v bigint")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -247,7 +247,7 @@ def linked_across(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
         if meeting is not None:
             yield links()
 
-    return rows.mapInArrow(compare, "u bigint, v bigint")
+    return rows.mapInArrow(lambda batches: released(compare(batches)), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

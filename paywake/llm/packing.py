@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paywake.llm.store import Scratch, worker_cache
+from paywake.llm.store import Scratch, released, worker_cache
 from paywake.llm.words import slices
 from paywake.llm.wordtable import WordTable
 
@@ -26,7 +26,7 @@ END = 1             # id after each document
 SETS, WAYS = 1 << 18, 4     # of the parts that a Python worker remembers: 48 MB
 LONGEST = 7         # ids of such a part
 STEP = 2000         # parts that are coded together
-BATCH = 4 << 20     # bytes of text that are coded together
+BATCH = 1 << 20     # bytes of text that are coded together
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xc4\xb0")
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, keep_ids: bool) -> DataFrame:
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.mapInArrow(rows, schema + ", ids binary" * keep_ids)
+    return docs.mapInArrow(lambda batches: released(rows(batches)), schema + ", ids binary" * keep_ids)
 
 
 def priced(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywake.llm.store import released
 from paywake.llm.words import slices
 
 BASE = ("email", "ip", "card", "phone")
@@ -162,7 +163,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = pa.array([None if t is None else redacted(t) for t in batch.column(k).to_pylist()], pa.string())
             yield batch.set_column(k, pa.field(text, pa.string()), clean)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lambda batches: released(rows(batches)), docs.schema)
 
 
 def base_digest(found: F.Column) -> F.Column:

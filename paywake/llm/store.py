@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +33,18 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return _CACHE[name]
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, what the worker has freed goes back to the system.
+
+    Workers are used again by the next stage, and the C library would keep the pages of each stage's arrays.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Intermediate tables of one job. A lost executor costs a re-read of files, never of work before them."""
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 
+from paywake.llm.store import worker_cache
+
 CACHE = 400_000     # words that a Python worker remembers
 BATCH_BYTES = 4 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -29,11 +31,9 @@ class WordHashes(dict):
         return value
 
 
-HASHES = WordHashes()
-
-
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("words", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Rows that the stages keep, and the whole pipeline on a small folder, against brute force."""
 
+import ctypes
 import os
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from paywake.llm import decontaminate, langid, neardup, pii
+from paywake.llm import decontaminate, langid, neardup, pii, store
+from paywake.llm import words as word_hashes
 from tests.llm.test_operators import brute_words, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -142,3 +145,27 @@ def test_stages_keep_the_columns(spark, tmp_path, stage):
     spark.createDataFrame([(1, passage)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA + ", `row` string")
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path)).schema == docs.schema
+
+
+def test_a_worker_keeps_the_cache_of_one_operator(monkeypatch):
+    monkeypatch.setattr(store, "_CACHE", {})
+    first = word_hashes.hashed([b"a", b"b", b"a"])
+    assert store.worker_cache("packing", dict) == {} and list(store._CACHE) == ["packing"]
+    assert (word_hashes.hashed([b"a", b"b", b"a"]) == first).all() and list(store._CACHE) == ["words"]
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="only glibc gives memory back on request")
+def test_freed_memory_goes_back_after_a_partition():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    held = []
+
+    def batches():
+        arrays = [np.ones(1000) for _ in range(20_000)]     # 160 MB
+        held.extend(arrays[::200])                          # what lies between these stays with the C library
+        yield from "ab"
+
+    before = resident()
+    assert list(store.released(batches())) == ["a", "b"] and len(held) == 100
+    assert resident() - before < 60e6
